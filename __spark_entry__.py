@@ -268,13 +268,12 @@ def _sql_join(radius, recipe="fine", right="supplier") -> str:
 
 def _sql_workload() -> str:
     m = planar.operators.batch._MODULUS
-    m0, m1, m2 = planar.operators.batch._MULTIPLIERS
+    m0, m1 = planar.operators.batch._MULTIPLIERS
     draws = []
     for i in range(3):
         a = f"((q % {m} * {m0} + {WORKLOAD_SEED * 7919 + (i + 1) * 104729}) % {m})"
         b = f"(({a}*{a} + {a}*{m1}) % {m})"
-        c = f"(({b}*{b} + {b}*{m2}) % {m})"
-        draws.append(f"CAST({c} AS DOUBLE)/CAST({m} AS DOUBLE) AS t{i + 1}")
+        draws.append(f"CAST({b} AS DOUBLE)/CAST({m} AS DOUBLE) AS t{i + 1}")
     size = _d(WORKLOAD_SIZE)
     return (
         f"SELECT q, (t1-{size})*{_d(180)} AS x0, (t2-{size})*{_d(90)} AS y0, "

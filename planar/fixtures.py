@@ -15,11 +15,15 @@ FINE_Y = "CAST((id*id*17 + id*104729) % 18000 AS DOUBLE)/CAST(100 AS DOUBLE) - C
 SNAP_X = "CAST((id*id*31 + id*7919) % 720 AS DOUBLE)/CAST(2 AS DOUBLE) - CAST(180 AS DOUBLE)"
 SNAP_Y = "CAST((id*id*id*13 + id*id*7 + id*29) % 360 AS DOUBLE)/CAST(2 AS DOUBLE) - CAST(90 AS DOUBLE)"
 
-ID_COLUMN = {"events": "event_id", "supplier": "s_suppkey"}
+# Column with the id, and its stored type: a given schema saves the job that
+# would read it from a file.
+ID_COLUMN = {"events": "event_id", "supplier": "s_suppkey", "nation": "n_nationkey"}
+ID_TYPE = {"events": "BIGINT", "supplier": "BIGINT", "nation": "INT"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    schema = f"{ID_COLUMN[name]} {ID_TYPE[name]}"
+    return spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def points(spark: SparkSession, sf_dir: str, name: str = "events", recipe: str = "fine") -> DataFrame:

@@ -12,7 +12,7 @@ from planar.functions.exprs import distance, inside, is_located
 from planar.operators.join import distance_join
 from planar.plans.grid import EVERYWHERE, with_box_cells, with_level_cells
 from planar.plans.scratch import scratch_path
-from planar.plans.sizing import BROADCAST_BYTES, fits_broadcast
+from planar.plans.sizing import BROADCAST_BYTES, fits_broadcast, spread
 from planar.plans.skew import BLOCK_ROWS, cell_join, count_and_heavy, splittable, unfold_copies
 from planar.sources.landing import without_tiles
 
@@ -20,7 +20,7 @@ _COPIES = 9
 
 # Fixed values of the query generator: a prime modulus and multipliers for it.
 _MODULUS = 2_147_483_647
-_MULTIPLIERS = (48_271, 16_807, 69_621)
+_MULTIPLIERS = (48_271, 16_807)
 
 
 def _draw(q: Column, seed: int, i: int) -> Column:
@@ -32,9 +32,7 @@ def _draw(q: Column, seed: int, i: int) -> Column:
         return F.lit(v).cast("bigint")
 
     a = (q % p * lit(_MULTIPLIERS[0]) + lit(seed * 7_919 + (i + 1) * 104_729)) % p
-    b = (a * a + a * lit(_MULTIPLIERS[1])) % p
-    c = (b * b + b * lit(_MULTIPLIERS[2])) % p
-    return c.cast("double") / p.cast("double")
+    return ((a * a + a * lit(_MULTIPLIERS[1])) % p).cast("double") / p.cast("double")
 
 
 def workload(ids: DataFrame, seed: int = 1, size: float = 1.0, q: str = "q") -> DataFrame:
@@ -90,6 +88,8 @@ def batch_box(
         F.greatest("_xmin", lo), F.greatest("_ymin", lo),
         F.least("_xmax", hi), F.least("_ymax", hi),
     )
+    if broadcast:
+        points = spread(points, "id")
     rows, key, count = splittable(points, "id", broadcast, block_rows, "_p")
     hits = cell_join(
         with_level_cells(rows, "x", "y", cells),
@@ -129,6 +129,8 @@ def batch_circle(points: DataFrame, centres: DataFrame, radius: float, **options
 
 
 _HASH_RANGE = 1 << 31
+_START_POINTS = 1_024
+_FAN_MIN, _FAN_MAX = 64, 4_096
 
 
 def _subset(points: DataFrame, size: int, total: int) -> DataFrame:
@@ -165,7 +167,7 @@ def batch_knn(
     *,
     strategy: str = "auto",
     base: int | None = None,
-    fan: int = 256,
+    fan: int | None = None,
     block_rows: int = BLOCK_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
@@ -176,13 +178,15 @@ def batch_knn(
     Comparing every centre with every point is avoided by bounding each
     centre's k-th distance first. The k-th neighbour within any subset of the
     points is never nearer than the true one, so it is a safe bound: the search
-    starts from a few hundred points and goes on to subsets ``fan`` times as
-    large, up to all points. Each step joins circles with points on grid cells
-    and ranks about ``k * fan`` candidates per centre, wherever the points are
-    dense or sparse. The result is exact: the last step reads every point.
-
-    Counts the points once when called, and for more than two steps stores the
-    bounds (one row per centre) in the scratch folder between steps.
+    starts from ``base`` points and goes on to subsets ``fan`` times as large,
+    up to all points. Each step joins circles with points on grid cells and
+    ranks about ``k * fan`` candidates per centre, wherever the points are dense
+    or sparse. The result is exact: the last step reads every point.
+
+    A step costs about one scan of ``id, x, y``, so ``fan`` defaults to what
+    keeps the candidates of a step below the number of points. Both inputs are
+    counted when the function is called, and the bounds (one row per centre)
+    are stored in the scratch folder between steps.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -191,14 +195,22 @@ def batch_knn(
     spark = points.sparkSession
     place = F.xxhash64("x", "y")
     total, hot = count_and_heavy(points.select("x", "y"), place, min_rows=max(1_000, 16 * k), keep=256)
-    points = _without_surplus_copies(points, hot, k)
-    base = max(512, 4 * k) if base is None else base
+    points = spread(_without_surplus_copies(points, hot, k), "id")
+    base = max(_START_POINTS, 4 * k) if base is None else base
 
     queries = centres.select(
         "q", F.col("x").cast("double").alias("_qx"), F.col("y").cast("double").alias("_qy")
     ).where(is_located("_qx", "_qy"))
+    queries = spread(queries, "q")
+    if fan is None:
+        fan = min(max(total // max(1, queries.count() * k), _FAN_MIN), _FAN_MAX)
     broadcast = strategy != "shuffle" and fits_broadcast(queries, 2 * _COPIES, broadcast_bytes)
 
+    def stored(bounds: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "knn-bounds")
+        bounds.write.parquet(path)
+        return spark.read.schema(bounds.schema).parquet(path)
+
     def search(subset: DataFrame, circles: DataFrame) -> DataFrame:
         reach = F.coalesce("_r", F.lit(EVERYWHERE)) * F.lit(1.0 + 1e-9) + F.lit(1e-150)
         qx, qy = F.col("_qx"), F.col("_qy")
@@ -225,7 +237,7 @@ def batch_knn(
     def reached(p: Column) -> Column:
         return F.struct(distance(p["x"], p["y"], F.col("_qx"), F.col("_qy")).alias("d"), p["id"].alias("id"))
 
-    bounds = (
+    bounds = stored(
         queries.withColumn("_start", start.scalar())
         .withColumn("_kth", F.get(F.sort_array(F.transform("_start", reached)), F.lit(k - 1)))
         .select("q", "_qx", "_qy", F.col("_kth.d").alias("_r"), F.col("_kth.id").alias("_rid"))
@@ -233,9 +245,7 @@ def batch_knn(
     for size in _sizes(base, fan, total):
         kth = search(_subset(points.select("id", "x", "y"), size, total), bounds).where(F.col("rk") == k)
         kth = kth.select("q", F.col("distance").alias("_r"), F.col("id").alias("_rid"))
-        path = scratch_path(spark, "knn-bounds")
-        queries.join(kth, "q", "left").write.parquet(path)
-        bounds = spark.read.parquet(path)
+        bounds = stored(queries.join(kth, "q", "left"))
     return search(points, bounds).select(
         "q", *(F.col(f"`{c}`") for c in output), "distance", F.col("rk").cast("bigint").alias("rk")
     )

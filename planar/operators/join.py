@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planar.functions.exprs import distance, is_located
 from planar.plans.grid import cell_width, with_cell, with_neighbour_cells
-from planar.plans.sizing import BROADCAST_BYTES, estimated_bytes, fits_broadcast
+from planar.plans.sizing import BROADCAST_BYTES, estimated_bytes, fits_broadcast, spread
 from planar.plans.skew import BLOCK_ROWS, cell_join, splittable, unfold_copies
 from planar.sources.landing import without_tiles
 
@@ -66,6 +66,8 @@ def distance_join(
     else:
         big, pbig, small, psmall = a, pa, b, pb
     broadcast = strategy != "shuffle" and fits_broadcast(small, _COPIES, broadcast_bytes)
+    if broadcast:
+        big = spread(big, pbig + "id")
 
     width = cell_width(radius)
     apart = distance(pa + "x", pa + "y", pb + "x", pb + "y")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from planar.functions.exprs import distance, is_located
-from planar.plans.sizing import estimated_bytes
+from planar.plans.sizing import scan_tasks
 from planar.sources.landing import without_tiles
 
 # Up to this many rows may meet in the one task that merges the top-k of all
@@ -20,17 +20,6 @@ _BUCKET_AT_ZERO = -100_000
 _MERGE_GROUPS = 256
 
 
-def _scan_tasks(df: DataFrame) -> int | None:
-    size = estimated_bytes(df)
-    if size is None:
-        return None
-    per_task = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128MB")
-    digits = "".join(ch for ch in per_task if ch.isdigit())
-    unit = per_task[len(digits):].strip().lower()[:1]
-    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(unit, 1)
-    return size // max(1, int(digits or 1) * scale) + 1
-
-
 def _distance_limit(distances: DataFrame, k: int, nearest: bool) -> DataFrame:
     """One value that the k-th best distance cannot be worse than.
 
@@ -105,7 +94,7 @@ def knn(
     d = distance("x", "y", cx, cy)
 
     if method == "auto":
-        tasks = _scan_tasks(points)
+        tasks = scan_tasks(points)
         method = "narrow" if tasks is None or tasks * k > MERGE_ROWS else "scan"
     if method == "narrow":
         candidates = _narrowed(points, cx, cy, d, k, nearest, by)

@@ -70,10 +70,10 @@ def _index(v: Column, level: Column) -> Column:
 
 def with_box_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
     """Copies of each row, one per cell its box touches on the box's level: at
-    most 2 per axis, because the cell is at least as wide as the box."""
+    most 3 per axis, because the cell is at least half as wide as the box."""
     df = df.withColumns({"_bx0": x0, "_by0": y0, "_bx1": x1, "_by1": y1})
     size = F.greatest(F.col("_bx1") - F.col("_bx0"), F.col("_by1") - F.col("_by0"))
-    df = df.withColumn(LEVEL, _level_of(size))
+    df = df.withColumn(LEVEL, _level_of(size / F.lit(2.0)))
     lvl = F.col(LEVEL)
     xs = F.sequence(_index(F.col("_bx0"), lvl), _index(F.col("_bx1"), lvl))
     ys = F.sequence(_index(F.col("_by0"), lvl), _index(F.col("_by1"), lvl))

@@ -15,11 +15,11 @@ _VARIABLE_WIDTH = (T.StringType, T.BinaryType)
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate; None where the session does not expose it."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except (AttributeError, TypeError):
+    """Catalyst's size estimate; None in sessions without a local JVM."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
         return None
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def measured_bytes(df: DataFrame) -> int | None:
@@ -38,6 +38,27 @@ def measured_bytes(df: DataFrame) -> int | None:
     return rows * fixed + sum(w or 0 for w in widths)
 
 
+def scan_tasks(df: DataFrame) -> int | None:
+    """About how many tasks a scan of ``df`` gets."""
+    size = estimated_bytes(df)
+    if size is None:
+        return None
+    text = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128MB").strip().lower()
+    digits = text.rstrip("bkmgi")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[len(digits):][:1], 1)
+    return size // max(1, int(digits) * unit) + 1
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Over all cores, if the input is so small that its scan would use less
+    than a quarter of them; for work that costs much more than reading."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = scan_tasks(df)
+    if tasks is None or tasks * 4 > cores:
+        return df
+    return df.repartition(cores, key) if key in df.columns else df.repartition(cores)
+
+
 def fits_broadcast(df: DataFrame, copies: int = 1, limit: int = BROADCAST_BYTES) -> bool:
     """True only if ``copies`` of ``df`` were measured to stay within ``limit``.
 
