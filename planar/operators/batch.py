@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,12 +149,12 @@ def _sizes(base: int, fan: int, total: int) -> Iterator[int]:
         size *= fan
 
 
-def _without_surplus_copies(points: DataFrame, hot: list[int], k: int) -> DataFrame:
+def _without_surplus_copies(points: DataFrame, hot: Iterable[int], k: int) -> DataFrame:
     """Of the copies of a hot point only the k smallest ids can be among the k
     nearest of anything. The cut happens before the shuffle on each task."""
     if not hot:
         return points
-    is_hot = F.xxhash64("x", "y").isin(hot)
+    is_hot = F.xxhash64("x", "y").isin(list(hot))
     rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
     best = points.where(is_hot).withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
     return points.where(~is_hot).unionByName(best)
@@ -194,7 +194,7 @@ def batch_knn(
     output = points.columns
     spark = points.sparkSession
     place = F.xxhash64("x", "y")
-    total, hot = count_and_heavy(points.select("x", "y"), place, min_rows=max(1_000, 16 * k), keep=256)
+    total, hot = count_and_heavy(points.select("x", "y"), place, max(1_000, 16 * k), keep=256)
     points = spread(_without_surplus_copies(points, hot, k), "id")
     base = max(_START_POINTS, 4 * k) if base is None else base
 

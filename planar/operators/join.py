@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planar.functions.exprs import distance, is_located
-from planar.plans.grid import cell_width, with_cell, with_neighbour_cells
+from planar.plans.grid import cell_width, neighbour_totals, with_cell, with_neighbour_cells
 from planar.plans.sizing import BROADCAST_BYTES, estimated_bytes, fits_broadcast, spread
 from planar.plans.skew import BLOCK_ROWS, cell_join, splittable, unfold_copies
 from planar.sources.landing import without_tiles
@@ -90,7 +90,8 @@ def distance_join(
         small_key=small_key,
         block_rows=block_rows,
         big_counts=located(big, pbig, False),
-        small_counts=located(small, psmall, True),
+        small_counts=located(small, psmall, False),
+        small_totals=neighbour_totals,
     )
     for count in (big_n, small_n):
         if count:

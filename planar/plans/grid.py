@@ -56,6 +56,21 @@ def with_neighbour_cells(df: DataFrame, x: str, y: str, width: float) -> DataFra
     return df.withColumn(CELL, F.explode(cells))
 
 
+def neighbour_totals(rows_per_cell: dict[int, int]) -> dict[int, int]:
+    """Copies that ``with_neighbour_cells`` puts into each cell, given the rows
+    per home cell. For the few cells known to be hot, so no copy is made just
+    to be counted."""
+    totals: dict[int, int] = {}
+    for cell, rows in rows_per_cell.items():
+        cx, cy = cell >> 32, cell & 0xFFFFFFFF
+        for dx in (-1, 0, 1):
+            for dy in (-1, 0, 1):
+                near = ((cx + dx) & 0xFFFFFFFF) << 32 | ((cy + dy) & 0xFFFFFFFF)
+                near -= (near >> 63) << 64  # to the signed BIGINT that ``pack`` gives
+                totals[near] = totals.get(near, 0) + rows
+    return totals
+
+
 def _level_of(size: Column) -> Column:
     """Smallest power of two that is not below ``size``, as its exponent. Being
     off by one changes the number of copies, never the result."""

@@ -9,9 +9,9 @@ of either side of a cell.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planar.plans.grid import CELL, LEVEL
@@ -42,20 +42,20 @@ def _sketch(df: DataFrame, key: Column) -> DataFrame:
     )
 
 
-def heavy_keys(df: DataFrame, key: Column, min_rows: int, keep: int = HOT_KEYS) -> DataFrame:
-    """``(key, n)`` for keys with more than ``min_rows`` rows, at most ``keep``
-    of them. The counts are estimates: they steer the split of the work and
-    never touch the result."""
-    top = _sketch(df, key).selectExpr(f"inline(approx_top_k_estimate(s, {keep})) AS (key, n)")
-    return top.where(F.col("key").isNotNull() & (F.col("n") > min_rows))
+def count_and_heavy(
+    df: DataFrame, key: Column, min_rows: int, keep: int = HOT_KEYS
+) -> tuple[int, dict[int, int]]:
+    """Row count, and ``{key: rows}`` for keys with more than ``min_rows`` rows.
 
-
-def count_and_heavy(df: DataFrame, key: Column, min_rows: int, keep: int) -> tuple[int, list[int]]:
-    """Row count and at most ``keep`` heavy keys, in one pass, on the driver."""
+    One pass; at most ``keep`` keys reach the driver. Every key that holds more
+    than one in ``keep`` of the rows is among them. The counts are estimates:
+    they steer the split of the work and never touch the result.
+    """
     row = _sketch(df, key).selectExpr("n", f"approx_top_k_estimate(s, {keep}) AS top").first()
     if not row.n:
-        return 0, []
-    return row.n, [t["item"] for t in row.top if t["item"] is not None and t["count"] > min_rows]
+        return 0, {}
+    top = {t["item"]: t["count"] for t in row.top if t["item"] is not None}
+    return row.n, {k: n for k, n in top.items() if n > min_rows}
 
 
 def fold_copies(df: DataFrame, columns: Sequence[str], chunk: int) -> DataFrame:
@@ -102,29 +102,29 @@ def splittable(
     return folded, [f"`{c}`" for c in folded.columns if c != count], count
 
 
-def _block_plan(big_counts: DataFrame, small_counts: DataFrame, block_rows: int) -> DataFrame:
-    """``(key, blocks_a, blocks_b)`` per hot cell; at most ``2 * HOT_KEYS`` rows."""
-    hot_big = heavy_keys(big_counts, F.col(CELL), block_rows).select("key", F.col("n").alias("nb"))
-    hot_small = heavy_keys(small_counts, F.col(CELL), block_rows).select("key", F.col("n").alias("ns"))
-
-    def blocks(n: str) -> Column:
-        return F.coalesce(F.ceil(F.col(n) / F.lit(block_rows)), F.lit(1).cast("bigint"))
-
-    return hot_big.join(hot_small, "key", "full_outer").select(
-        F.col("key").alias("_hot"), blocks("nb").alias("_na"), blocks("ns").alias("_nb")
-    )
-
-
-def _to_blocks(df: DataFrame, plan: DataFrame, cell: str, salt: Sequence[Column],
-               own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-    one = F.lit(1).cast("bigint")
-    zero = F.lit(0).cast("bigint")
-    own_blocks, other_blocks = F.coalesce(own_n, one), F.coalesce(other_n, one)
+def _block_plan(
+    spark: SparkSession, big_rows: dict[int, int], small_rows: dict[int, int], block_rows: int
+) -> DataFrame | None:
+    """``(_hot, _na, _nb)``: how many row and column blocks a hot cell gets;
+    None if there is no hot cell. As long as the two dictionaries."""
+    rows = []
+    for cell in big_rows.keys() | small_rows.keys():
+        na, nb = (-(-n.get(cell, 1) // block_rows) for n in (big_rows, small_rows))
+        if na > 1 or nb > 1:
+            rows.append((cell, na, nb))
+    return spark.createDataFrame(rows, "_hot BIGINT, _na BIGINT, _nb BIGINT") if rows else None
+
+
+def _to_blocks(df: DataFrame, plan: DataFrame, cell: str, salt: Sequence[str],
+               own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+    """Draw the own block of each row from ``salt``, copy it to all others."""
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    own_blocks, other_blocks = F.coalesce(own[1], one), F.coalesce(other[1], one)
     return (
         df.join(F.broadcast(plan), F.col(cell) == F.col("_hot"), "left")
-        .withColumn(own, F.pmod(F.xxhash64(*salt), own_blocks))
-        .withColumn(other, F.explode(F.sequence(zero, other_blocks - one)))
-        .drop("_hot", "_na", "_nb")
+        .withColumn(own[0], F.pmod(F.xxhash64(*salt), own_blocks))
+        .withColumn(other[0], F.explode(F.sequence(zero, other_blocks - one)))
+        .drop(*plan.columns)
     )
 
 
@@ -139,16 +139,19 @@ def cell_join(
     block_rows: int = BLOCK_ROWS,
     big_counts: DataFrame | None = None,
     small_counts: DataFrame | None = None,
+    small_totals: Callable[[dict[int, int]], dict[int, int]] | None = None,
 ) -> DataFrame:
     """Inner equi-join on the cell (and level) with ``residual`` as exact test.
 
     Both inputs carry ``CELL``, all other column names differ. ``big_key`` and
     ``small_key`` name columns that tell the rows of a side apart; the block of
-    a row is drawn from them. ``*_counts`` replace an input for counting when
-    its rows stand for several original rows each.
+    a row is drawn from them. ``*_counts`` replace an input for counting hot
+    cells: when its rows stand for several original rows each, or when the rows
+    per cell follow from fewer rows through ``small_totals``.
 
     With ``broadcast`` the caller has checked the size of ``small``; ``big`` is
     then not shuffled at all, so its hot cells stay spread over the scan tasks.
+    Otherwise both sides are scanned once for hot cells before the join.
     """
     levelled = LEVEL in big.columns
     s_cell, s_level = "_s" + CELL, "_s" + LEVEL
@@ -164,10 +167,17 @@ def cell_join(
     if broadcast:
         return big.join(F.broadcast(small), on & residual).drop(*internal)
 
-    plan = _block_plan(big_counts, small_counts, block_rows)
-    big = _to_blocks(big, plan, CELL, [F.col(c) for c in big_key], "_a", "_na", "_b", "_nb")
-    small = _to_blocks(small, plan, s_cell, [F.col(c) for c in small_key], "_sb", "_nb", "_sa", "_na")
-    on &= (F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb"))
+    big_rows = count_and_heavy(big_counts, F.col(CELL), block_rows)[1]
+    # Neighbouring cells add up, so look a little below the block size.
+    floor = block_rows // 9 if small_totals else block_rows
+    small_rows = count_and_heavy(small_counts, F.col(CELL), floor)[1]
+    if small_totals:
+        small_rows = small_totals(small_rows)
+    plan = _block_plan(big.sparkSession, big_rows, small_rows, block_rows)
+    if plan is not None:
+        big = _to_blocks(big, plan, CELL, big_key, ("_a", "_na"), ("_b", "_nb"))
+        small = _to_blocks(small, plan, s_cell, small_key, ("_sb", "_nb"), ("_sa", "_na"))
+        on &= (F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb"))
     # The hint keeps Spark from broadcasting on an estimate that does not see
     # the copies made above.
     joined = big.join(small.hint("merge"), on & residual)
