@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 << 20
 
 _ROW_OVERHEAD = 24
+# Catalyst stands in a size near 2^63 for inputs it knows nothing about.
+_NO_ESTIMATE = 1 << 50
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _VARIABLE_WIDTH = (T.StringType, T.BinaryType)
 
@@ -54,7 +56,7 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     than a quarter of them; for work that costs much more than reading."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     tasks = scan_tasks(df)
-    if tasks is None or tasks * 4 > cores:
+    if tasks is None or tasks * 4 > cores:  # unknown sizes count as large
         return df
     return df.repartition(cores, key) if key in df.columns else df.repartition(cores)
 
@@ -62,11 +64,17 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
 def fits_broadcast(df: DataFrame, copies: int = 1, limit: int = BROADCAST_BYTES) -> bool:
     """True only if ``copies`` of ``df`` were measured to stay within ``limit``.
 
-    The measuring job runs only when Catalyst already expects a small input;
-    the estimate alone is not trusted (compressed files, filters, explodes).
+    The measuring job runs only on an input that is already expected to be
+    small, by Catalyst's estimate or, where it has none, by taking rows until
+    there are too many. The estimate alone is not trusted (compressed files,
+    filters, explodes).
     """
     estimate = estimated_bytes(df)
-    if estimate is None or estimate > limit:
+    if estimate is None or estimate >= _NO_ESTIMATE:
+        most = limit // (copies * _ROW_OVERHEAD)
+        if len(df.select(F.lit(True)).take(most + 1)) > most:
+            return False
+    elif estimate > limit:
         return False
     size = measured_bytes(df)
     return size is not None and size * copies <= limit

@@ -26,7 +26,7 @@ _MERGE_GROUPS = 256
 
 
 def _sketch(df: DataFrame, key: Column) -> DataFrame:
-    """One row: frequency sketch ``s`` of ``key`` and row count ``n``.
+    """One row, or none for no input: sketch ``s`` of ``key``, row count ``n``.
 
     Sketches are built per task and merged in two steps, so neither the shuffle
     nor the last task grows with the number of distinct keys.
@@ -38,6 +38,7 @@ def _sketch(df: DataFrame, key: Column) -> DataFrame:
             F.expr(f"approx_top_k_accumulate(key, {SKETCH_KEYS})").alias("s"),
             F.count(F.lit(1)).alias("n"),
         )
+        .groupBy(F.lit("all"))
         .agg(F.expr(f"approx_top_k_combine(s, {SKETCH_KEYS})").alias("s"), F.sum("n").alias("n"))
     )
 
@@ -52,7 +53,7 @@ def count_and_heavy(
     they steer the split of the work and never touch the result.
     """
     row = _sketch(df, key).selectExpr("n", f"approx_top_k_estimate(s, {keep}) AS top").first()
-    if not row.n:
+    if row is None:
         return 0, {}
     top = {t["item"]: t["count"] for t in row.top if t["item"] is not None}
     return row.n, {k: n for k, n in top.items() if n > min_rows}

@@ -24,3 +24,15 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def table(spark, tmp_path_factory):
+    """A small Parquet table, whose size Spark can estimate."""
+
+    def make(rows, schema="id BIGINT, x DOUBLE, y DOUBLE"):
+        path = str(tmp_path_factory.mktemp("table") / "t")
+        spark.createDataFrame(rows, schema).write.parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+    return make
