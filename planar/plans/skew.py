@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planar.plans.grid import CELL, LEVEL
@@ -23,6 +23,9 @@ SKETCH_KEYS = 16_384
 # Most keys that are ever reported as hot; bounds what is broadcast.
 HOT_KEYS = 2_048
 _MERGE_GROUPS = 256
+# Blocks get larger than BLOCK_ROWS rather than more than this in total, which
+# bounds the broadcast table of blocks.
+MAX_BLOCKS = 200_000
 
 
 def _sketch(df: DataFrame, key: Column) -> DataFrame:
@@ -103,29 +106,36 @@ def splittable(
     return folded, [f"`{c}`" for c in folded.columns if c != count], count
 
 
-def _block_plan(
-    spark: SparkSession, big_rows: dict[int, int], small_rows: dict[int, int], block_rows: int
-) -> DataFrame | None:
-    """``(_hot, _na, _nb)``: how many row and column blocks a hot cell gets;
-    None if there is no hot cell. As long as the two dictionaries."""
-    rows = []
+def _blocks(
+    big_rows: dict[int, int], small_rows: dict[int, int], block_rows: int
+) -> list[tuple[int, int, int]]:
+    """``(cell, row blocks, column blocks)`` for every cell that gets several."""
+    plan = []
     for cell in big_rows.keys() | small_rows.keys():
         na, nb = (-(-n.get(cell, 1) // block_rows) for n in (big_rows, small_rows))
         if na > 1 or nb > 1:
-            rows.append((cell, na, nb))
-    return spark.createDataFrame(rows, "_hot BIGINT, _na BIGINT, _nb BIGINT") if rows else None
+            plan.append((cell, na, nb))
+    return plan
 
 
-def _to_blocks(df: DataFrame, plan: DataFrame, cell: str, salt: Sequence[str],
-               own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
-    """Draw the own block of each row from ``salt``, copy it to all others."""
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    own_blocks, other_blocks = F.coalesce(own[1], one), F.coalesce(other[1], one)
+def _to_blocks(df: DataFrame, cell: str, salt: Sequence[str], block: str,
+               plan: list[tuple[int, int, int]], rows_first: bool) -> DataFrame:
+    """Draw the own block of a row in a hot cell from ``salt`` and copy the row
+    to all blocks of the other side. ``plan`` has ``(cell, own, other)``.
+
+    ``block`` gets row block and column block in one BIGINT, 0 outside hot
+    cells. The copies come from the join itself: the broadcast table has one
+    row per cell and other block, and rows outside hot cells find none.
+    """
+    rows = [(c, n, i) for c, n, m in plan for i in range(m)]
+    blocks = df.sparkSession.createDataFrame(rows, "_hot BIGINT, _n BIGINT, _other BIGINT")
+    own, other = F.pmod(F.xxhash64(*salt), F.col("_n")), F.col("_other")
+    first, second = (own, other) if rows_first else (other, own)
+    both = F.shiftleft(first, 32).bitwiseOR(second)
     return (
-        df.join(F.broadcast(plan), F.col(cell) == F.col("_hot"), "left")
-        .withColumn(own[0], F.pmod(F.xxhash64(*salt), own_blocks))
-        .withColumn(other[0], F.explode(F.sequence(zero, other_blocks - one)))
-        .drop(*plan.columns)
+        df.join(F.broadcast(blocks), F.col(cell) == F.col("_hot"), "left")
+        .withColumn(block, F.coalesce(both, F.lit(0).cast("bigint")))
+        .drop("_hot", "_n", "_other")
     )
 
 
@@ -154,32 +164,43 @@ def cell_join(
     then not shuffled at all, so its hot cells stay spread over the scan tasks.
     Otherwise both sides are scanned once for hot cells before the join.
     """
-    levelled = LEVEL in big.columns
     s_cell, s_level = "_s" + CELL, "_s" + LEVEL
+    # Columns that have to agree besides the cell.
+    agree = [(LEVEL, s_level)] if LEVEL in big.columns else []
     big_counts = big if big_counts is None else big_counts
     small_counts = small if small_counts is None else small_counts
-    small = small.withColumnRenamed(CELL, s_cell)
+    small = small.withColumnsRenamed({CELL: s_cell, LEVEL: s_level})
+
+    if not broadcast:
+        n_big, big_rows = count_and_heavy(big_counts, F.col(CELL), block_rows)
+        # Neighbouring cells add up, so look a little below the block size.
+        floor = block_rows // 9 if small_totals else block_rows
+        n_small, small_rows = count_and_heavy(small_counts, F.col(CELL), floor)
+        if small_totals:
+            small_rows = small_totals(small_rows)
+            n_small *= 9
+        plan = _blocks(big_rows, small_rows, max(block_rows, max(n_big, n_small) // MAX_BLOCKS))
+        if plan:
+            turned = [(c, nb, na) for c, na, nb in plan]
+            big = _to_blocks(big, CELL, big_key, "_block", plan, True)
+            small = _to_blocks(small, s_cell, small_key, "_s_block", turned, False)
+            agree += [("_block", "_s_block")]
+
+    # A single BIGINT key sorts by radix and probes a dense hash table, so the
+    # other columns are mixed into it. For equal values of those the key is one
+    # to one with the cell; that they are equal is tested on the pair, as a
+    # difference, which Spark does not turn into further join keys.
+    left_key, right_key = F.col(CELL), F.col(s_cell)
+    if agree:
+        left_key = left_key.bitwiseXOR(F.xxhash64(*[l for l, _ in agree]))
+        right_key = right_key.bitwiseXOR(F.xxhash64(*[r for _, r in agree]))
+    big = big.withColumn(CELL, left_key)
+    small = small.withColumn(s_cell, right_key)
     on = F.col(CELL) == F.col(s_cell)
-    if levelled:
-        small = small.withColumnRenamed(LEVEL, s_level)
-        on &= F.col(LEVEL) == F.col(s_level)
-    internal = [CELL, s_cell, LEVEL, s_level]
-
-    if broadcast:
-        return big.join(F.broadcast(small), on & residual).drop(*internal)
-
-    big_rows = count_and_heavy(big_counts, F.col(CELL), block_rows)[1]
-    # Neighbouring cells add up, so look a little below the block size.
-    floor = block_rows // 9 if small_totals else block_rows
-    small_rows = count_and_heavy(small_counts, F.col(CELL), floor)[1]
-    if small_totals:
-        small_rows = small_totals(small_rows)
-    plan = _block_plan(big.sparkSession, big_rows, small_rows, block_rows)
-    if plan is not None:
-        big = _to_blocks(big, plan, CELL, big_key, ("_a", "_na"), ("_b", "_nb"))
-        small = _to_blocks(small, plan, s_cell, small_key, ("_sb", "_nb"), ("_sa", "_na"))
-        on &= (F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb"))
-    # The hint keeps Spark from broadcasting on an estimate that does not see
-    # the copies made above.
-    joined = big.join(small.hint("merge"), on & residual)
-    return joined.drop(*internal, "_a", "_b", "_sa", "_sb")
+    for l, r in agree:
+        on &= (F.col(l) - F.col(r)) == F.lit(0)
+    internal = [CELL, s_cell, *(c for pair in agree for c in pair)]
+    # Without broadcast, the hint keeps Spark from doing so on an estimate that
+    # does not see the copies made above.
+    small = F.broadcast(small) if broadcast else small.hint("merge")
+    return big.join(small, on & residual).drop(*internal)
