@@ -77,11 +77,13 @@ def _fn_cast_coord(s: SparkSession, d: str) -> DataFrame:
 
 
 def _fn_envelope(s: SparkSession, d: str) -> DataFrame:
-    odd = F.col("q") % 2 == 1
-    corners = [
-        F.when(odd, F.col(b)).otherwise(F.col(a)) for a, b in (("x0", "x1"), ("y0", "y1"), ("x1", "x0"), ("y1", "y0"))
-    ]
-    return fixtures.boxes(s, d).select("q", planar.envelope(*corners).alias("e")).select("q", "e.*")
+    """A box 18 x 9 from every point, its corners swapped for odd ids."""
+    odd = F.col("id") % 2 == 1
+    low, high = (F.col("x"), F.col("y")), (F.col("x") + 18.0, F.col("y") + 9.0)
+    first = [F.when(odd, h).otherwise(v) for v, h in zip(low, high)]
+    second = [F.when(odd, v).otherwise(h) for v, h in zip(low, high)]
+    box = planar.envelope(*first, *second)
+    return fixtures.points(s, d).select(F.col("id").alias("q"), box.alias("e")).select("q", "e.*")
 
 
 def _fn_contains(s: SparkSession, d: str) -> DataFrame:
@@ -338,7 +340,7 @@ def oracle_sql() -> dict[str, str]:
     decimal = "CAST(CAST(CAST({0} AS VARCHAR) AS DECIMAL(24,20)) AS DOUBLE) AS {0}"
     out["fn_cast_coord"] = f"SELECT id, {decimal.format('x')}, {decimal.format('y')} FROM {points} p"
     out["fn_envelope"] = (
-        f"SELECT q, x0 AS xmin, y0 AS ymin, x1 AS xmax, y1 AS ymax FROM {fixtures.boxes_sql()} b"
+        f"SELECT id AS q, x AS xmin, y AS ymin, x+{_d(18)} AS xmax, y+{_d(9)} AS ymax FROM {points} p"
     )
     out["fn_contains"] = f"SELECT id, x > 0 AND x < 18 AND y > 0 AND y < 9 AS inside FROM {points} p"
     out["fn_distance"] = f"SELECT id, {_dist('x', 'y', _d(1), _d(100))} AS distance FROM {points} p"

@@ -99,7 +99,7 @@ def batch_box(
         big_key=key,
         small_key=["q"],
         block_rows=block_rows,
-        big_counts=with_level_cells(points, "x", "y", cells),
+        big_counts=None if broadcast else with_level_cells(points, "x", "y", cells),
     )
     if count:
         hits = unfold_copies(hits, count)

@@ -89,8 +89,8 @@ def distance_join(
         big_key=big_key,
         small_key=small_key,
         block_rows=block_rows,
-        big_counts=located(big, pbig, False),
-        small_counts=located(small, psmall, False),
+        big_counts=None if broadcast else located(big, pbig, False),
+        small_counts=None if broadcast else located(small, psmall, False),
         small_totals=neighbour_totals,
     )
     for count in (big_n, small_n):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from planar.functions.exprs import distance, is_located
+from planar.operators.range import circle_bounds, within_bounds
 from planar.plans.sizing import scan_tasks
 from planar.sources.landing import without_tiles
 
@@ -40,24 +41,24 @@ def _distance_limit(distances: DataFrame, k: int, nearest: bool) -> DataFrame:
     return needed.agg((F.max("edge") if nearest else F.min("edge")).alias("d"))
 
 
-def _narrowed(points: DataFrame, cx: float, cy: float, d: Column, k: int, nearest: bool, order: list) -> DataFrame:
-    limit = _distance_limit(points.select(d.alias("d")), k, nearest)
-    if nearest:
-        # The limit is read into the scan's filters once it is known.
-        reach = F.col("d") * F.lit(1.0 + 1e-9) + F.lit(1e-150)
-        for c, centre in (("x", F.lit(cx)), ("y", F.lit(cy))):
-            points = points.where(F.col(c) >= limit.select(centre - reach).scalar())
-            points = points.where(F.col(c) <= limit.select(centre + reach).scalar())
-        points = points.where(d <= limit.scalar())
+def _narrowed(
+    points: DataFrame, cx: float, cy: float, d: Column, k: int, nearest: bool, order: list
+) -> DataFrame:
+    limit = _distance_limit(points.where(is_located()).select(d.alias("d")), k, nearest).first().d
+    if limit is None:
+        points = points.limit(0)
+    elif nearest:
+        # A little wider than the limit, for the rounding of x - cx.
+        points = within_bounds(points, circle_bounds(cx, cy, limit * (1.0 + 1e-9))).where(d <= F.lit(limit))
     else:
-        points = points.where(d >= limit.scalar())
+        points = points.where(d >= F.lit(limit))
     # Many rows may share the limit distance (copies of one point), so the
     # candidates are cut to k per group of tasks before they meet in one task.
-    group = F.spark_partition_id() % _MERGE_GROUPS
     rank = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
     return (
-        points.withColumn("distance", d)
-        .withColumn("_group", group)
+        without_tiles(points.where(is_located()))
+        .withColumn("distance", d)
+        .withColumn("_group", F.spark_partition_id() % _MERGE_GROUPS)
         .withColumn("_rank", rank)
         .where(F.col("_rank") <= k)
         .drop("_group", "_rank")
@@ -78,9 +79,10 @@ def knn(
     left out.
 
     ``scan`` keeps the best k per task in one pass and merges them in one task.
-    ``narrow`` first counts distances over ``x, y`` only, then reads full rows
-    just within the limit found. ``auto`` narrows when the merge would get more
-    than ``MERGE_ROWS`` rows.
+    ``narrow`` counts distances over ``x, y`` when called; the result then reads
+    full rows just within the limit found, and for the nearest only the files
+    and row groups around the centre. ``auto`` narrows when the merge would get
+    more than ``MERGE_ROWS`` rows.
     """
     if order not in ("nearest", "farthest"):
         raise ValueError(f"unknown order {order!r}")
@@ -88,7 +90,6 @@ def knn(
         raise ValueError(f"unknown method {method!r}")
     nearest = order == "nearest"
     cx, cy = float(cx), float(cy)
-    points = without_tiles(points).where(is_located())
     ties = ["id"] if "id" in points.columns else ["x", "y"]
     by = [F.col("distance").asc() if nearest else F.col("distance").desc(), *ties]
     d = distance("x", "y", cx, cy)
@@ -99,5 +100,5 @@ def knn(
     if method == "narrow":
         candidates = _narrowed(points, cx, cy, d, k, nearest, by)
     else:
-        candidates = points.withColumn("distance", d)
+        candidates = without_tiles(points).where(is_located()).withColumn("distance", d)
     return candidates.orderBy(*by).limit(k)

@@ -24,6 +24,13 @@ def circle_bounds(cx: float, cy: float, radius: float) -> tuple[float, float, fl
     return cx - r, cy - r, cx + r, cy + r
 
 
+def within_bounds(points: DataFrame, bounds: tuple[float, float, float, float]) -> DataFrame:
+    """Points in the closed box ``(xmin, ymin, xmax, ymax)``, tiles kept."""
+    xmin, ymin, xmax, ymax = bounds
+    x, y = F.col("x"), F.col("y")
+    return prune_tiles(points, *bounds).where((x >= xmin) & (x <= xmax) & (y >= ymin) & (y <= ymax))
+
+
 def circle_query(points: DataFrame, cx: float, cy: float, radius: float) -> DataFrame:
     """Points closer than ``radius`` (strictly) to the centre.
 
@@ -31,12 +38,8 @@ def circle_query(points: DataFrame, cx: float, cy: float, radius: float) -> Data
     along with it.
     """
     cx, cy, radius = float(cx), float(cy), float(radius)
-    xmin, ymin, xmax, ymax = circle_bounds(cx, cy, radius)
-    x, y = F.col("x"), F.col("y")
-    points = prune_tiles(points, xmin, ymin, xmax, ymax).where(
-        (x >= xmin) & (x <= xmax) & (y >= ymin) & (y <= ymax)
-    )
-    return without_tiles(points.where(distance(x, y, cx, cy) < F.lit(radius)))
+    near = within_bounds(points, circle_bounds(cx, cy, radius))
+    return without_tiles(near.where(distance("x", "y", cx, cy) < F.lit(radius)))
 
 
 def count_rows(df: DataFrame, name: str = "n") -> DataFrame:

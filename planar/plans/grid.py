@@ -37,23 +37,34 @@ def cell_width(radius: float) -> float:
     return radius * (1.0 + CELL_PAD_REL) + CELL_PAD_ABS
 
 
-def pack(cx: Column, cy: Column) -> Column:
-    return F.shiftleft(cx, 32).bitwiseOR(cy.bitwiseAND(F.lit(0xFFFFFFFF)))
+def pack_sql(cx: str, cy: str) -> str:
+    return f"(shiftleft({cx}, 32) | ({cy} & 4294967295L))"
+
+
+def cell_sql(x: str, y: str, width: str) -> str:
+    """The cell of a point, as SQL text over BIGINT and DOUBLE expressions."""
+    return pack_sql(f"floor({x} / {width})", f"floor({y} / {width})")
+
+
+def neighbour_cells_sql(x: str, y: str, width: str) -> str:
+    """The array of the nine cells within one step."""
+    steps = ("-1L", "0L", "1L")
+    cells = (
+        pack_sql(f"(floor({x} / {width}) + {dx})", f"(floor({y} / {width}) + {dy})")
+        for dx in steps for dy in steps
+    )
+    return f"array({', '.join(cells)})"
 
 
 def with_cell(df: DataFrame, x: str, y: str, width: float) -> DataFrame:
     """One cell per row."""
-    w = F.lit(width)
-    return df.withColumn(CELL, pack(F.floor(F.col(x) / w), F.floor(F.col(y) / w)))
+    return df.withColumn(CELL, F.expr(cell_sql(f"`{x}`", f"`{y}`", f"{width!r}D")))
 
 
 def with_neighbour_cells(df: DataFrame, x: str, y: str, width: float) -> DataFrame:
     """Nine copies per row, one for each cell within one step."""
-    w = F.lit(width)
-    cx, cy = F.floor(F.col(x) / w), F.floor(F.col(y) / w)
-    steps = [F.lit(d).cast("bigint") for d in (-1, 0, 1)]
-    cells = F.array(*[pack(cx + dx, cy + dy) for dx in steps for dy in steps])
-    return df.withColumn(CELL, F.explode(cells))
+    cells = neighbour_cells_sql(f"`{x}`", f"`{y}`", f"{width!r}D")
+    return df.withColumn(CELL, F.expr(f"explode({cells})"))
 
 
 def neighbour_totals(rows_per_cell: dict[int, int]) -> dict[int, int]:
@@ -78,22 +89,20 @@ def _level_of(size: Column) -> Column:
     return F.least(F.greatest(exponent, F.lit(MIN_LEVEL)), F.lit(MAX_LEVEL)).cast("int")
 
 
-def _index(v: Column, level: Column) -> Column:
+def _index_sql(v: str) -> str:
     # Dividing by a power of two is exact, so the index never decreases as v grows.
-    return F.floor(v / F.pow(F.lit(2.0), level))
+    return f"floor({v} / pow(2D, {LEVEL}))"
 
 
 def with_box_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
     """Copies of each row, one per cell its box touches on the box's level: at
     most 3 per axis, because the cell is at least half as wide as the box."""
     df = df.withColumns({"_bx0": x0, "_by0": y0, "_bx1": x1, "_by1": y1})
-    size = F.greatest(F.col("_bx1") - F.col("_bx0"), F.col("_by1") - F.col("_by0"))
-    df = df.withColumn(LEVEL, _level_of(size / F.lit(2.0)))
-    lvl = F.col(LEVEL)
-    xs = F.sequence(_index(F.col("_bx0"), lvl), _index(F.col("_bx1"), lvl))
-    ys = F.sequence(_index(F.col("_by0"), lvl), _index(F.col("_by1"), lvl))
-    df = df.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
-    df = df.withColumn(CELL, pack(F.col("_cx"), F.col("_cy")))
+    df = df.withColumn(LEVEL, _level_of(F.expr("greatest(_bx1 - _bx0, _by1 - _by0) / 2D")))
+    for axis in "xy":
+        span = f"sequence({_index_sql(f'_b{axis}0')}, {_index_sql(f'_b{axis}1')})"
+        df = df.withColumn(f"_c{axis}", F.expr(f"explode({span})"))
+    df = df.withColumn(CELL, F.expr(pack_sql("_cx", "_cy")))
     return df.drop("_bx0", "_by0", "_bx1", "_by1", "_cx", "_cy")
 
 
@@ -102,5 +111,4 @@ def with_level_cells(df: DataFrame, x: str, y: str, boxes: DataFrame) -> DataFra
     ``MAX_LEVEL - MIN_LEVEL + 1`` of them; one when all boxes have one size)."""
     levels = boxes.agg(F.sort_array(F.collect_set(LEVEL)).alias("levels"))
     df = df.withColumn(LEVEL, F.explode(levels.scalar()))
-    lvl = F.col(LEVEL)
-    return df.withColumn(CELL, pack(_index(F.col(x), lvl), _index(F.col(y), lvl)))
+    return df.withColumn(CELL, F.expr(pack_sql(_index_sql(f"`{x}`"), _index_sql(f"`{y}`"))))

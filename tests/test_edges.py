@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import brute
 import planar
 
 INF, NAN = float("inf"), float("nan")
@@ -57,6 +58,24 @@ def test_nan_is_no_location(spark, order, method):
     assert planar.distance_join(df, df, 100, strategy="shuffle").count() == 4
 
 
+@pytest.mark.parametrize("order", ["nearest", "farthest"])
+@pytest.mark.parametrize("method", ["scan", "narrow"])
+def test_knn_of_nothing(spark, order, method):
+    df = spark.createDataFrame([(1, None, 1.0)], "id BIGINT, x DOUBLE, y DOUBLE")
+    assert ids(planar.knn(df, 0, 0, 10, order, method)) == []
+
+
+@pytest.mark.parametrize("order", ["nearest", "farthest"])
+@pytest.mark.parametrize("k", [1, 3, 50, 170, 400])
+def test_narrow_knn_with_many_copies(spark, order, k):
+    rows = brute.scattered(300, 11, hot_share=0.34)
+    df = spark.createDataFrame(rows, "id BIGINT, x DOUBLE, y DOUBLE").repartition(7)
+    for centre in ((10.0, 20.0), (0.3, -7.0)):
+        want = brute.nearest(rows, centre, k, order == "farthest")
+        got = planar.knn(df, *centre, k, order, "narrow").collect()
+        assert [(r.distance, r.id) for r in got] == want
+
+
 def test_knn_without_id(spark):
     df = spark.createDataFrame([(1.0, 1.0), (0.0, 2.0), (2.0, 0.0)], "x DOUBLE, y DOUBLE")
     got = [(r.x, r.y) for r in planar.knn(df, 0, 0, 3).collect()]

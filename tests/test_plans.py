@@ -50,8 +50,10 @@ def test_knn_is_a_top_k_per_task(landed):
 
 
 def test_narrow_knn_limits_the_scan(landed):
-    text = plan(planar.knn(landed, 0, 0, 10, method="narrow"))
-    assert "WindowGroupLimit" in text and "ReadSchema: struct<x:double,y:double>" in text
+    text = plan(planar.knn(landed, 20, 20, 10, method="narrow"))
+    assert "WindowGroupLimit" in text and "Partial" in text
+    assert "GreaterThanOrEqual(x," in text and "LessThanOrEqual(y," in text
+    assert "tile_x" in text.split("PartitionFilters")[1].splitlines()[0]
 
 
 @pytest.mark.parametrize("options, join", [({}, "BroadcastHashJoin"), ({"strategy": "shuffle"}, "SortMergeJoin")])
