@@ -10,13 +10,14 @@ from pyspark.sql.window import Window
 
 from planar.functions.exprs import distance, inside, is_located
 from planar.operators.join import distance_join
-from planar.plans.grid import EVERYWHERE, with_box_cells, with_level_cells
+from planar.plans.grid import EVERYWHERE, box_copies, with_box_cells, with_level_cells
 from planar.plans.scratch import scratch_path
-from planar.plans.sizing import BROADCAST_BYTES, fits_broadcast, spread
+from planar.plans.sizing import BROADCAST_BYTES, broadcast_copies, spread
 from planar.plans.skew import BLOCK_ROWS, cell_join, count_and_heavy, splittable, unfold_copies
 from planar.sources.landing import without_tiles
 
-_COPIES = 9
+# Cells per axis of a box: many if the box table then still fits for broadcast.
+_FINE, _COARSE = 8, 2
 
 # Fixed values of the query generator: a prime modulus and multipliers for it.
 _MODULUS = 2_147_483_647
@@ -55,6 +56,17 @@ def workload(ids: DataFrame, seed: int = 1, size: float = 1.0, q: str = "q") ->
     )
 
 
+def _cell_choice(queries: DataFrame, factor: int, strategy: str, limit: int) -> tuple[bool, int]:
+    """Whether to broadcast the copies of ``queries``, and the cells per axis."""
+    if strategy not in ("auto", "broadcast", "shuffle"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy == "shuffle":
+        return False, _COARSE
+    choices = {factor * box_copies(parts): parts for parts in (_FINE, _COARSE)}
+    parts = choices.get(broadcast_copies(queries, list(choices), limit))
+    return (True, parts) if parts else (False, _COARSE)
+
+
 def batch_box(
     points: DataFrame,
     boxes: DataFrame,
@@ -82,11 +94,12 @@ def batch_box(
         # least/greatest skip NULLs, so the corners are tested themselves
         " AND ".join(f"{c} IS NOT NULL" for c in ("x0", "y0", "x1", "y1"))
     ).where((F.col("_xmax") > F.col("_xmin")) & (F.col("_ymax") > F.col("_ymin")))
-    broadcast = strategy != "shuffle" and fits_broadcast(queries, _COPIES, broadcast_bytes)
+    broadcast, parts = _cell_choice(queries, 1, strategy, broadcast_bytes)
     cells = with_box_cells(
         queries,
         F.greatest("_xmin", lo), F.greatest("_ymin", lo),
         F.least("_xmax", hi), F.least("_ymax", hi),
+        parts,
     )
     if broadcast:
         points = spread(points, "id")
@@ -204,7 +217,8 @@ def batch_knn(
     queries = spread(queries, "q")
     if fan is None:
         fan = min(max(total // max(1, queries.count() * k), _FAN_MIN), _FAN_MAX)
-    broadcast = strategy != "shuffle" and fits_broadcast(queries, 2 * _COPIES, broadcast_bytes)
+    # Twice the bytes, because the bounds come on top of the counted columns.
+    broadcast, parts = _cell_choice(queries, 2, strategy, broadcast_bytes)
 
     def stored(bounds: DataFrame) -> DataFrame:
         path = scratch_path(spark, "knn-bounds")
@@ -214,7 +228,9 @@ def batch_knn(
     def search(subset: DataFrame, circles: DataFrame) -> DataFrame:
         reach = F.coalesce("_r", F.lit(EVERYWHERE)) * F.lit(1.0 + 1e-9) + F.lit(1e-150)
         qx, qy = F.col("_qx"), F.col("_qy")
-        cells = with_box_cells(circles, qx - reach, qy - reach, qx + reach, qy + reach)
+        cells = with_box_cells(
+            circles, qx - reach, qy - reach, qx + reach, qy + reach, parts, ("_qx", "_qy", reach)
+        )
         d, r = distance("x", "y", qx, qy), F.col("_r")
         within = r.isNull() | (d < r) | ((d == r) & (F.col("id") <= F.col("_rid")))
         found = cell_join(

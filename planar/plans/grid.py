@@ -94,14 +94,40 @@ def _index_sql(v: str) -> str:
     return f"floor({v} / pow(2D, {LEVEL}))"
 
 
-def with_box_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
-    """Copies of each row, one per cell its box touches on the box's level: at
-    most 3 per axis, because the cell is at least half as wide as the box."""
+def box_copies(parts: int) -> int:
+    """Most copies that ``with_box_cells`` makes of one row."""
+    return (parts + 1) ** 2
+
+
+def with_box_cells(
+    df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, parts: int = 2,
+    circle: tuple[str, str, Column] | None = None,
+) -> DataFrame:
+    """Copies of each row, one per cell its box touches on the box's level. The
+    cell is at least ``1 / parts`` as wide as the box, so there are at most
+    ``parts + 1`` per axis; smaller cells let fewer points meet a box in vain.
+
+    With ``circle`` (centre columns and radius) the cells in the corners of the
+    box that the circle does not reach are left out.
+    """
     df = df.withColumns({"_bx0": x0, "_by0": y0, "_bx1": x1, "_by1": y1})
-    df = df.withColumn(LEVEL, _level_of(F.expr("greatest(_bx1 - _bx0, _by1 - _by0) / 2D")))
+    size = F.expr("greatest(_bx1 - _bx0, _by1 - _by0)")
+    df = df.withColumn(LEVEL, _level_of(size / F.lit(float(parts))))
+    if circle:
+        df = df.withColumn("_reach", circle[2])
     for axis in "xy":
         span = f"sequence({_index_sql(f'_b{axis}0')}, {_index_sql(f'_b{axis}1')})"
         df = df.withColumn(f"_c{axis}", F.expr(f"explode({span})"))
+    if circle:
+        width = f"pow(2D, {LEVEL})"
+        gaps = [
+            f"greatest(_c{axis} * {width} - {centre}, {centre} - (_c{axis} + 1) * {width}, 0D)"
+            for axis, centre in zip("xy", circle[:2])
+        ]
+        # Some slack, since the gaps are rounded; a spare cell does no harm.
+        reach = f"(_reach * {1.0 + 1e-6!r}D + {CELL_PAD_ABS!r}D)"
+        df = df.where(F.expr(" + ".join(f"{g} * {g}" for g in gaps) + f" <= {reach} * {reach}"))
+        df = df.drop("_reach")
     df = df.withColumn(CELL, F.expr(pack_sql("_cx", "_cy")))
     return df.drop("_bx0", "_by0", "_bx1", "_by1", "_cx", "_cy")
 

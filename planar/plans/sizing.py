@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,8 +63,9 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(cores, key) if key in df.columns else df.repartition(cores)
 
 
-def fits_broadcast(df: DataFrame, copies: int = 1, limit: int = BROADCAST_BYTES) -> bool:
-    """True only if ``copies`` of ``df`` were measured to stay within ``limit``.
+def broadcast_copies(df: DataFrame, choices: Sequence[int], limit: int = BROADCAST_BYTES) -> int:
+    """The first of ``choices`` (largest first) so that this many copies of every
+    row of ``df`` were measured to stay within ``limit``; 0 if none do.
 
     The measuring job runs only on an input that is already expected to be
     small, by Catalyst's estimate or, where it has none, by taking rows until
@@ -71,10 +74,17 @@ def fits_broadcast(df: DataFrame, copies: int = 1, limit: int = BROADCAST_BYTES)
     """
     estimate = estimated_bytes(df)
     if estimate is None or estimate >= _NO_ESTIMATE:
-        most = limit // (copies * _ROW_OVERHEAD)
+        most = limit // (min(choices) * _ROW_OVERHEAD)
         if len(df.select(F.lit(True)).take(most + 1)) > most:
-            return False
+            return 0
     elif estimate > limit:
-        return False
+        return 0
     size = measured_bytes(df)
-    return size is not None and size * copies <= limit
+    if size is None:
+        return 0
+    return next((n for n in choices if size * n <= limit), 0)
+
+
+def fits_broadcast(df: DataFrame, copies: int = 1, limit: int = BROADCAST_BYTES) -> bool:
+    """True only if ``copies`` of ``df`` were measured to stay within ``limit``."""
+    return broadcast_copies(df, [copies], limit) > 0
