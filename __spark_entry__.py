@@ -12,8 +12,17 @@ import planar
 from planar import fixtures
 from planar.plans.scratch import scratch_path
 
+try:  # the corpus operators are optional; nothing else here may be missing
+    import corpus_pipeline
+    from planar.llm import queries as corpus
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("planar.llm", "corpus_pipeline")):
+        raise
+    corpus_pipeline = corpus = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The query parameters that the results are compared for.
 BOXES = {
     "box_180x90": (-90, -45, 90, 45),
     "box_18x9": (0, 0, 18, 9),
@@ -182,6 +191,14 @@ def _batch_knn(recipe="fine", **options) -> Query:
 
 
 def queries() -> dict[str, Query]:
+    return core_queries() | (corpus_queries() if corpus else {})
+
+
+def corpus_queries() -> dict[str, Query]:
+    return corpus.queries() | {"pipeline": corpus_pipeline.run}
+
+
+def core_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out |= {name: _box(box) for name, box in BOXES.items()}
     out["box_18x9_snap"] = _box(BOXES["box_18x9"], "snap")
@@ -313,6 +330,15 @@ def _sql_batch_knn(recipe="fine") -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    out = core_sql()
+    if corpus:
+        out |= corpus.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out
+
+
+def core_sql() -> dict[str, str]:
     points = fixtures.points_sql()
     out: dict[str, str] = {}
     out |= {name: _sql_box(box) for name, box in BOXES.items()}

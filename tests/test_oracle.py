@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 import oracle
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = entry.core_queries(), entry.core_sql()
 
 
 @pytest.fixture(scope="module")
