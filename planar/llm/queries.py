@@ -5,16 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from planar.llm import quality, sql
+from planar.llm import pii, quality, secret_scan, sql
+from planar.llm.ship import ship_code
+from planar.llm.spans import n_spans, of_kinds, spans_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    crf = pii.train(docs)
+    found = docs.select("doc_id", pii.personal_spans("text", crf).alias("found")).select("doc_id", "found.*")
+    return found.select(
+        "doc_id", *[n_spans("base", kind) for kind in pii.KINDS],
+        F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"),
+    )
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", secret_scan.secret_spans("text").alias("found"))
+    base = of_kinds("found", secret_scan.BASE_KINDS)
+    return found.select(
+        "doc_id", *[n_spans("found", kind) for kind in secret_scan.BASE_KINDS],
+        F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text("found").alias("spans"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -23,6 +47,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op5_personal_data": op5_personal_data,
+        "op8_secret_scan": op8_secret_scan,
         "op10_quality_rules": op10_quality_rules,
     }
 
