@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planar.llm import pii, quality, secret_scan, sql
+from planar.llm import mixing, pii, quality, secret_scan, sql, url_rules
 from planar.llm.ship import ship_code
 from planar.llm.spans import n_spans, of_kinds, spans_text
 
@@ -19,6 +19,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixed.select("doc.doc_id", "size", "source_size", "target", taken)
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     crf = pii.train(docs)
@@ -29,6 +35,11 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page.page_id", "host", "path", "rule", "verdict")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = docs.select("doc_id", secret_scan.secret_spans("text").alias("found"))
@@ -47,7 +58,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_mixing": op3_mixing,
         "op5_personal_data": op5_personal_data,
+        "op7_url_rules": op7_url_rules,
         "op8_secret_scan": op8_secret_scan,
         "op10_quality_rules": op10_quality_rules,
     }
@@ -55,5 +68,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_mixing": sql.mixing(),
         "op10_quality_rules": sql.quality_rules(),
     }

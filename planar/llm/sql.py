@@ -53,3 +53,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   {' AND '.join(tests)} AS kept
 FROM counts"""
+
+
+def mixing() -> str:
+    return f"""
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+           CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r
+      FROM d GROUP BY source),
+w AS (SELECT *, CAST(list_value(5, 2, 1)[(r - 1) % 3 + 1] AS BIGINT) AS w, 3 * source_size AS cap,
+      CAST((SELECT sum(source_size) FROM s) AS BIGINT) AS total FROM s),
+l AS (SELECT *, (CAST(total AS DOUBLE) - CAST(sum(cap) OVER (ORDER BY cap / w, r ROWS UNBOUNDED PRECEDING) - cap AS BIGINT))
+      / CAST(sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level FROM w),
+t AS (SELECT *, least(CAST(cap AS DOUBLE), w * (SELECT first(level ORDER BY cap / w, r) FROM l WHERE level * w <= cap)) AS target
+      FROM l),
+b AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+      coalesce(sum(d.size) OVER (PARTITION BY t.r ORDER BY h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN
+  CAST(size * least(greatest(floor((target - before - size / 2) / source_size) + 1, 0), 3) AS BIGINT) ELSE 0 END AS taken
+FROM b"""
