@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planar.llm import mixing, pii, quality, secret_scan, sql, url_rules
+from planar.llm import mixing, pii, quality, secret_scan, sql, url_rules, warc
 from planar.llm.ship import ship_code
 from planar.llm.spans import n_spans, of_kinds, spans_text
 
@@ -25,6 +25,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", taken)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     crf = pii.train(docs)
@@ -59,6 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_mixing": op3_mixing,
+        "op4_warc": op4_warc,
         "op5_personal_data": op5_personal_data,
         "op7_url_rules": op7_url_rules,
         "op8_secret_scan": op8_secret_scan,
@@ -69,5 +74,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": sql.mixing(),
+        "op4_warc": sql.warc(),
         "op10_quality_rules": sql.quality_rules(),
     }

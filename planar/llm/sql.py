@@ -73,3 +73,13 @@ b AS (SELECT d.doc_id, d.size, t.source_size, t.target,
 SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN
   CAST(size * least(greatest(floor((target - before - size / 2) / source_size) + 1, 0), 3) AS BIGINT) ELSE 0 END AS taken
 FROM b"""
+
+
+def warc() -> str:
+    return """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM f"""
