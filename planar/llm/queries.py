@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planar.llm import mixing, pii, quality, secret_scan, sql, url_rules, warc
+from planar.llm import decontaminate, mixing, pii, quality, secret_scan, sql, url_rules, warc
 from planar.llm.ship import ship_code
 from planar.llm.spans import n_spans, of_kinds, spans_text
 
@@ -54,6 +54,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -67,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op5_personal_data": op5_personal_data,
         "op7_url_rules": op7_url_rules,
         "op8_secret_scan": op8_secret_scan,
+        "op9_decontaminate": op9_decontaminate,
         "op10_quality_rules": op10_quality_rules,
     }
 
