@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planar.llm.joins import attach
 from planar.llm.scratch import written
 from planar.plans.scratch import scratch_path
 from planar.plans.sizing import fits_broadcast
@@ -217,17 +218,6 @@ def _put_together(pieces: pa.Table) -> pa.Table:
     })
 
 
-def attach(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
-    """Left join by a key that a large part of ``rows`` may share: a broadcast if
-    ``small`` was measured to fit one, else a join in salted parts."""
-    if fits_broadcast(small):
-        return rows.join(F.broadcast(small), key, "left")
-    salts = 16
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(salts)).cast("int")
-    return rows.withColumn("_salt", salt).join(salted, [key, "_salt"], "left").drop("_salt")
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records on the chains of all archives below ``path``: ``file, at, type,
     id, refers_to, digest`` (as stated), ``payload_bytes, payload_digest`` (as read;
