@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planar.llm import decontaminate, mixing, ngram_join, pii, quality, secret_scan, sql, url_rules, warc
+from planar.llm import decontaminate, mixing, ngram_join, pii, quality, secret_scan, sql, substring_dedup, url_rules, warc
 from planar.llm.ship import ship_code
 from planar.llm.spans import n_spans, of_kinds, spans_text
 
@@ -24,6 +24,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     taken = (F.col("size") * F.col("copies")).alias("taken")
@@ -72,6 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_mixing": op3_mixing,
         "op4_warc": op4_warc,
         "op5_personal_data": op5_personal_data,
