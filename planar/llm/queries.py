@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planar.llm import decontaminate, mixing, ngram_join, pii, quality, secret_scan, sql, substring_dedup, url_rules, warc
+from planar.llm import decontaminate, lm_score, mixing, ngram_join, pii, quality, secret_scan, sql, substring_dedup, url_rules, warc
 from planar.llm.ship import ship_code
 from planar.llm.spans import n_spans, of_kinds, spans_text
 
@@ -49,6 +49,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_rules.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page.page_id", "host", "path", "rule", "verdict")
@@ -81,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op3_mixing": op3_mixing,
         "op4_warc": op4_warc,
         "op5_personal_data": op5_personal_data,
+        "op6_lm_score": op6_lm_score,
         "op7_url_rules": op7_url_rules,
         "op8_secret_scan": op8_secret_scan,
         "op9_decontaminate": op9_decontaminate,
