@@ -5,14 +5,15 @@ the record, so archives can go wherever Spark can write. Of the rows with equal
 payloads of some size the one with the smallest id is a response, the others are
 revisit records without a payload that refer to it.
 
-Reading. Spark's text reader cuts the files, in splits, at every place that looks
+Reading. Spark's text reader cuts the files, in blocks, at every place that looks
 like the start of a record, and so also inside payloads that hold such bytes. The
-place of each piece in its file is a running sum of lengths, within each split and
-over the splits. A piece with a readable header is a candidate with a successor:
-the place behind its content. Pointer jumping from the start of each file, four
-links and their multiples per round, keeps the candidates that are reached. A
-record that was cut is put together again from the pieces between it and its
-successor.
+place of each piece in its file is a running sum of lengths, within each block and
+over the blocks. A piece with a readable header is a candidate with a successor:
+the place behind its content. The task also follows successors to where they leave
+its block. Pointer jumping from the start of each file over these exits, four and
+their multiples per round, finds where the chain enters each block, and a walk from
+there keeps the candidates that are reached. A record that was cut is put together
+again from the pieces between it and its successor.
 
 Defined cases: a NULL or empty payload is a record of length 0. Rows with a NULL id
 are responses that nothing refers to. Repeated rows with the smallest id are all
@@ -58,7 +59,7 @@ def classify(pages: DataFrame, payload: Column, page_id: str, least: int = LEAST
     shared = rows.where(F.col("size") >= least).groupBy("digest").agg(
         F.min("page_id").alias("first"), F.max("page_id").alias("last")
     ).where(F.col("first") < F.col("last")).select("digest", "first")
-    rows = attach(rows, shared, "digest")
+    rows = attach(rows, written(pages.sparkSession, shared, "warc-shared"), "digest")
     refers = F.when((F.col("size") >= least) & (F.col("page_id") > F.col("first")), F.col("first"))
     return rows.withColumn("refers_to", refers).drop("first")
 
@@ -90,7 +91,7 @@ def write(
 # --- reading -------------------------------------------------------------------
 
 _PIECES = (
-    "file string, block bigint, piece bigint, rel bigint, size bigint, reach bigint, complete boolean, "
+    "file string, block bigint, piece bigint, rel bigint, size bigint, reach bigint, exit bigint, complete boolean, "
     "type string, id string, refers_to string, digest string, payload_bytes bigint, payload_digest string"
 )
 _HEADER = re.compile(rb"([A-Za-z0-9-]+):[ \t]*(.*?)[ \t]*\r\n")
@@ -134,29 +135,45 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int
             number, rel = number + 1, rel + len(value) + len(MAGIC)
 
 
+_SCHEMA = pa.schema([
+    ("file", pa.string()), ("block", pa.int64()), ("piece", pa.int64()), ("rel", pa.int64()), ("size", pa.int64()),
+    ("reach", pa.int64()), ("exit", pa.int64()), ("complete", pa.bool_()), ("type", pa.string()), ("id", pa.string()),
+    ("refers_to", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+])
+
+
+def _candidate(value: bytes) -> dict:
+    head = parsed(value)
+    if head is None:
+        return {"complete": False}
+    headers, at, length = head
+    complete = len(value) == at + length + 4
+    return {
+        "reach": at + length + 4, "complete": complete, "type": headers["warc-type"], "id": headers.get("warc-record-id"),
+        "refers_to": headers.get("warc-refers-to"), "digest": headers.get("warc-payload-digest"), "payload_bytes": length,
+        "payload_digest": hashlib.sha256(value[at : at + length]).hexdigest() if complete else None,
+    }
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([
-        ("file", pa.string()), ("block", pa.int64()), ("piece", pa.int64()), ("rel", pa.int64()), ("size", pa.int64()),
-        ("reach", pa.int64()), ("complete", pa.bool_()), ("type", pa.string()), ("id", pa.string()),
-        ("refers_to", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-    ])
-    rows: list[tuple] = []
-    for file, block, number, rel, value in _numbered(batches):
-        head = parsed(value)
-        if head is None:
-            row = (None, False, None, None, None, None, None, None)
-        else:
-            h, at, length = head
-            complete = len(value) == at + length + 4
-            content = hashlib.sha256(value[at : at + length]).hexdigest() if complete else None
-            row = (at + length + 4, complete, h["warc-type"], h.get("warc-record-id"), h.get("warc-refers-to"),
-                   h.get("warc-payload-digest"), length, content)
-        rows.append((file, block, number, rel, len(value), *row))
-        if len(rows) == 4096:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    """The pieces of each block without their bytes, and where their chains leave it."""
+    block: list[dict] = []
+
+    def ended() -> pa.RecordBatch:
+        exits = {}
+        for row in reversed(block):
+            if row.get("reach") is not None:
+                then = row["rel"] + row["reach"] + len(MAGIC)
+                row["exit"] = exits[row["rel"]] = exits.get(then, then)
+        return pa.RecordBatch.from_pylist(block, schema=_SCHEMA)
+
+    for file, number, piece, rel, value in _numbered(batches):
+        if block and (block[0]["file"], block[0]["block"]) != (file, number):
+            yield ended()
+            block = []
+        block.append({"file": file, "block": number, "piece": piece, "rel": rel, "size": len(value), **_candidate(value)})
+    if block:
+        yield ended()
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -167,26 +184,30 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "block", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
     # The piece before the first magic of a file sits, so to say, before the file.
-    at = F.col("base") + F.col("rel") - len(MAGIC)
-    placed = pieces.join(blocks, ["file", "block"]).withColumn("at", at)
-    return placed.withColumn("to", F.col("at") + len(MAGIC) + F.col("reach")).drop("base", "rel")
+    zero = F.col("base") - len(MAGIC)
+    placed = pieces.join(blocks, ["file", "block"]).withColumns({
+        "at": zero + F.col("rel"), "to": zero + F.col("rel") + len(MAGIC) + F.col("reach"), "exit": zero + F.col("exit")})
+    return placed.drop("base", "rel")
 
 
-def reachable(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """``file, at`` of the candidates on the chain that starts at 0 in each file.
+def entries(spark: SparkSession, pieces: DataFrame) -> DataFrame:
+    """``file, at`` of the places at which the chain from the start of each file
+    comes into a block. Only exits can be such places, so few links take part.
 
-    A link that leads to no candidate ends its chain. Each round follows 1, 2
-    and 3 of the current jumps and then makes each jump four times as long.
+    Each round follows 1 to 4 of the current jumps and then makes each jump four
+    times as long. A jump to a place without a candidate ends its chain.
     """
-    jumps = links.where(F.col("to").isNotNull()).select("file", "at", "to")
+    jumps = pieces.where(F.col("reach").isNotNull()).select("file", "at", F.col("exit").alias("to"))
+    ways_in = jumps.select("file", F.col("to").alias("at")).unionByName(
+        jumps.where(F.col("at") == 0).select("file", "at")).distinct()
+    jumps = written(spark, jumps.join(ways_in, ["file", "at"]), "warc-exits")
     reached = jumps.where(F.col("at") == 0).select("file", "at")
     n = reached.count()
     while n:
-        hops = [jumps.toDF("file", f"a{i}", f"b{i}") for i in range(_HOPS)]
-        ways = hops[0]
+        ways = jumps.select("file", F.col("at").alias("a0"), F.col("to").alias("b0"))
         for i in range(1, _HOPS):
-            ways = ways.join(hops[i], (hops[i]["file"] == hops[0]["file"]) & (F.col(f"b{i - 1}") == F.col(f"a{i}")), "left")
-            ways = ways.drop(hops[i]["file"])
+            hop = jumps.select("file", F.col("at").alias(f"b{i - 1}"), F.col("to").alias(f"b{i}"))
+            ways = ways.join(hop, ["file", f"b{i - 1}"], "left")
         ends = F.array(*[F.col(f"b{i}") for i in range(_HOPS)])
         ways = written(spark, ways.select("file", F.col("a0").alias("at"), ends.alias("ends")), "warc-jumps")
         met = reached.join(ways, ["file", "at"]).select("file", F.explode("ends").alias("at")).where(F.col("at").isNotNull())
@@ -199,6 +220,21 @@ def reachable(spark: SparkSession, links: DataFrame) -> DataFrame:
     return reached
 
 
+def _walk(block: pa.Table, entered: pa.Table) -> pa.Table:
+    """The candidates of a block that are reached from where the chain comes in."""
+    at, to = block.column("at").to_pylist(), block.column("to").to_pylist()
+    place = {a: i for i, a in enumerate(at) if to[i] is not None}
+    kept = set()
+    for now in entered.column("at").to_pylist():
+        while now in place and place[now] not in kept:
+            kept.add(place[now])
+            now = to[place[now]]
+    return block.take(pa.array(sorted(kept), pa.int64())).select(_RECORD)
+
+
+_RECORD = ["file", "at", "type", "id", "refers_to", "digest", "payload_bytes", "payload_digest", "complete"]
+
+
 def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for file, block, number, _, value in _numbered(batches):
         yield pa.RecordBatch.from_pydict(
@@ -223,10 +259,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     id, refers_to, digest`` (as stated), ``payload_bytes, payload_digest`` (as read;
     NULL for a record that does not end as it should)."""
     pieces = written(spark, candidates(spark, path), "warc-candidates")
-    chain = reachable(spark, pieces.where(F.col("reach").isNotNull()))
-    on_chain = pieces.where(F.col("to").isNotNull()).join(chain, ["file", "at"], "left_semi")
-    records = on_chain.select(
-        "file", "at", "type", "id", "refers_to", "digest", "payload_bytes", "payload_digest", "complete")
+    chain = entries(spark, pieces)
+    entered = pieces.select("file", "block", "at").join(chain, ["file", "at"], "left_semi")
+    # New columns, for the cogroup to tell its sides apart.
+    entered = entered.select(*[F.col(c).alias(c) for c in entered.columns])
+    walked = pieces.groupBy("file", "block").cogroup(entered.groupBy("file", "block")).applyInArrow(
+        _walk, pieces.select(*_RECORD).schema)
+    records = written(spark, walked, "warc-chain")
 
     # Pieces between a record that was cut and its successor belong to it.
     starts = records.select("file", "at", F.col("at").alias("start"), (~F.col("complete")).alias("cut"))
@@ -259,7 +298,7 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
     responses = records.where(F.col("record_type") == "response").select(
         F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
     responses = responses.join(named, "refers_to", "left_semi").dropDuplicates(["refers_to"])
-    out = attach(records, responses, "refers_to")
+    out = attach(records, written(spark, responses, "warc-referred"), "refers_to")
     revisit = F.col("record_type") == "revisit"
     return out.select(
         "page_id", F.when(revisit, F.col("b")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
