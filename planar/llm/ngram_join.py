@@ -248,7 +248,7 @@ def near_groups(
     """One row per document: ``doc_id, class_id`` (the smallest id of its group of
     near-duplicates), ``n_links`` (other documents at least this similar to it) and
     ``n_copies`` (other documents with the same words), and ``first`` for one
-    document of each group."""
+    document of each group; ``t`` is the hash of its text."""
     spark = docs.sparkSession
     bands, rows = banding(similarity, recall)
     # ``t`` tells texts apart on the JVM, where a join can use it.
@@ -302,7 +302,33 @@ def near_groups(
     out = attach(signed.select("id", "t", "k1", "k2"), known, ["k1", "k2"])
     other = F.coalesce(F.col("copies") - 1, F.lit(0))
     return out.select(
-        F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"),
+        F.col("id").alias("doc_id"), "t", F.coalesce("class_id", "id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + other).cast("bigint").alias("n_links"), other.cast("bigint").alias("n_copies"),
         (F.coalesce("is_head", F.lit(True)) & F.coalesce("id", F.lit(0)).eqNullSafe(
             F.coalesce("class_id", "id", F.lit(0)))).alias("first"))
+
+
+def one_of_each(
+    docs: DataFrame, similarity: float = SIMILARITY, n: int = NGRAM, recall: float = RECALL,
+    text: str = "text", id: str = "doc_id",  # noqa: A002
+) -> DataFrame:
+    """The documents, unchanged, of which each group of near-duplicates keeps the one
+    with the smallest id. Of rows that repeat it as a whole one stays."""
+    spark = docs.sparkSession
+    groups = near_groups(docs, similarity, n, recall, text, id).where("first").select(
+        F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    t = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    same = F.col(f"`{id}`").eqNullSafe(F.col("_id")) & (t == F.col("_t"))
+    firsts = groups.groupBy("_id", "_t").agg(F.count(F.lit(1)).alias("_n"))
+    firsts = written(spark, firsts, "firsts")
+    once, often = firsts.where("_n = 1"), firsts.where("_n > 1")
+    out = docs.join(_small(once), same, "left_semi")
+    if often.isEmpty():
+        return out
+    # Rows that repeat each other in id and text; any of them will do.
+    again = docs.join(_small(often), same, "left_semi")
+    return out.unionByName(again.dropDuplicates([id, text]))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if fits_broadcast(df) else df

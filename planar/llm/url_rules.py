@@ -23,6 +23,9 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planar.llm.joins import attach
+from planar.llm.scratch import written
+
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -152,10 +155,10 @@ def judge(
     })
     if labelled is None:
         labelled = rows.where(F.col("by_rule").isNotNull()).select(F.col("u").alias("url"), F.col("by_rule").alias("verdict"))
-    rules = mine(labelled, min_support, min_confidence)
+    rules = written(pages.sparkSession, mine(labelled, min_support, min_confidence), "url-rules")
     frequent = rules.agg(F.array_sort(F.flatten(F.collect_set("tokens"))).alias("t")).select(F.array_distinct("t"))
     vocabulary = frequent.scalar()
     signed = rows.withColumn("signature", F.array_intersect(tokens("u"), vocabulary))
-    best = matches(signed.select("signature").distinct(), rules)
-    out = signed.join(best, "signature", "left")
+    best = written(pages.sparkSession, matches(signed.select("signature").distinct(), rules), "url-verdicts")
+    out = attach(signed, best, "signature")
     return out.select("page", "host", "path", "rule", F.coalesce("by_rule", "mined", F.lit(default)).alias("verdict"))
