@@ -132,20 +132,21 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def score(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc``, ``counts``, ``base_failed`` and ``kept`` for every row."""
-    return measured(docs, text).select(
+    """``doc``, ``counts``, ``base_failed`` and ``kept`` for every row.
+
+    The optimizer would push a filter on the verdicts below the projections and so
+    copy every array into each of its uses. It does not move one past a column that
+    depends on the place of the row, so the verdicts ask for such a column, too.
+    """
+    placed = measured(docs, text).withColumn("place", F.monotonically_increasing_id())
+    here = F.col("place") >= 0
+    return placed.select(
         "doc", "counts",
-        (~compiled(BASE_RULES, "counts")).alias("base_failed"),
-        compiled(BASE_RULES + METHOD_RULES, "counts").alias("kept"),
+        (here & ~compiled(BASE_RULES, "counts")).alias("base_failed"),
+        (here & compiled(BASE_RULES + METHOD_RULES, "counts")).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that pass every rule, unchanged.
-
-    The optimizer would push the filter below the projections and so copy every
-    array into each of its uses. It does not move one past a column that depends on
-    the place of the row, so the filter asks for such a column, too.
-    """
-    scored = score(docs, text).withColumn("place", F.monotonically_increasing_id())
-    return scored.where(F.col("kept") & (F.col("place") >= 0)).select("doc.*")
+    """The rows that pass every rule, unchanged."""
+    return score(docs, text).where("kept").select("doc.*")
