@@ -63,5 +63,7 @@ def test_broken_chain_ends(spark):
 
 def test_sql(spark):
     name = "op4_warc"
-    ok, message = oracle.same(queries.queries()[name](spark, SF), oracle.connect(SF), queries.oracle_sql()[name])
-    assert ok, message
+    want = oracle.connect(SF).execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    got = queries.queries()[name](spark, SF).select(*columns).collect()
+    assert Counter(map(tuple, got)) == Counter(want.fetchall())
