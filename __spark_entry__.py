@@ -52,6 +52,8 @@ NEIGHBOURS = {
 JOINS = {"join_0_1": 0.1, "join_1": 1.0, "join_10": 10.0}
 
 WORKLOAD_SEED, WORKLOAD_SIZE = 7, 0.1
+# Factor of the coordinates in queries far from the origin.
+WIDE = 1e8
 
 
 # --- queries -----------------------------------------------------------------
@@ -175,6 +177,91 @@ def _batch_box(**options) -> Query:
     return lambda s, d: planar.batch_box(fixtures.points(s, d), fixtures.boxes(s, d), **options).select("q", "id")
 
 
+def _bag(query: Callable[..., DataFrame]) -> Query:
+    """A query on copies of few points without an id."""
+    return lambda s, d: query(s, d, fixtures.points(s, d, recipe="snap").drop("id"))
+
+
+def _wide(points: DataFrame, *columns: str) -> DataFrame:
+    return points.withColumns({c: F.col(c) * F.lit(WIDE) for c in columns})
+
+
+def _wide_boxes(s: SparkSession, d: str) -> DataFrame:
+    """Boxes of all points, and beyond what they reach."""
+    half = F.lit(90.0 * WIDE)
+    corners = {c: F.col(c) * F.lit(WIDE) + (half if c in ("x1", "y1") else -half) for c in ("x0", "y0", "x1", "y1")}
+    return fixtures.boxes(s, d).withColumns(corners)
+
+
+def _mixed_boxes(s: SparkSession, d: str) -> DataFrame:
+    """Boxes from 18 x 9 to some hundred times that."""
+    grow = (F.col("q") * F.col("q")).cast("double")
+    return fixtures.boxes(s, d).withColumns({"x1": F.col("x1") + grow, "y1": F.col("y1") + grow / 2})
+
+
+def _remote(s: SparkSession, d: str) -> DataFrame:
+    return fixtures.centres(s, d).withColumn("x", F.col("x") + F.lit(5000.0))
+
+
+def _raw_view(s: SparkSession, d: str, name: str, table: str) -> None:
+    """Headerless text with bad rows, as a view of strings."""
+    p = fixtures.points(s, d, table)
+    bad = F.when(F.col("id") % 7 == 0, "not a number").otherwise(F.col("x").cast("string"))
+    p.select(F.col("id").cast("string").alias("_c2"), bad.alias("_c0"), F.col("y").cast("string").alias("_c1")).createOrReplaceTempView(name)
+
+
+RAW_POINTS = "(SELECT CAST(_c2 AS BIGINT) AS id, ST_Point(ST_Coord(_c0), ST_Coord(_c1)) AS p FROM {0})"
+SQL_RAW_BOX = (
+    f"SELECT id, p.x AS x, p.y AS y FROM {RAW_POINTS.format('raw_points')} "
+    "WHERE ST_Contains(ST_PolygonFromEnvelope(-180.0, 0.0, 0.0, 136.0), p)"
+)
+SQL_RAW_JOIN = f"""
+SELECT a.id AS a_id, b.id AS b_id FROM {RAW_POINTS.format('raw_points')} a
+JOIN (SELECT *, explode(cells) AS cell FROM (SELECT *, grid_cells(p, 10) AS cells FROM {RAW_POINTS.format('raw_other')})) b
+  ON grid_cell(a.p, 10) = b.cell AND ST_Distance(a.p, b.p) < 10
+"""
+
+
+def _raw(query: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        planar.register(s)
+        _raw_view(s, d, "raw_points", "events")
+        _raw_view(s, d, "raw_other", "supplier")
+        return s.sql(query)
+
+    return run
+
+
+def _bag_queries() -> dict[str, Query]:
+    return {
+        "join_bag_shuffle": _bag(lambda s, d, p: planar.distance_join(
+            p, fixtures.points(s, d, "supplier", "snap").drop("id"), 1.0, strategy="shuffle", block_rows=500)),
+        "knn_bag": _bag(lambda s, d, p: planar.knn(p, 0, 0, 100, method="narrow")),
+        "batch_box_bag": _bag(lambda s, d, p: planar.batch_box(p, fixtures.boxes(s, d), strategy="shuffle", block_rows=500)),
+        "batch_box_count_bag": _bag(lambda s, d, p: planar.batch_box_count(p, fixtures.boxes(s, d), strategy="shuffle")),
+        "batch_knn_bag": _bag(lambda s, d, p: planar.batch_knn(p, fixtures.centres(s, d, "snap"), 10)),
+    }
+
+
+def _far_queries() -> dict[str, Query]:
+    knn = ("q", "id", "distance", "rk")
+    return {
+        "batch_box_wide": lambda s, d: planar.batch_box(_wide(fixtures.points(s, d), "x", "y"), _wide_boxes(s, d)).select("q", "id"),
+        "batch_knn_wide": lambda s, d: planar.batch_knn(
+            _wide(fixtures.points(s, d), "x", "y"), _wide(fixtures.centres(s, d), "x", "y"), 10).select(*knn),
+        "batch_knn_remote": lambda s, d: planar.batch_knn(fixtures.points(s, d), _remote(s, d), 10).select(*knn),
+        "batch_knn_1001": lambda s, d: planar.batch_knn(
+            fixtures.points(s, d), fixtures.centres(s, d).where("q % 10 = 0"), 1_001).select(*knn),
+        "knn_1001": _knn(0, 0, 1_001, "nearest", method="narrow"),
+        "batch_box_mixed": lambda s, d: planar.batch_box(fixtures.points(s, d), _mixed_boxes(s, d)).select("q", "id"),
+        "batch_box_mixed_shuffle": lambda s, d: planar.batch_box(
+            fixtures.points(s, d), _mixed_boxes(s, d), strategy="shuffle").select("q", "id"),
+        "join_many_hot": _join(2.0, right="events", strategy="shuffle", block_rows=2),
+        "sql_raw_box": _raw(SQL_RAW_BOX),
+        "sql_raw_join": _raw(SQL_RAW_JOIN),
+    }
+
+
 def _batch_box_count(s: SparkSession, d: str) -> DataFrame:
     return planar.batch_box_count(fixtures.points(s, d), fixtures.boxes(s, d))
 
@@ -242,7 +329,7 @@ def core_queries() -> dict[str, Query]:
         "batch_knn_snap": _batch_knn("snap"),
         "batch_knn_shuffle": _batch_knn(strategy="shuffle", base=64, fan=8),
     }
-    return out
+    return out | _bag_queries() | _far_queries()
 
 
 # --- the same in SQL ---------------------------------------------------------
@@ -379,6 +466,64 @@ def core_sql() -> dict[str, str]:
     out["batch_circle"] = f"SELECT q, id, distance FROM ({_sql_pairs()}) pairs WHERE distance < {_d(10)}"
     out["batch_knn"] = out["batch_knn_shuffle"] = _sql_batch_knn()
     out["batch_knn_snap"] = _sql_batch_knn("snap")
+    return out | _sql_bag() | _sql_far()
+
+
+def _sql_ranked(pairs: str, k: int, ties: str = "id") -> str:
+    return (
+        f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, {ties}) AS rk "
+        f"FROM ({pairs}) pairs) r WHERE rk <= {k}"
+    )
+
+
+def _sql_bag() -> dict[str, str]:
+    points, other = fixtures.points_sql(recipe="snap"), fixtures.points_sql("supplier", "snap")
+    inside = "x > x0 AND x < x1 AND y > y0 AND y < y1"
+    pairs = (
+        f"SELECT b.id AS q, a.x AS x, a.y AS y, {_dist('a.x', 'a.y', 'b.x', 'b.y')} AS distance "
+        f"FROM {points} a CROSS JOIN {other} b"
+    )
+    return {
+        "join_bag_shuffle": f"SELECT a.x AS a_x, a.y AS a_y, b.x AS b_x, b.y AS b_y FROM {points} a JOIN {other} b "
+                            f"ON {_dist('a.x', 'a.y', 'b.x', 'b.y')} < {_d(1.0)}",
+        "knn_bag": f"SELECT x, y, {_dist('x', 'y', _d(0), _d(0))} AS distance FROM {points} p ORDER BY distance, x, y LIMIT 100",
+        "batch_box_bag": f"SELECT q, x, y FROM {fixtures.boxes_sql()} b JOIN {points} p ON {inside}",
+        "batch_box_count_bag": f"SELECT b.q AS q, count(p.x) AS n FROM {fixtures.boxes_sql()} b LEFT JOIN {points} p ON {inside} GROUP BY b.q",
+        "batch_knn_bag": _sql_ranked(pairs, 10, "x, y"),
+    }
+
+
+def _sql_far() -> dict[str, str]:
+    points, other, boxes = fixtures.points_sql(), fixtures.points_sql("supplier"), fixtures.boxes_sql()
+    far, half = _d(WIDE), _d(90.0 * WIDE)
+
+    def wide(table: str, *columns: str) -> str:
+        kept = "id, " if table != boxes else "q, "
+        return f"(SELECT {kept}" + ", ".join(f"{c} * {far} AS {c}" for c in columns) + f" FROM {table} t)"
+
+    def pairs(a: str, b: str, only: str = "true") -> str:
+        return (
+            f"SELECT b.id AS q, a.id AS id, {_dist('a.x', 'a.y', 'b.x', 'b.y')} AS distance "
+            f"FROM {a} a CROSS JOIN {b} b WHERE {only}"
+        )
+
+    corners = ", ".join(f"{c} * {far} {'+' if c in ('x1', 'y1') else '-'} {half} AS {c}" for c in ("x0", "y0", "x1", "y1"))
+    inside = "x > x0 AND x < x1 AND y > y0 AND y < y1"
+    mixed = f"(SELECT q, x0, y0, x1 + CAST(q*q AS DOUBLE) AS x1, y1 + CAST(q*q AS DOUBLE) / 2 AS y1 FROM {boxes} t)"
+    known = lambda table: f"(SELECT * FROM {table} t WHERE id % 7 <> 0)"
+    near = f"{_dist('a.x', 'a.y', 'b.x', 'b.y')} < {_d(10)}"
+    out = {
+        "batch_box_wide": f"SELECT q, id FROM (SELECT q, {corners} FROM {boxes} t) b JOIN {wide(points, 'x', 'y')} p ON {inside}",
+        "batch_knn_wide": _sql_ranked(pairs(wide(points, "x", "y"), wide(other, "x", "y")), 10),
+        "batch_knn_remote": _sql_ranked(pairs(points, f"(SELECT id, x + {_d(5000)} AS x, y FROM {other} t)"), 10),
+        "batch_knn_1001": _sql_ranked(pairs(points, other, "b.id % 10 = 0"), 1_001),
+        "knn_1001": _sql_knn(0, 0, 1_001, "nearest"),
+        "batch_box_mixed": f"SELECT q, id FROM {mixed} b JOIN {points} p ON {inside}",
+        "join_many_hot": _sql_join(2.0, right="events"),
+        "sql_raw_box": f"SELECT id, x, y FROM {known(points)} p WHERE x > {_d(-180)} AND x < {_d(0)} AND y > {_d(0)} AND y < {_d(136)}",
+        "sql_raw_join": f"SELECT a.id AS a_id, b.id AS b_id FROM {known(points)} a JOIN {known(other)} b ON {near}",
+    }
+    out["batch_box_mixed_shuffle"] = out["batch_box_mixed"]
     return out
 
 

@@ -72,3 +72,10 @@ def is_located(x: Column | str = "x", y: Column | str = "y") -> Column:
     x, y = _col(x), _col(y)
     inf = float("inf")
     return x.between(-inf, inf) & y.between(-inf, inf)
+
+
+def is_finite(x: Column | str = "x", y: Column | str = "y") -> Column:
+    """True for rows that hold a point that is not at infinity."""
+    x, y = _col(x), _col(y)
+    inf = float("inf")
+    return (x > -inf) & (x < inf) & (y > -inf) & (y < inf)

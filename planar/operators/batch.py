@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from planar.functions.exprs import distance, inside, is_located
+from planar.functions.exprs import distance, inside, is_finite, is_located
 from planar.operators.join import distance_join
-from planar.plans.grid import EVERYWHERE, box_copies, with_box_cells, with_level_cells
+from planar.plans.grid import CUT_PARTS, box_copies, with_box_cells, with_level_cells
 from planar.plans.scratch import scratch_path
-from planar.plans.sizing import BROADCAST_BYTES, broadcast_copies, spread
-from planar.plans.skew import BLOCK_ROWS, cell_join, count_and_heavy, splittable, unfold_copies
+from planar.plans.sizing import BROADCAST_BYTES, broadcast_copies, fits_broadcast, spread
+from planar.plans.skew import BLOCK_ROWS, cell_join
 from planar.sources.landing import without_tiles
 
 # Cells per axis of a box: many if the box table then still fits for broadcast.
@@ -82,8 +82,7 @@ def batch_box(
     sizes a point has one cell per size class.
     """
     points = without_tiles(points).where(is_located())
-    output = points.columns
-    lo, hi = F.lit(-EVERYWHERE), F.lit(EVERYWHERE)
+    output = _checked(points)
     queries = boxes.select(
         "q",
         F.least("x0", "x1").cast("double").alias("_xmin"),
@@ -95,30 +94,28 @@ def batch_box(
         " AND ".join(f"{c} IS NOT NULL" for c in ("x0", "y0", "x1", "y1"))
     ).where((F.col("_xmax") > F.col("_xmin")) & (F.col("_ymax") > F.col("_ymin")))
     broadcast, parts = _cell_choice(queries, 1, strategy, broadcast_bytes)
-    cells = with_box_cells(
-        queries,
-        F.greatest("_xmin", lo), F.greatest("_ymin", lo),
-        F.least("_xmax", hi), F.least("_ymax", hi),
-        parts,
-    )
+    cells = with_box_cells(queries, *(F.col(c) for c in ("_xmin", "_ymin", "_xmax", "_ymax")), parts)
     if broadcast:
         points = spread(points, "id")
-    rows, key, count = splittable(points, "id", broadcast, block_rows, "_p")
     hits = cell_join(
-        with_level_cells(rows, "x", "y", cells),
+        with_level_cells(points, "x", "y", cells),
         cells,
         inside("x", "y", *(F.col(c) for c in ("_xmin", "_ymin", "_xmax", "_ymax"))),
         broadcast=broadcast,
-        big_key=key,
-        small_key=["q"],
+        big_key="id" if "id" in output else None,
+        small_key="q",
         block_rows=block_rows,
-        big_counts=None if broadcast else with_level_cells(points, "x", "y", cells),
     )
-    if count:
-        hits = unfold_copies(hits, count)
     return hits.select("q", *(F.col(f"`{c}`") for c in output))
 
 
+def _checked(points: DataFrame) -> list[str]:
+    """The columns of the points; results have ``q`` beside them."""
+    if "q" in points.columns:
+        raise ValueError("the points have a column q, like the results; rename it")
+    return points.columns
+
+
 def batch_box_count(points: DataFrame, boxes: DataFrame, **options) -> DataFrame:
     """Number of points per box, zero included. Counts are combined before the
     shuffle, so the hits themselves never move."""
@@ -133,7 +130,7 @@ def batch_circle(points: DataFrame, centres: DataFrame, radius: float, **options
     """``q``, the point and its distance, for every point closer than ``radius``
     to a centre. ``centres`` has a unique ``q`` and ``x, y``. This is the
     distance join with the query table on the right; options are passed to it."""
-    output = without_tiles(points).columns
+    output = _checked(without_tiles(points))
     right = centres.select(F.col("q").alias("id"), "x", "y")
     pairs = distance_join(points, right, radius, prefixes=("p_", "q_"), with_distance=True, **options)
     return pairs.select(
@@ -162,15 +159,37 @@ def _sizes(base: int, fan: int, total: int) -> Iterator[int]:
         size *= fan
 
 
-def _without_surplus_copies(points: DataFrame, hot: Iterable[int], k: int) -> DataFrame:
+def _best(df: DataFrame, group: list[str], order: list[Column | str], k: int, name: str) -> DataFrame:
+    """The first ``k`` rows per group with their rank. Spark cuts before its shuffle
+    for up to a thousand; beyond that, parts of the groups are cut first, so no task
+    gets all candidates of a group."""
+    if k > _WINDOW_CUT:
+        part = Window.partitionBy(*group, "_part").orderBy(*order)
+        df = df.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn(name, F.row_number().over(part))
+        df = df.where(F.col(name) <= k).drop("_part", name)
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return df.withColumn(name, rank).where(F.col(name) <= k)
+
+
+_WINDOW_CUT = 1_000
+# Points are counted by so many values of a hash of their place.
+_PLACES = 1 << 20
+
+
+def _without_surplus_copies(points: DataFrame, total: int, k: int, stored: Callable) -> DataFrame:
     """Of the copies of a hot point only the k smallest ids can be among the k
-    nearest of anything. The cut happens before the shuffle on each task."""
-    if not hot:
+    nearest of anything. Hot places are found by counts per hash value, of which
+    at most an eighth can be over the limit; that table is always small. The cut
+    happens before the shuffle on each task."""
+    place = F.pmod(F.xxhash64("x", "y"), F.lit(_PLACES).cast("bigint"))
+    counts = points.groupBy(place.alias("_place")).agg(F.count(F.lit(1)).alias("n"))
+    limit = max(1_000, 16 * k, 8 * total // _PLACES)
+    hot = stored(counts.where(F.col("n") > limit).select("_place", F.lit(True).alias("_hot")), "hot-places")
+    if hot.isEmpty():
         return points
-    is_hot = F.xxhash64("x", "y").isin(list(hot))
-    rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
-    best = points.where(is_hot).withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
-    return points.where(~is_hot).unionByName(best)
+    marked = points.withColumn("_place", place).join(F.broadcast(hot), "_place", "left").drop("_place")
+    best = _best(marked.where("_hot"), ["x", "y"], ["id"], k, "_rank").drop("_rank", "_hot")
+    return marked.where("_hot IS NULL").drop("_hot").unionByName(best)
 
 
 def batch_knn(
@@ -185,8 +204,9 @@ def batch_knn(
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The ``k`` nearest points of every centre: ``q``, the point, ``distance``
-    and rank ``rk``. ``points`` needs a unique ``id`` (it breaks ties),
-    ``centres`` a unique ``q`` and ``x, y``.
+    and rank ``rk``. Ties go to the smaller ``id``; points without one are written
+    to the scratch folder with a number each, and ties go to the smaller ``x, y``.
+    ``centres`` have a unique ``q`` and ``x, y``.
 
     Comparing every centre with every point is avoided by bounding each
     centre's k-th distance first. The k-th neighbour within any subset of the
@@ -204,11 +224,22 @@ def batch_knn(
     if k < 1:
         raise ValueError("k must be positive")
     points = without_tiles(points).where(is_located())
-    output = points.columns
+    output = _checked(points)
     spark = points.sparkSession
-    place = F.xxhash64("x", "y")
-    total, hot = count_and_heavy(points.select("x", "y"), place, max(1_000, 16 * k), keep=256)
-    points = spread(_without_surplus_copies(points, hot, k), "id")
+
+    def stored(df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    ties = ["id"] if "id" in output else ["x", "y", "id"]
+    if "id" not in output:
+        points = stored(points.withColumn("id", F.monotonically_increasing_id()), "knn-points")
+    extent = points.where(is_finite()).agg(
+        *[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))], F.count(F.lit(1)).alias("n")
+    ).first()
+    total = extent.n
+    points = spread(_without_surplus_copies(points, total, k, stored), "id")
     base = max(_START_POINTS, 4 * k) if base is None else base
 
     queries = centres.select(
@@ -220,30 +251,30 @@ def batch_knn(
     # Twice the bytes, because the bounds come on top of the counted columns.
     broadcast, parts = _cell_choice(queries, 2, strategy, broadcast_bytes)
 
-    def stored(bounds: DataFrame) -> DataFrame:
-        path = scratch_path(spark, "knn-bounds")
-        bounds.write.parquet(path)
-        return spark.read.schema(bounds.schema).parquet(path)
-
     def search(subset: DataFrame, circles: DataFrame) -> DataFrame:
-        reach = F.coalesce("_r", F.lit(EVERYWHERE)) * F.lit(1.0 + 1e-9) + F.lit(1e-150)
+        reach = F.coalesce("_r", F.lit(float("inf"))) * F.lit(1.0 + 1e-9) + F.lit(1e-150)
         qx, qy = F.col("_qx"), F.col("_qy")
-        cells = with_box_cells(
-            circles, qx - reach, qy - reach, qx + reach, qy + reach, parts, ("_qx", "_qy", reach)
-        )
+        # A circle need not be looked up beyond the data. One that reaches in from
+        # far outside is cut to what may be a thin slice, and gets finer cells.
+        finite = reach < F.lit(float("inf"))
+        low = [F.greatest(v - reach, F.when(finite, F.lit(extent[f"low{c}"]))) for v, c in ((qx, "x"), (qy, "y"))]
+        high = [F.least(v + reach, F.when(finite, F.lit(extent[f"high{c}"]))) for v, c in ((qx, "x"), (qy, "y"))]
+        cut = F.greatest(high[0] - low[0], high[1] - low[1]) < reach
+        share = F.when(cut, F.lit(float(CUT_PARTS))).otherwise(F.lit(float(parts)))
+        ends = [F.greatest(h, l) for l, h in zip(low, high)]
+        cells = with_box_cells(circles, *low, *ends, share, ("_qx", "_qy", reach))
         d, r = distance("x", "y", qx, qy), F.col("_r")
-        within = r.isNull() | (d < r) | ((d == r) & (F.col("id") <= F.col("_rid")))
+        tie = (F.col("id") <= F.col("_rid")) if ties == ["id"] else F.lit(True)
         found = cell_join(
             with_level_cells(subset, "x", "y", cells),
             cells,
-            within,
-            broadcast=broadcast,
-            big_key=["id"],
-            small_key=["q"],
+            r.isNull() | (d < r) | ((d == r) & tie),
+            broadcast=broadcast and fits_broadcast(cells, 1, broadcast_bytes),
+            big_key="id",
+            small_key="q",
             block_rows=block_rows,
         ).withColumn("distance", d)
-        rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
-        return found.withColumn("rk", rank).where(F.col("rk") <= k)
+        return _best(found, ["q"], ["distance", *ties], k, "rk")
 
     # The starting points as one array of bounded length, next to every centre.
     start = _subset(points.select("id", "x", "y"), base, total)
@@ -256,12 +287,13 @@ def batch_knn(
     bounds = stored(
         queries.withColumn("_start", start.scalar())
         .withColumn("_kth", F.get(F.sort_array(F.transform("_start", reached)), F.lit(k - 1)))
-        .select("q", "_qx", "_qy", F.col("_kth.d").alias("_r"), F.col("_kth.id").alias("_rid"))
+        .select("q", "_qx", "_qy", F.col("_kth.d").alias("_r"), F.col("_kth.id").alias("_rid")),
+        "knn-bounds",
     )
     for size in _sizes(base, fan, total):
         kth = search(_subset(points.select("id", "x", "y"), size, total), bounds).where(F.col("rk") == k)
         kth = kth.select("q", F.col("distance").alias("_r"), F.col("id").alias("_rid"))
-        bounds = stored(queries.join(kth, "q", "left"))
+        bounds = stored(queries.join(kth, "q", "left"), "knn-bounds")
     return search(points, bounds).select(
         "q", *(F.col(f"`{c}`") for c in output), "distance", F.col("rk").cast("bigint").alias("rk")
     )

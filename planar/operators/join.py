@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planar.functions.exprs import distance, is_located
-from planar.plans.grid import cell_width, neighbour_totals, with_cell, with_neighbour_cells
+from planar.functions.exprs import distance, is_finite
+from planar.plans.grid import cell_width, with_cell, with_neighbour_cells
 from planar.plans.sizing import BROADCAST_BYTES, estimated_bytes, fits_broadcast, spread
-from planar.plans.skew import BLOCK_ROWS, cell_join, splittable, unfold_copies
+from planar.plans.skew import BLOCK_ROWS, cell_join
 from planar.sources.landing import without_tiles
 
 _COPIES = 9
@@ -53,8 +55,11 @@ def distance_join(
     if pa == pb:
         raise ValueError("the two prefixes must differ")
     radius = float(radius)
-    a = _prefixed(without_tiles(left).where(is_located()), pa)
-    b = _prefixed(without_tiles(right).where(is_located()), pb)
+    if not math.isfinite(radius):
+        raise ValueError("the radius must be finite")
+    # A point at infinity is closer than a finite radius to none.
+    a = _prefixed(without_tiles(left).where(is_finite()), pa)
+    b = _prefixed(without_tiles(right).where(is_finite()), pb)
     output = a.columns + b.columns
     if not radius > 0.0:
         a = a.limit(0)
@@ -69,32 +74,18 @@ def distance_join(
     if broadcast:
         big = spread(big, pbig + "id")
 
-    width = cell_width(radius)
+    # Points that are close to one of these are not much larger.
+    largest = small.agg(F.max(F.greatest(F.abs(psmall + "x"), F.abs(psmall + "y")))).first()[0] or 0.0
+    width = cell_width(radius, largest)
     apart = distance(pa + "x", pa + "y", pb + "x", pb + "y")
-
-    def located(df: DataFrame, p: str, copied: bool) -> DataFrame:
-        place = with_neighbour_cells if copied else with_cell
-        return place(df, p + "x", p + "y", width)
-
-    # Rows without an id are folded, so that copies of one point travel and
-    # compare once and can still be split; hot cells are counted unfolded.
-    block_rows = max(1, block_rows)
-    big_rows, big_key, big_n = splittable(big, pbig + "id", broadcast, block_rows, "_big")
-    small_rows, small_key, small_n = splittable(small, psmall + "id", broadcast, block_rows, "_small")
     pairs = cell_join(
-        located(big_rows, pbig, False),
-        located(small_rows, psmall, True),
+        with_cell(big, pbig + "x", pbig + "y", width),
+        with_neighbour_cells(small, psmall + "x", psmall + "y", width),
         apart < F.lit(radius),
         broadcast=broadcast,
-        big_key=big_key,
-        small_key=small_key,
-        block_rows=block_rows,
-        big_counts=None if broadcast else located(big, pbig, False),
-        small_counts=None if broadcast else located(small, psmall, False),
-        small_totals=neighbour_totals,
+        big_key=pbig + "id" if pbig + "id" in big.columns else None,
+        small_key=psmall + "id" if psmall + "id" in small.columns else None,
+        block_rows=max(1, block_rows),
     )
-    for count in (big_n, small_n):
-        if count:
-            pairs = unfold_copies(pairs, count)
     columns = [F.col(f"`{c}`") for c in output]
     return pairs.select(*columns, apart.alias("distance")) if with_distance else pairs.select(*columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,7 +53,12 @@ def _narrowed(
         # A little wider than the limit, for the rounding of x - cx.
         points = within_bounds(points, circle_bounds(cx, cy, limit * (1.0 + 1e-9))).where(d <= F.lit(limit))
     else:
-        points = points.where(d >= F.lit(limit))
+        # One of the axes has at least this much of the distance; the four
+        # comparisons reach the scan.
+        part = limit / math.sqrt(2.0) * (1.0 - 1e-9)
+        x, y = F.col("x"), F.col("y")
+        far = (x >= cx + part) | (x <= cx - part) | (y >= cy + part) | (y <= cy - part)
+        points = points.where(far).where(d >= F.lit(limit))
     # Many rows may share the limit distance (copies of one point), so the
     # candidates are cut to k per group of tasks before they meet in one task.
     rank = F.row_number().over(Window.partitionBy("_group").orderBy(*order))

@@ -22,35 +22,49 @@ from pyspark.sql import functions as F
 CELL = "_cell"
 LEVEL = "_level"
 
-# The cell is a little wider than the radius, so that rounding in ``x / width``
-# can never put two points closer than the radius more than one cell apart.
-# The absolute part covers coordinates up to 1e8.
+# A cell is a little wider than the radius, so that rounding in ``x / width`` can
+# never put two points closer than the radius more than one cell apart: by a share
+# of the radius and of the largest coordinate that can take part.
 CELL_PAD_REL = 1e-9
+CELL_PAD_PLACE = 2.0**-46
+# For SQL text, which cannot measure: coordinates up to 1e8.
 CELL_PAD_ABS = 1e-7
 
-MIN_LEVEL, MAX_LEVEL = -20, 30
-# Larger than any distance between two points inside +-1e8.
-EVERYWHERE = 1e9
+# Widths are finite powers of two; larger boxes than the last get few cells anyway.
+MIN_LEVEL, MAX_LEVEL = -20, 1_023
+# Levels are rounded up to multiples of this, for fewer copies of each point.
+LEVEL_STEP = 2
+# Indices stay in this range of a BIGINT; clamping keeps their order.
+_MOST_INDEX = float(1 << 62)
+_MOST_DOUBLE = 1.7976931348623157e308
+# Cells per axis for a circle that the data's extent cuts off.
+CUT_PARTS = 32
 
 
-def cell_width(radius: float) -> float:
-    return radius * (1.0 + CELL_PAD_REL) + CELL_PAD_ABS
+def cell_width(radius: float, largest: float) -> float:
+    """For points up to ``largest`` and all that are closer than ``radius`` to one."""
+    return radius * (1.0 + CELL_PAD_REL) + (largest + radius) * CELL_PAD_PLACE
 
 
 def pack_sql(cx: str, cy: str) -> str:
     return f"(shiftleft({cx}, 32) | ({cy} & 4294967295L))"
 
 
+def _whole_sql(v: str) -> str:
+    """Rounded down to a BIGINT; what does not fit, infinities too, is clamped."""
+    return f"floor(least(greatest({v}, {-_MOST_INDEX!r}D), {_MOST_INDEX!r}D))"
+
+
 def cell_sql(x: str, y: str, width: str) -> str:
     """The cell of a point, as SQL text over BIGINT and DOUBLE expressions."""
-    return pack_sql(f"floor({x} / {width})", f"floor({y} / {width})")
+    return pack_sql(_whole_sql(f"{x} / {width}"), _whole_sql(f"{y} / {width}"))
 
 
 def neighbour_cells_sql(x: str, y: str, width: str) -> str:
     """The array of the nine cells within one step."""
     steps = ("-1L", "0L", "1L")
     cells = (
-        pack_sql(f"(floor({x} / {width}) + {dx})", f"(floor({y} / {width}) + {dy})")
+        pack_sql(f"({_whole_sql(f'{x} / {width}')} + {dx})", f"({_whole_sql(f'{y} / {width}')} + {dy})")
         for dx in steps for dy in steps
     )
     return f"array({', '.join(cells)})"
@@ -67,31 +81,18 @@ def with_neighbour_cells(df: DataFrame, x: str, y: str, width: float) -> DataFra
     return df.withColumn(CELL, F.expr(f"explode({cells})"))
 
 
-def neighbour_totals(rows_per_cell: dict[int, int]) -> dict[int, int]:
-    """Copies that ``with_neighbour_cells`` puts into each cell, given the rows
-    per home cell. For the few cells known to be hot, so no copy is made just
-    to be counted."""
-    totals: dict[int, int] = {}
-    for cell, rows in rows_per_cell.items():
-        cx, cy = cell >> 32, cell & 0xFFFFFFFF
-        for dx in (-1, 0, 1):
-            for dy in (-1, 0, 1):
-                near = ((cx + dx) & 0xFFFFFFFF) << 32 | ((cy + dy) & 0xFFFFFFFF)
-                near -= (near >> 63) << 64  # to the signed BIGINT that ``pack`` gives
-                totals[near] = totals.get(near, 0) + rows
-    return totals
-
-
 def _level_of(size: Column) -> Column:
-    """Smallest power of two that is not below ``size``, as its exponent. Being
-    off by one changes the number of copies, never the result."""
-    exponent = F.coalesce(F.ceil(F.log2(size)), F.lit(MIN_LEVEL).cast("bigint"))
-    return F.least(F.greatest(exponent, F.lit(MIN_LEVEL)), F.lit(MAX_LEVEL)).cast("int")
+    """A power of two that is not below ``size``, as its exponent. A larger one
+    changes the number of copies, never the result."""
+    exponent = F.coalesce(F.log2(size), F.lit(float(MIN_LEVEL)))
+    exponent = F.least(F.greatest(exponent, F.lit(float(MIN_LEVEL))), F.lit(float(MAX_LEVEL)))
+    return F.least(F.ceil(exponent / LEVEL_STEP) * LEVEL_STEP, F.lit(MAX_LEVEL)).cast("int")
 
 
 def _index_sql(v: str) -> str:
     # Dividing by a power of two is exact, so the index never decreases as v grows.
-    return f"floor({v} / pow(2D, {LEVEL}))"
+    finite = f"least(greatest({v}, {-_MOST_DOUBLE!r}D), {_MOST_DOUBLE!r}D)"
+    return _whole_sql(f"{finite} / pow(2D, {LEVEL})")
 
 
 def box_copies(parts: int) -> int:
@@ -100,7 +101,7 @@ def box_copies(parts: int) -> int:
 
 
 def with_box_cells(
-    df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, parts: int = 2,
+    df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, parts: int | Column = 2,
     circle: tuple[str, str, Column] | None = None,
 ) -> DataFrame:
     """Copies of each row, one per cell its box touches on the box's level. The
@@ -112,7 +113,7 @@ def with_box_cells(
     """
     df = df.withColumns({"_bx0": x0, "_by0": y0, "_bx1": x1, "_by1": y1})
     size = F.expr("greatest(_bx1 - _bx0, _by1 - _by0)")
-    df = df.withColumn(LEVEL, _level_of(size / F.lit(float(parts))))
+    df = df.withColumn(LEVEL, _level_of(size / (parts if isinstance(parts, Column) else F.lit(float(parts)))))
     if circle:
         df = df.withColumn("_reach", circle[2])
     for axis in "xy":
@@ -125,7 +126,7 @@ def with_box_cells(
             for axis, centre in zip("xy", circle[:2])
         ]
         # Some slack, since the gaps are rounded; a spare cell does no harm.
-        reach = f"(_reach * {1.0 + 1e-6!r}D + {CELL_PAD_ABS!r}D)"
+        reach = f"(_reach * {1.0 + 1e-6!r}D + {CELL_PAD_ABS!r}D + (abs({circle[0]}) + abs({circle[1]})) * 1e-12D)"
         df = df.where(F.expr(" + ".join(f"{g} * {g}" for g in gaps) + f" <= {reach} * {reach}"))
         df = df.drop("_reach")
     df = df.withColumn(CELL, F.expr(pack_sql("_cx", "_cy")))

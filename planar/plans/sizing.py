@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 << 20
 
 _ROW_OVERHEAD = 24
+# ``spread`` shuffles at most so many scan tasks' worth, however many cores there are.
+_MOST_SPREAD_TASKS = 16
 # Catalyst stands in a size near 2^63 for inputs it knows nothing about.
 _NO_ESTIMATE = 1 << 50
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -26,17 +28,17 @@ def estimated_bytes(df: DataFrame) -> int | None:
     return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def measured_bytes(df: DataFrame) -> int | None:
-    """Row bytes by counting; None if a column's width cannot be counted."""
+def measured_bytes(df: DataFrame) -> int:
+    """Row bytes by counting."""
     fixed, variable = _ROW_OVERHEAD, []
     for field in df.schema.fields:
         if isinstance(field.dataType, _VARIABLE_WIDTH):
             fixed += 16
-            variable.append(F.coalesce(F.octet_length(field.name), F.lit(0)))
+            variable.append(F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)))
         elif isinstance(field.dataType, _FIXED_WIDTH):
             fixed += 16 if isinstance(field.dataType, T.DecimalType) else 8
-        else:
-            return None
+        else:  # nested: as long as its text
+            variable.append(F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{field.name}`").alias("v")))), F.lit(0)))
     aggs = [F.count(F.lit(1))] + [F.sum(v.cast("bigint")) for v in variable]
     rows, *widths = df.agg(*aggs).first()
     return rows * fixed + sum(w or 0 for w in widths)
@@ -58,7 +60,7 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     than a quarter of them; for work that costs much more than reading."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     tasks = scan_tasks(df)
-    if tasks is None or tasks * 4 > cores:  # unknown sizes count as large
+    if tasks is None or tasks * 4 > cores or tasks > _MOST_SPREAD_TASKS:  # unknown sizes count as large
         return df
     return df.repartition(cores, key) if key in df.columns else df.repartition(cores)
 
@@ -75,13 +77,11 @@ def broadcast_copies(df: DataFrame, choices: Sequence[int], limit: int = BROADCA
     estimate = estimated_bytes(df)
     if estimate is None or estimate >= _NO_ESTIMATE:
         most = limit // (min(choices) * _ROW_OVERHEAD)
-        if len(df.select(F.lit(True)).take(most + 1)) > most:
+        if df.select(F.lit(True)).limit(most + 1).count() > most:
             return 0
     elif estimate > limit:
         return 0
     size = measured_bytes(df)
-    if size is None:
-        return 0
     return next((n for n in choices if size * n <= limit), 0)
 
 

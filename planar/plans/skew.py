@@ -1,4 +1,4 @@
-"""Finding hot join keys and cutting them into blocks.
+"""Cutting hot join keys into blocks.
 
 A cell may hold a third of all rows. Such a cell is cut into ``a x b`` blocks:
 a row of the left side goes to one of ``a`` row blocks and is copied to the
@@ -9,133 +9,63 @@ of either side of a cell.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planar.plans.grid import CELL, LEVEL
+from planar.plans.scratch import scratch_path
+from planar.plans.sizing import fits_broadcast
 
 BLOCK_ROWS = 50_000
 
-# A heavy-hitter sketch keeps this many keys, however many rows it has seen.
-SKETCH_KEYS = 16_384
-# Most keys that are ever reported as hot; bounds what is broadcast.
-HOT_KEYS = 2_048
-_MERGE_GROUPS = 256
-# Blocks get larger than BLOCK_ROWS rather than more than this in total, which
-# bounds the broadcast table of blocks.
-MAX_BLOCKS = 200_000
 
+def hot_cells(big: DataFrame, small: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
+    """``keys`` with the number of row blocks ``_na`` and column blocks ``_nb`` of
+    every cell that gets several. Rows are counted per task and cell before they
+    are shuffled; the result stays a distributed table, however many there are."""
 
-def _sketch(df: DataFrame, key: Column) -> DataFrame:
-    """One row, or none for no input: sketch ``s`` of ``key``, row count ``n``.
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        blocks = F.ceil(F.col("_rows") / F.lit(block_rows))
+        return rows.where(F.col("_rows") > block_rows).select(*keys, blocks.alias(name))
 
-    Sketches are built per task and merged in two steps, so neither the shuffle
-    nor the last task grows with the number of distinct keys.
-    """
-    return (
-        df.select(key.cast("bigint").alias("key"), (F.spark_partition_id() % _MERGE_GROUPS).alias("g"))
-        .groupBy("g")
-        .agg(
-            F.expr(f"approx_top_k_accumulate(key, {SKETCH_KEYS})").alias("s"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .groupBy(F.lit("all"))
-        .agg(F.expr(f"approx_top_k_combine(s, {SKETCH_KEYS})").alias("s"), F.sum("n").alias("n"))
-    )
-
-
-def count_and_heavy(
-    df: DataFrame, key: Column, min_rows: int, keep: int = HOT_KEYS
-) -> tuple[int, dict[int, int]]:
-    """Row count, and ``{key: rows}`` for keys with more than ``min_rows`` rows.
-
-    One pass; at most ``keep`` keys reach the driver. Every key that holds more
-    than one in ``keep`` of the rows is among them. The counts are estimates:
-    they steer the split of the work and never touch the result.
-    """
-    row = _sketch(df, key).selectExpr("n", f"approx_top_k_estimate(s, {keep}) AS top").first()
-    if row is None:
-        return 0, {}
-    top = {t["item"]: t["count"] for t in row.top if t["item"] is not None}
-    return row.n, {k: n for k, n in top.items() if n > min_rows}
-
-
-def fold_copies(df: DataFrame, columns: Sequence[str], chunk: int) -> DataFrame:
-    """Identical rows as one row with a count ``_m``, at most ``chunk`` per row.
-
-    Rows without an id can be exact copies of each other, which no function of
-    the row could tell apart; ``_chunk`` numbers them without depending on row
-    order, so a retried task gives the same split.
-    """
-    chunks = F.expr(f"sequence(0L, (_n - 1) div {chunk})")
-    left = F.col("_n") - F.col("_chunk") * F.lit(chunk)
-    return (
-        df.groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_chunk", F.explode(chunks))
-        .withColumn("_m", F.least(left, F.lit(chunk).cast("bigint")))
-        .drop("_n")
-    )
+    both = counted(big, "_na").join(counted(small, "_nb"), list(keys), "full_outer")
+    one = F.lit(1).cast("bigint")
+    return both.select(*keys, F.coalesce("_na", one).alias("_na"), F.coalesce("_nb", one).alias("_nb"))
 
 
-def unfold_copies(df: DataFrame, count: str) -> DataFrame:
-    """Each row repeated ``count`` times."""
-    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(count)))).drop(
-        "_copy", count
-    )
-
+def row_number_key(df: DataFrame) -> Column:
+    """Tells the rows of a table without an id apart: their number in the scan. A
+    retried task gives the rows of a file the same numbers; a table that comes out
+    of a shuffle should have an id, or be written first."""
+    return F.monotonically_increasing_id()
 
-def splittable(
-    df: DataFrame, id: str | None, broadcast: bool, block_rows: int, tag: str  # noqa: A002
-) -> tuple[DataFrame, list[str], str | None]:
-    """``(df, key, count)``: a form of ``df`` whose rows ``key`` tells apart.
 
-    A unique ``id`` does. Without one the copies are folded into rows with a
-    ``count`` column, to be undone by ``unfold_copies`` after the join. A side
-    that is not shuffled needs neither.
-    """
-    if broadcast:
-        return df, [], None
-    if id is not None and id in df.columns:
-        return df, [id], None
-    count, chunk = f"_m{tag}", f"_chunk{tag}"
-    folded = fold_copies(df, [f"`{c}`" for c in df.columns], max(1, block_rows // 16))
-    folded = folded.withColumnsRenamed({"_m": count, "_chunk": chunk})
-    return folded, [f"`{c}`" for c in folded.columns if c != count], count
-
-
-def _blocks(
-    big_rows: dict[int, int], small_rows: dict[int, int], block_rows: int
-) -> list[tuple[int, int, int]]:
-    """``(cell, row blocks, column blocks)`` for every cell that gets several."""
-    plan = []
-    for cell in big_rows.keys() | small_rows.keys():
-        na, nb = (-(-n.get(cell, 1) // block_rows) for n in (big_rows, small_rows))
-        if na > 1 or nb > 1:
-            plan.append((cell, na, nb))
-    return plan
-
-
-def _to_blocks(df: DataFrame, cell: str, salt: Sequence[str], block: str,
-               plan: list[tuple[int, int, int]], rows_first: bool) -> DataFrame:
-    """Draw the own block of a row in a hot cell from ``salt`` and copy the row
-    to all blocks of the other side. ``plan`` has ``(cell, own, other)``.
-
-    ``block`` gets row block and column block in one BIGINT, 0 outside hot
-    cells. The copies come from the join itself: the broadcast table has one
-    row per cell and other block, and rows outside hot cells find none.
-    """
-    rows = [(c, n, i) for c, n, m in plan for i in range(m)]
-    blocks = df.sparkSession.createDataFrame(rows, "_hot BIGINT, _n BIGINT, _other BIGINT")
-    own, other = F.pmod(F.xxhash64(*salt), F.col("_n")), F.col("_other")
-    first, second = (own, other) if rows_first else (other, own)
+def _to_blocks(
+    df: DataFrame, hot: DataFrame, keys: Sequence[str], salt: Column, block: str, rows_first: bool
+) -> DataFrame:
+    """Draw the own block of a row in a hot cell from ``salt`` and copy the row to
+    all blocks of the other side. ``block`` gets both numbers in one BIGINT, 0
+    outside hot cells."""
+    own_n, other_n = ("_na", "_nb") if rows_first else ("_nb", "_na")
+    named = hot.withColumnsRenamed({k: f"_hot{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k) == F.col(f"_hot{k}")
+    own = F.pmod(F.xxhash64(F.col("_pick")), F.col(own_n))
+    zero = F.lit(0).cast("bigint")
+    others = F.when(F.col(other_n).isNull(), F.array(zero)).otherwise(
+        F.sequence(zero, F.coalesce(other_n, F.lit(1)) - 1))
+    first, second = (own, F.col("_other")) if rows_first else (F.col("_other"), own)
     both = F.shiftleft(first, 32).bitwiseOR(second)
     return (
-        df.join(F.broadcast(blocks), F.col(cell) == F.col("_hot"), "left")
-        .withColumn(block, F.coalesce(both, F.lit(0).cast("bigint")))
-        .drop("_hot", "_n", "_other")
+        df.withColumn("_pick", salt)
+        .join(named, on, "left")
+        .withColumn("_other", F.explode(others))
+        .withColumn(block, F.coalesce(both, zero))
+        .drop("_pick", "_other", "_na", "_nb", *[f"_hot{k}" for k in keys])
     )
 
 
@@ -145,46 +75,38 @@ def cell_join(
     residual: Column,
     *,
     broadcast: bool,
-    big_key: Sequence[str],
-    small_key: Sequence[str],
+    big_key: str | None,
+    small_key: str | None,
     block_rows: int = BLOCK_ROWS,
-    big_counts: DataFrame | None = None,
-    small_counts: DataFrame | None = None,
-    small_totals: Callable[[dict[int, int]], dict[int, int]] | None = None,
 ) -> DataFrame:
     """Inner equi-join on the cell (and level) with ``residual`` as exact test.
 
     Both inputs carry ``CELL``, all other column names differ. ``big_key`` and
     ``small_key`` name columns that tell the rows of a side apart; the block of
-    a row is drawn from them. ``*_counts`` replace an input for counting hot
-    cells: when its rows stand for several original rows each, or when the rows
-    per cell follow from fewer rows through ``small_totals``.
+    a row is drawn from them, or from its number in the scan where there is none.
 
     With ``broadcast`` the caller has checked the size of ``small``; ``big`` is
     then not shuffled at all, so its hot cells stay spread over the scan tasks.
-    Otherwise both sides are scanned once for hot cells before the join.
+    Otherwise the rows per cell of both sides are counted before the join.
     """
     s_cell, s_level = "_s" + CELL, "_s" + LEVEL
+    keys = [CELL, LEVEL] if LEVEL in big.columns else [CELL]
     # Columns that have to agree besides the cell.
     agree = [(LEVEL, s_level)] if LEVEL in big.columns else []
-    big_counts = big if big_counts is None else big_counts
-    small_counts = small if small_counts is None else small_counts
-    small = small.withColumnsRenamed({CELL: s_cell, LEVEL: s_level})
 
     if not broadcast:
-        n_big, big_rows = count_and_heavy(big_counts, F.col(CELL), block_rows)
-        # Neighbouring cells add up, so look a little below the block size.
-        floor = block_rows // 9 if small_totals else block_rows
-        n_small, small_rows = count_and_heavy(small_counts, F.col(CELL), floor)
-        if small_totals:
-            small_rows = small_totals(small_rows)
-            n_small *= 9
-        plan = _blocks(big_rows, small_rows, max(block_rows, max(n_big, n_small) // MAX_BLOCKS))
-        if plan:
-            turned = [(c, nb, na) for c, na, nb in plan]
-            big = _to_blocks(big, CELL, big_key, "_block", plan, True)
-            small = _to_blocks(small, s_cell, small_key, "_s_block", turned, False)
+        hot = hot_cells(big, small, keys, block_rows)
+        path = scratch_path(big.sparkSession, "hot-cells")
+        hot.write.parquet(path)
+        hot = big.sparkSession.read.schema(hot.schema).parquet(path)
+        if not hot.isEmpty():
+            # Beyond the broadcast limit AQE splits what the cells have in common.
+            hot = F.broadcast(hot) if fits_broadcast(hot) else hot
+            salts = [F.col(f"`{k}`") if k else row_number_key(df) for k, df in ((big_key, big), (small_key, small))]
+            big = _to_blocks(big, hot, keys, salts[0], "_block", True)
+            small = _to_blocks(small, hot, keys, salts[1], "_s_block", False)
             agree += [("_block", "_s_block")]
+    small = small.withColumnsRenamed({CELL: s_cell, LEVEL: s_level})
 
     # A single BIGINT key sorts by radix and probes a dense hash table, so the
     # other columns are mixed into it. For equal values of those the key is one

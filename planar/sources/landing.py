@@ -12,21 +12,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planar.plans.skew import fold_copies, unfold_copies
-
-TILE_X, TILE_Y = "tile_x", "tile_y"
-_TILES = (TILE_X, TILE_Y)
+TILE_WIDTH, TILE_X, TILE_Y = "tile_width", "tile_x", "tile_y"
+_TILES = (TILE_WIDTH, TILE_X, TILE_Y)
 
 # Z-order lattice: 31 bits per axis over [-16384, 16384), which holds every
 # 4-digit coordinate. Values outside are clamped; that only affects clustering.
 _HALF, _BITS = 16384.0, 31
 _STEP = 2.0 * _HALF / (1 << _BITS)
 
-# Metadata key for the width of a tile directory. The width is a power of two, so that
-# tiles are whole Z-order blocks and a task writes to few of them.
-_TILE_FIELD = "tile_width"
-
-_COPY_CHUNK = 10_000
+# Tile numbers stay below this; places beyond it have no tile (NULL).
+_MOST_TILES = float(1 << 53)
 
 # The usual shift/mask steps that spread 32 bits to the even places.
 _SPREAD = (
@@ -48,15 +43,16 @@ def z_order(x: Column, y: Column) -> Column:
     """Position on the Z-order curve as a BIGINT."""
 
     def lattice(v: Column) -> Column:
-        i = F.floor((v + F.lit(_HALF)) / F.lit(_STEP))
-        top = F.lit((1 << _BITS) - 1).cast("bigint")
-        return F.least(F.greatest(i, F.lit(0).cast("bigint")), top)
+        i = F.least(F.greatest((v + F.lit(_HALF)) / F.lit(_STEP), F.lit(0.0)), F.lit(float((1 << _BITS) - 1)))
+        return F.floor(i)
 
     return _spread(lattice(x)).bitwiseOR(F.shiftleft(_spread(lattice(y)), 1))
 
 
 def _tile(v: Column, width: float) -> Column:
-    return F.floor(v / F.lit(width)).cast("int")
+    """The number of the tile, NULL where it is too large (infinite places, too)."""
+    at = v / F.lit(width)
+    return F.when(F.abs(at) < F.lit(_MOST_TILES), F.floor(at))
 
 
 def without_tiles(df: DataFrame) -> DataFrame:
@@ -68,11 +64,13 @@ def prune_tiles(df: DataFrame, xmin: float, ymin: float, xmax: float, ymax: floa
     """Skip whole tile directories that lie outside the closed box."""
     if TILE_X not in df.columns:
         return df
-    width = df.schema[TILE_X].metadata.get(_TILE_FIELD)
-    if width is None or not all(map(math.isfinite, (xmin, ymin, xmax, ymax))):
+    if not all(map(math.isfinite, (xmin, ymin, xmax, ymax))):
         return df
+    # The width comes from the directory itself; rows without a tile are anywhere.
     for name, lo, hi in ((TILE_X, xmin, xmax), (TILE_Y, ymin, ymax)):
-        df = df.where(F.col(name).between(math.floor(lo / width), math.floor(hi / width)))
+        most = F.lit(_MOST_TILES)
+        first, last = (F.least(F.greatest(F.lit(v) / F.col(TILE_WIDTH), -most), most) for v in (lo, hi))
+        df = df.where(F.col(name).isNull() | F.col(name).between(F.floor(first), F.floor(last)))
     return df
 
 
@@ -88,9 +86,8 @@ def land_points(
 
     One range shuffle on (place, salt): boundaries come from Spark's sample of
     the data, and the salt lets a place that holds a large share of the rows
-    spread over several files. Without an ``id`` the rows may be exact copies
-    that no salt tells apart, so copies are counted first and restored after
-    the shuffle. ``files`` fixes the number of write tasks; by default adaptive
+    spread over several files. Without an ``id`` the salt is the row's number in
+    its scan, which a retried task repeats. ``files`` fixes the number of write tasks; by default adaptive
     execution sizes them.
 
     ``tile`` (a power of two, in coordinate units) adds one directory per tile,
@@ -101,20 +98,14 @@ def land_points(
         raise ValueError("tile must be a power of two")
     points = without_tiles(points)
     columns = points.columns
-    if "id" in columns:
-        rows, salt = points, [F.col("id")]
-    else:
-        rows = fold_copies(points, columns, _COPY_CHUNK)
-        salt = [F.col("_chunk"), *(F.col(f"`{c}`") for c in columns)]
-    rows = rows.withColumns({"_z": z_order(F.col("x"), F.col("y")), "_salt": F.xxhash64(*salt)})
+    salt = F.col("id") if "id" in columns else F.monotonically_increasing_id()
+    rows = points.withColumns({"_z": z_order(F.col("x"), F.col("y")), "_salt": F.xxhash64(salt)})
     spread = [F.col("_z"), F.col("_salt")]
     rows = rows.repartitionByRange(files, *spread) if files else rows.repartitionByRange(*spread)
-    if "_m" in rows.columns:
-        rows = unfold_copies(rows, "_m")
 
     written, order = [F.col(f"`{c}`") for c in columns], [F.col("_z")]
     if tile is not None:
-        rows = rows.withColumns({TILE_X: _tile(F.col("x"), tile), TILE_Y: _tile(F.col("y"), tile)})
+        rows = rows.withColumns({TILE_WIDTH: F.lit(float(tile)), TILE_X: _tile(F.col("x"), tile), TILE_Y: _tile(F.col("y"), tile)})
         written += [F.col(c) for c in _TILES]
         order = [F.col(c) for c in _TILES] + order
     rows = rows.sortWithinPartitions(*order).select(*written)
@@ -126,15 +117,14 @@ def land_points(
 def read_landed(
     spark: SparkSession, path: str, *, tile: float | None = None, schema_of: DataFrame | None = None
 ) -> DataFrame:
-    """Open landed points. Pass the same ``tile`` they were landed with; the
-    tile columns then serve for pruning and are dropped by every operator."""
+    """Open landed points. For a table with tiles pass ``tile``; the tile columns
+    then serve for pruning, with the width that the table was landed with, and are
+    dropped by every operator."""
     reader = spark.read
     if schema_of is not None:
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema_of.schema.fields)
         if tile is not None:
-            ddl += f", {TILE_X} INT, {TILE_Y} INT"
+            ddl += f", {TILE_WIDTH} DOUBLE, {TILE_X} BIGINT, {TILE_Y} BIGINT"
         reader = reader.schema(ddl)
     df = reader.parquet(path)
-    if tile is None:
-        return without_tiles(df)
-    return df.withMetadata(TILE_X, {_TILE_FIELD: float(tile)})
+    return without_tiles(df) if tile is None else df

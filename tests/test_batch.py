@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 import brute
 import planar
-from planar.plans.skew import count_and_heavy
 
 STRATEGIES = [{"strategy": "auto"}, {"strategy": "shuffle"}, {"strategy": "shuffle", "block_rows": 9}]
 
@@ -89,7 +88,6 @@ def test_knn_join_with_a_hot_point(spark, table, options):
     """A third of all points are copies of one, enough to be cut to k beforehand."""
     points = brute.scattered(6_000, 6, hot_share=0.34)
     df = table(points)
-    assert len(count_and_heavy(df, F.xxhash64("x", "y"), 1_000)[1]) == 1
     centres = [(1, 10.0, 20.0), (2, 10.1, 19.9), (3, 0.0, 0.0), (4, 10.0, 19.0)]
     got = planar.batch_knn(df, table(centres).withColumnRenamed("id", "q"), 7, **options)
     have = sorted((r.q, r.rk, r.distance, r.id) for r in got.collect())
@@ -111,3 +109,68 @@ def test_workload_is_repeatable_and_in_range(spark, table):
     assert 0 <= r[0] < 2 and 178 < r[1] < 180 and 85 < r[2] < 95
     assert -180 < r[3] < -160 and 160 < r[4] < 180 and -8 < r[5] < 8 and 70 < r[6] < 90
     assert r[7] < 1e-9 and r[8] < 1e-9 and abs(r[9]) < 0.1
+
+
+@pytest.mark.parametrize("options, scale", [(STRATEGIES[0], 2e9), (STRATEGIES[1], 1e15), (STRATEGIES[0], 1e300)])
+def test_single_and_batch_agree_far_out(spark, table, options, scale):
+    points = [(i, x * scale, y * scale) for i, (x, y) in enumerate([(0, 0), (1, 0), (1, 1), (-1, 0.5), (0.5, -1), (1e-7, 0)])]
+    points += [(90, float("inf"), 0.0), (91, 0.0, float("-inf"))]
+    df = table(points)
+    for half in (0.75 * scale, float("inf")):
+        boxes = spark.createDataFrame([(1, -half, -half, half, half)], "q BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE")
+        got = sorted(r.id for r in planar.batch_box(df, boxes, **options).collect())
+        assert got == sorted(r.id for r in planar.box_query(df, -half, -half, half, half).collect())
+    if scale < 1e100:  # squares stay finite
+        for k, cx in ((3, 0.2 * scale), (20, 50 * scale)):
+            centre = spark.createDataFrame([(1, cx, 0.0)], "q BIGINT, x DOUBLE, y DOUBLE")
+            got = [(r.id, r.distance) for r in planar.batch_knn(df, centre, k, **options).orderBy("rk").collect()]
+            assert got == [(r.id, r.distance) for r in planar.knn(df, cx, 0.0, k).collect()]
+
+
+def test_knn_without_an_id(spark, table):
+    rows = brute.scattered(400, 7, hot_share=0.3)
+    df, centres = table(rows).drop("id"), table(brute.scattered(20, 9)).withColumnRenamed("id", "q")
+    got = planar.batch_knn(df, centres, 8, strategy="shuffle", base=16, fan=4)
+    assert got.columns == ["q", "x", "y", "distance", "rk"]
+    want = planar.batch_knn(table(rows), centres, 8)
+    key = lambda d: sorted((r.q, r.rk, r.distance) for r in d.collect())
+    assert key(got) == key(want)
+
+
+def test_more_than_a_thousand_neighbours(spark, table):
+    rows = brute.scattered(3_000, 11, hot_share=0.34)
+    centres = [(1, 0.0, 0.0), (2, 10.0, 20.0)]
+    got = planar.batch_knn(table(rows), table(centres).withColumnRenamed("id", "q"), 1_001)
+    for c in centres:
+        want = [pid for _, pid in brute.nearest(rows, c[1:], 1_001)]
+        assert [r.id for r in got.where(f"q = {c[0]}").orderBy("rk").collect()] == want
+
+
+def test_remote_centres_meet_few_points(spark, table):
+    """Far outside the data only its near edge is looked at."""
+    from planar.plans import skew
+
+    rows = [(i, (i * 7919 % 1000) / 1000, (i * 104729 % 997) / 997) for i in range(4_000)]
+    centres = [(i, 1000.0 * [1, 0, -1, 0.7][i % 4], 1000.0 * [0.1, 1, 0.5, 0.7][i % 4]) for i in range(40)]
+    met = []
+    plain = skew.cell_join
+
+    def counting(big, small, residual, **options):
+        met.append(plain(big, small, F.lit(True), **options).count())
+        return plain(big, small, residual, **options)
+
+    from planar.operators import batch
+
+    before, batch.cell_join = batch.cell_join, counting
+    try:
+        got = planar.batch_knn(table(rows), table(centres).withColumnRenamed("id", "q"), 10).collect()
+    finally:
+        batch.cell_join = before
+    assert met[-1] < 0.05 * len(rows) * len(centres)
+    for q, cx, cy in centres[:4]:
+        assert [r.id for r in sorted(got, key=lambda r: r.rk) if r.q == q] == [i for _, i in brute.nearest(rows, (cx, cy), 10)]
+
+
+def test_clashing_column_is_named(spark, table):
+    with pytest.raises(ValueError, match="column q"):
+        planar.batch_box(table([(1, 1.0, 1.0)]).withColumn("q", F.lit(1)), table([]))

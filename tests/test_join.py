@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 import brute
 import planar
-from planar.plans.grid import CELL, neighbour_totals, with_cell, with_neighbour_cells
+from planar.plans.grid import CELL
 from planar.plans.sizing import fits_broadcast
-from planar.plans.skew import count_and_heavy, fold_copies, unfold_copies
+from planar.plans.skew import hot_cells
 
 STRATEGIES = [{"strategy": "broadcast"}, {"strategy": "shuffle"}, {"strategy": "shuffle", "block_rows": 7}]
 
@@ -96,19 +96,13 @@ def test_any_points(spark, table, left, right, radius, options):
     assert id_pairs(got) == brute.pairs(left, right, radius)
 
 
-def test_neighbour_totals_count_the_copies(spark, table):
-    rows = [(i, x, y) for i, (x, y) in enumerate([(-0.5, 0.5), (0.5, 0.5), (0.6, 0.5), (-2147483648.5, 3.0)])]
-    df = table(rows)
-    home = {r[CELL]: r["count"] for r in with_cell(df, "x", "y", 1.0).groupBy(CELL).count().collect()}
-    copies = with_neighbour_cells(df, "x", "y", 1.0).groupBy(CELL).count().collect()
-    assert neighbour_totals(home) == {r[CELL]: r["count"] for r in copies}
-
-
-def test_heavy_keys_are_found(spark, table):
-    df = spark.range(30_000).withColumn("k", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 100))
-    total, heavy = count_and_heavy(df, F.col("k"), 5_000)
-    assert total == 30_000 and heavy == {7: 10_000}
-    assert count_and_heavy(df.limit(0), F.col("k"), 1) == (0, {})
+def test_every_hot_cell_is_found(spark):
+    """However many there are: 3,000 of them, and one that holds a third of the rows."""
+    many = spark.range(90_000).select((F.col("id") % 3_000).alias(CELL))
+    one = spark.range(45_000).select(F.lit(-1).cast("bigint").alias(CELL))
+    hot = hot_cells(many.unionByName(one), many.where("_cell < 10"), [CELL], 20)
+    rows = {r[CELL]: (r._na, r._nb) for r in hot.collect()}
+    assert len(rows) == 3_001 and rows[-1] == (2_250, 1) and rows[3] == (2, 2) and rows[2_999] == (2, 1)
 
 
 @pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
@@ -126,13 +120,33 @@ def test_broadcast_needs_a_measured_size(spark, table):
     assert fits_broadcast(in_memory, 9) and not fits_broadcast(in_memory, 9, limit=100_000)
     wide = table(rows).withColumn("text", F.repeat(F.lit("x"), 1_000))
     assert not fits_broadcast(wide, 9, limit=5_000_000)
-    assert not fits_broadcast(table(rows).withColumn("list", F.array("x")))
+    nested = table(rows).withColumn("list", F.array("x")).withColumn("p", F.struct("x", "y"))
+    assert fits_broadcast(nested) and not fits_broadcast(nested, limit=60_000)
 
 
-def test_fold_and_unfold(spark, table):
-    rows = [(1.0, 2.0)] * 25 + [(None, 2.0)] * 4 + [(3.0, 4.0)]
-    df = spark.createDataFrame(rows, "x DOUBLE, y DOUBLE")
-    folded = fold_copies(df, ["x", "y"], 10)
-    assert sorted(r._m for r in folded.collect()) == [1, 4, 5, 10, 10]
-    back = unfold_copies(folded, "_m").select("x", "y").collect()
-    assert Counter(tuple(r) for r in back) == Counter(rows)
+@pytest.mark.parametrize("options", STRATEGIES)
+def test_rows_without_an_id_stay_as_they_are(spark, options):
+    """Values that are equal without being identical keep their form."""
+    df = spark.sql("""
+        SELECT 1D AS x, y, t COLLATE UTF8_LCASE AS t, parse_json('{"a": 1}') AS v
+        FROM VALUES (0D, 'A'), (-0D, 'a'), (0D, 'a'), (0D, 'a') AS r(y, t)""")
+    got = planar.distance_join(df, df.select("x", "y"), 1, **options)
+    rows = got.select(F.col("a_y").cast("string"), F.col("a_t").cast("binary").cast("string"), F.to_json("a_v")).collect()
+    want = Counter({("0.0", "A", '{"a":1}'): 4, ("-0.0", "a", '{"a":1}'): 4, ("0.0", "a", '{"a":1}'): 8})
+    assert Counter(tuple(r) for r in rows) == want
+
+
+@pytest.mark.parametrize("options", STRATEGIES)
+def test_large_and_infinite_coordinates(spark, table, options):
+    inf = float("inf")
+    left = [(1, 1e15, 0.0), (2, inf, 0.0), (3, 2e9, 2e9), (4, -inf, inf), (5, 1e300, -1e300)]
+    right = [(1, 1e15 + 0.25, 0.0), (2, inf, 0.0), (3, 2e9 + 0.05, 2e9), (4, 1e15 + 1, 0.0), (5, 1e300, -1e300)]
+    assert id_pairs(planar.distance_join(table(left), table(right), 0.5, **options)) == Counter([(1, 1), (3, 3), (5, 5)])
+    with pytest.raises(ValueError):
+        planar.distance_join(table(left), table(right), inf)
+
+
+def test_calm_join_without_id_shuffles_once(spark, table):
+    df = table(brute.scattered(60, 8)).drop("id")
+    plan = planar.distance_join(df, df, 1, strategy="shuffle")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2

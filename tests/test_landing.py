@@ -65,3 +65,24 @@ def test_z_order_interleaves(spark):
     df = spark.createDataFrame([(3, 5), (0, 0), (1, 0), (0, 1)], "i INT, j INT")
     x, y = F.col("i") * F.lit(step) - 16384.0, F.col("j") * F.lit(step) - 16384.0
     assert [r[0] for r in df.select(z_order(x, y)).collect()] == [0b100111, 0, 1, 2]
+
+
+def test_landing_returns_what_it_got(spark, tmp_path):
+    """Also values that are equal without being identical, infinite places, NULLs."""
+    df = spark.sql("""
+        SELECT x, 1D AS y, t COLLATE UTF8_LCASE AS t FROM VALUES
+        (0D, 'A'), (-0D, 'a'), (0D, 'a'), (0D, 'a'), (double('inf'), 'i'), (1e300D, 'l'), (NULL, 'n'), (double('nan'), 'n') AS r(x, t)""")
+    key = lambda d: sorted(map(str, d.selectExpr("cast(x AS STRING)", "y", "cast(t AS BINARY)").collect()))
+    for i, tile in enumerate((None, 8.0)):
+        landed = planar.land_points(df, str(tmp_path / f"t{i}"), tile=tile)
+        assert key(landed) == key(df)
+    assert planar.box_query(landed, -1e308, 0, 1e308, 2).count() == 5
+
+
+def test_another_tile_width_reads_the_same(spark, table, tmp_path):
+    rows = brute.scattered(500, 3)
+    path = str(tmp_path / "tiles")
+    planar.land_points(table(rows), path, tile=8.0)
+    want = planar.circle_query(table(rows), 1, 10, 40).count()
+    for tile in (8.0, 64.0):
+        assert planar.circle_query(planar.read_landed(spark, path, tile=tile), 1, 10, 40).count() == want > 0
