@@ -213,7 +213,8 @@ def hits(
     near = F.explode(F.transform(_flips(), lambda m: F.col("value").bitwiseXOR(m))).alias("value")
     ours = _blocks(items.select("item_id", "length", F.col("content").alias("item"), F.col("print")))
     ours = ours.select("item_id", "length", "block", F.col("print").alias("item_print"), near)
-    pairs = theirs.join(ours, ["length", "block", "value"])
+    # The estimate does not see the 697 values per block; never broadcast by it.
+    pairs = theirs.join(ours.hint("merge"), ["length", "block", "value"])
     pairs = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     pairs = pairs.select("content", "item_id").distinct()
     pairs = pairs.join(items.select("item_id", F.col("content").alias("item")).distinct(), "item_id")
