@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -65,10 +66,11 @@ def strings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(data)) + np.repeat(start - at[:-1], np.diff(at))
     line[place] = _LOWER[data]
     where = np.arange(int(length.sum())) + np.repeat(start - begin, length)
-    out = np.zeros(len(where), np.uint64)
+    ends = np.zeros(max(0, len(line) - DEPTH), np.uint64)
     for back in range(DEPTH, -1, -1):
-        out = (out << np.uint64(8)) | line[where - back]
-    return out, length if n else np.zeros(0, np.int64)
+        ends <<= np.uint64(8)
+        ends |= line[DEPTH - back : len(line) - back]
+    return ends[where - DEPTH], length if n else np.zeros(0, np.int64)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +96,18 @@ def _word_group(keys: np.ndarray, groups: int) -> np.ndarray:
     return (keys % np.uint64(groups)).astype(np.int32)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys and which one each is, like ``np.unique``; hashing
+    is faster where keys repeat a lot."""
+    codes, known = pd.factorize(keys)
+    order = np.argsort(known)
+    place = np.empty(len(known), np.int64)
+    place[order] = np.arange(len(known))
+    return known[order], place[codes]
+
+
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    known, which = np.unique(keys, return_inverse=True)
+    known, which = distinct(keys)
     return known, np.bincount(which, weights=n, minlength=len(known)).astype(np.int64)
 
 
@@ -112,7 +124,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
             for kind, keys in ((False, strings(part.column("text"))[0]), (True, tokens(part.column("text"))[0])):
-                known, n = np.unique(keys, return_counts=True)
+                known, which = distinct(keys)
+                n = np.bincount(which, minlength=len(known))
                 sums[kind] = _summed(np.concatenate([sums[kind][0], known]), np.concatenate([sums[kind][1], n]))
                 if len(sums[kind][0]) > _FLUSH_KEYS:
                     yield flush(kind)
@@ -250,7 +263,7 @@ def _questions(string_groups: int, word_groups: int):
         rows = {"bucket": [], "grp": [], "salt": [], "data": []}
         for keys, group_of, groups, base in (
             (strings(text)[0], _string_group, string_groups, 0), (tokens(text)[0], _word_group, word_groups, string_groups)):
-            known = np.unique(keys)
+            known = np.sort(pd.unique(keys))
             for group, part in _by_group(known, group_of(known, groups)):
                 rows["bucket"].append(number)
                 rows["grp"].append(base + group)
@@ -295,7 +308,7 @@ def _scores(string_groups: int, word_groups: int, n_train: int, n_words: int):
         for name, (keys, length), group_of, groups, base, kind in (
             ("strings", strings(text), _string_group, string_groups, 0, np.float64),
             ("words", tokens(text), _word_group, word_groups, string_groups, np.int64)):
-            known, which = np.unique(keys, return_inverse=True)
+            known, which = distinct(keys)
             value = np.zeros(len(known), kind)
             for group, part in _by_group(known, group_of(known, groups)):
                 value[part] = _unpacked(given[base + group], kind)
