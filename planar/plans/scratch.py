@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,14 +10,16 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder in ``spark.checkpoint.dir``.
+    """A fresh path below the shared folder in ``spark.checkpoint.dir``, or below
+    the one given to ``setCheckpointDir``.
 
-    Where that is unset, a local session gets a temporary folder; on a cluster
-    it is an error, because other machines could not read one.
+    Where neither is set, a session in one process gets a temporary folder; on a
+    cluster it is an error, because other machines could not read one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="planar-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
