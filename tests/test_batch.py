@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 import brute
 import planar
+from planar import fixtures
 
 STRATEGIES = [{"strategy": "auto"}, {"strategy": "shuffle"}, {"strategy": "shuffle", "block_rows": 9}]
 
@@ -174,3 +177,18 @@ def test_remote_centres_meet_few_points(spark, table):
 def test_clashing_column_is_named(spark, table):
     with pytest.raises(ValueError, match="column q"):
         planar.batch_box(table([(1, 1.0, 1.0)]).withColumn("q", F.lit(1)), table([]))
+
+
+def test_registered_knn_1001_asks_every_centre(spark):
+    """Against brute force over all points, for all centres."""
+    sf = "/root/testdata/sf0.01"
+    points = sorted((r.id, r.x, r.y) for r in fixtures.points(spark, sf).collect() if r.x is not None and r.y is not None)
+    ids, x, y = (np.array(c) for c in zip(*points))
+    centres = fixtures.centres(spark, sf).collect()
+    got = {}
+    for r in entry.queries()["batch_knn_1001"](spark, sf).collect():
+        got.setdefault(r.q, []).append((r.rk, r.id))
+    assert len(got) == len(centres) == 100
+    for c in centres:
+        nearest = np.lexsort((ids, np.sqrt((x - c.x) ** 2 + (y - c.y) ** 2)))[:1_001]
+        assert [i for _, i in sorted(got[c.q])] == ids[nearest].tolist()
