@@ -3,10 +3,12 @@
 Every item has a fingerprint: the signs of the sums, over its shingles of five
 words with their multiplicities, of 64 random +1 and -1 each. Every window of a
 document that is as long as some item has one, too. A fingerprint is four blocks of
-16 bits; of two within 15 bits at least one block pair is within 3, so all of them
-are found by an equi-join on blocks, with the 697 values within 3 bits of each item
-block. Pairs within the radius are verified on the shingles themselves: the sum of
-the smaller multiplicities by the sum of the larger ones is at least 0.8.
+16 bits; of two within 20 bits the first block pair is within 5 or another is within
+4, so all of them are found by an equi-join on blocks, with the 6,885 and 2,517 values
+that near each item block. Of pairs at a similarity of exactly 0.8, whose prints are
+9.4 bits apart on average, at most 16 in 100,000 (simulated with 9 to 55 shingles) are
+farther apart. Pairs within the radius are verified on the shingles themselves: the sum
+of the smaller multiplicities by the sum of the larger ones is at least 0.8.
 
 A window that is this similar to an item has nine tenths of its shingles from items
 of its length; a bitmap of those shingles, of a size that is bounded whatever the
@@ -38,8 +40,10 @@ from planar.plans.sizing import fits_broadcast
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 15
+RADIUS = 20
 BLOCKS, BLOCK_BITS = 4, 16
+# Bits by which a block may differ; with one more in each, the radius is exceeded.
+NEAR = (5, 4, 4, 4)
 # log2 of the bits in the bitmap: 256 bits per key within these limits.
 LEAST_BITS, MOST_BITS = 16, 27
 
@@ -169,10 +173,10 @@ def windows(batch: pa.RecordBatch, lengths: list[int], bitmap: np.ndarray, bits:
         names=["doc_id", "start", "length", "print", "content"])
 
 
-def _flips() -> Column:
-    """All masks that change at most a block's part of the radius."""
-    masks = [sum(1 << b for b in bits) for r in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), r)]
-    return F.array(*[F.lit(m).cast("bigint") for m in masks])
+def _flips(most: int = max(NEAR)) -> Column:
+    """All masks that change at most so many bits of a block."""
+    masks = [sum(1 << b for b in bits) for r in range(most + 1) for bits in combinations(range(BLOCK_BITS), r)]
+    return F.lit(np.array(masks, np.int64))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -210,10 +214,11 @@ def hits(
     # Each distinct window once; blocks meet within a length.
     distinct = found.groupBy("length", "content").agg(F.first("print").alias("print"))
     theirs = _blocks(distinct)
-    near = F.explode(F.transform(_flips(), lambda m: F.col("value").bitwiseXOR(m))).alias("value")
+    flips = F.get(F.array(*[_flips(most) for most in NEAR]), F.col("block"))
+    near = F.explode(F.transform(flips, lambda m: F.col("value").bitwiseXOR(m))).alias("value")
     ours = _blocks(items.select("item_id", "length", F.col("content").alias("item"), F.col("print")))
     ours = ours.select("item_id", "length", "block", F.col("print").alias("item_print"), near)
-    # The estimate does not see the 697 values per block; never broadcast by it.
+    # The estimate does not see the thousands of values per block; never broadcast by it.
     pairs = theirs.join(ours.hint("merge"), ["length", "block", "value"])
     pairs = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     pairs = pairs.select("content", "item_id").distinct()

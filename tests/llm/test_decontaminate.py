@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from conftest import lower, words
 
 from planar.llm import decontaminate
@@ -77,3 +78,32 @@ def test_blocks_find_every_print_within_the_radius(spark):
     near = {(r.block, r.value ^ m) for r in right for m in masks}
     met = {r.print for r in left.collect() if (r.block, r.value) in near}
     assert met == {signed(p) for p in prints}
+
+
+def test_recall_at_the_threshold(spark):
+    """Of pairs at 0.8 all but a few in 10,000 are within the radius, and the blocks
+    find all that are."""
+    rng = np.random.default_rng(1)
+    for n, changed in ((9, 1), (36, 4), (45, 5)):
+        a = rng.integers(0, 1 << 64, (20_000, n), np.uint64)
+        b = a.copy()
+        b[:, :changed] = rng.integers(0, 1 << 64, (20_000, changed), np.uint64)
+        apart = decontaminate.fingerprints(a) ^ decontaminate.fingerprints(b)
+        assert (np.bitwise_count(apart) > decontaminate.RADIUS).mean() < 5e-4
+    assert sum(decontaminate.NEAR) + decontaminate.BLOCKS > decontaminate.RADIUS
+    masks = [set(spark.range(1).select(decontaminate._flips(m).alias("m")).first().m) for m in decontaminate.NEAR]
+    assert [len(m) for m in masks] == [6885, 2517, 2517, 2517]
+    for _ in range(200):
+        far = sum(1 << int(i) for i in rng.choice(64, decontaminate.RADIUS, replace=False))
+        assert any(far >> 16 * i & 0xFFFF in m for i, m in enumerate(masks))
+
+
+def test_middle_word_replaced(spark):
+    """Items of 49 to 59 words with one word replaced are all found."""
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    items = [(i, [word() for _ in range(49 + i % 11)]) for i in range(400)]
+    docs = [(i, " ".join([*w[:24], "changed", *w[25:]])) for i, w in items]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    assert got(decontaminate.hits(table, benchmark)).keys() == {(i, i) for i, _ in items}
