@@ -166,11 +166,11 @@ def windows(batch: pa.RecordBatch, lengths: list[int], bitmap: np.ndarray, bits:
         rows["doc"] += owner[starts].tolist()
         rows["length"] += [length] * len(starts)
         rows["print"] += fingerprints(inside).view(np.int64).tolist()
-    doc_ids = batch.column("doc_id").take(pa.array(rows["doc"], pa.int64()))
+    docs = batch.select(["doc_id", "t"]).take(pa.array(rows["doc"], pa.int64()))
     return pa.RecordBatch.from_arrays(
-        [doc_ids, pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int32()),
+        [*docs.columns, pa.array(rows["start"], pa.int64()), pa.array(rows["length"], pa.int32()),
          pa.array(rows["print"], pa.int64()), pa.array(rows["content"], pa.string())],
-        names=["doc_id", "start", "length", "print", "content"])
+        names=["doc_id", "t", "start", "length", "print", "content"])
 
 
 def _flips(most: int = max(NEAR)) -> Column:
@@ -189,16 +189,21 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.inline(F.array(*values)))
 
 
-def hits(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
-    text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id",  # noqa: A002
+def _text_key(text: str) -> Column:
+    """Tells apart the texts of rows with equal ids, or none."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+def _met(
+    docs: DataFrame, benchmark: DataFrame, similarity: float, text: str, id: str, item_text: str, item_id: str,  # noqa: A002
 ) -> DataFrame:
-    """``doc_id, item_id, similarity, start, n_words``: the most similar window (the
-    first of those) for every document and item that are similar enough."""
+    """``doc_id, t`` (the key of the text), ``item_id, similarity`` and the place of
+    every window of a document that is similar enough to an item."""
     spark: SparkSession = docs.sparkSession
     given = benchmark.select(F.col(f"`{item_id}`").cast("bigint").alias("item_id"), F.col(f"`{item_text}`").alias("text"))
     items = written(spark, given.mapInArrow(
-        _item_rows, "item_id bigint, length int, print bigint, content string, keys array<bigint>"), "benchmark")
+        _item_rows, "item_id bigint, length int, print bigint, content string, keys array<bigint>").withColumn(
+            "number", F.monotonically_increasing_id()), "benchmark")
     lengths = sorted(r.length for r in items.select("length").distinct().collect())
     bitmap, bits = _bitmap(items)
 
@@ -207,22 +212,23 @@ def hits(
             for part in slices(batch, "text"):
                 yield windows(part, lengths, bitmap, bits, similarity)
 
-    rows = docs.select(F.col(f"`{id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(
+        F.col(f"`{id}`").cast("bigint").alias("doc_id"), _text_key(text).alias("t"), F.col(f"`{text}`").alias("text"))
     found = written(spark, rows.mapInArrow(
-        scan, "doc_id bigint, start bigint, length int, print bigint, content string"), "windows")
+        scan, "doc_id bigint, t bigint, start bigint, length int, print bigint, content string"), "windows")
 
     # Each distinct window once; blocks meet within a length.
     distinct = found.groupBy("length", "content").agg(F.first("print").alias("print"))
     theirs = _blocks(distinct)
     flips = F.get(F.array(*[_flips(most) for most in NEAR]), F.col("block"))
     near = F.explode(F.transform(flips, lambda m: F.col("value").bitwiseXOR(m))).alias("value")
-    ours = _blocks(items.select("item_id", "length", F.col("content").alias("item"), F.col("print")))
-    ours = ours.select("item_id", "length", "block", F.col("print").alias("item_print"), near)
+    ours = _blocks(items.select("number", "length", "print"))
+    ours = ours.select("number", "length", "block", F.col("print").alias("item_print"), near)
     # The estimate does not see the thousands of values per block; never broadcast by it.
     pairs = theirs.join(ours.hint("merge"), ["length", "block", "value"])
     pairs = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    pairs = pairs.select("content", "item_id").distinct()
-    pairs = pairs.join(items.select("item_id", F.col("content").alias("item")).distinct(), "item_id")
+    pairs = pairs.select("content", "number").distinct()
+    pairs = pairs.join(items.select("number", "item_id", F.col("content").alias("item")), "number")
 
     @F.arrow_udf("double")
     def weighted(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -230,16 +236,30 @@ def hits(
         return pa.array([weighted_similarity(x.split(" "), y.split(" ")) for x, y in both], pa.float64())
 
     true = pairs.withColumn("similarity", weighted("content", "item")).where(F.col("similarity") >= similarity)
-    met = found.join(true.select("content", "item_id", "similarity"), "content")
+    return found.join(true.select("content", "item_id", "similarity"), "content")
+
+
+def hits(
+    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
+    text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id",  # noqa: A002
+) -> DataFrame:
+    """``doc_id, item_id, similarity, start, n_words``: the most similar window (the
+    first of those) for every document and item that are similar enough."""
+    met = _met(docs, benchmark, similarity, text, id, item_text, item_id)
     best = F.max_by(F.struct("similarity", "start", F.col("length").cast("bigint").alias("n_words")),
                     F.struct("similarity", -F.col("start")))
     return met.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id: str = "doc_id") -> DataFrame:  # noqa: A002
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
+    text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id",  # noqa: A002
+) -> DataFrame:
     """The documents in which no window is similar to an item, unchanged. Rows with
-    a NULL id stay or go together."""
-    leaks = written(docs.sparkSession, hits(docs, benchmark, similarity, id=id).select(
-        F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    equal ids, or none, are told apart by their text."""
+    met = _met(docs, benchmark, similarity, text, id, item_text, item_id)
+    leaks = written(docs.sparkSession, met.select(
+        F.col("doc_id").alias("_leak"), F.col("t").alias("_leak_text")).distinct(), "leaks")
     small = F.broadcast(leaks) if fits_broadcast(leaks) else leaks
-    return docs.join(small, F.col(f"`{id}`").eqNullSafe(F.col("_leak")), "left_anti")
+    same = F.col(f"`{id}`").eqNullSafe(F.col("_leak")) & (_text_key(text) == F.col("_leak_text"))
+    return docs.join(small, same, "left_anti")

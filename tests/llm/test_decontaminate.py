@@ -107,3 +107,15 @@ def test_middle_word_replaced(spark):
     table = spark.createDataFrame(docs, "doc_id bigint, text string")
     benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
     assert got(decontaminate.hits(table, benchmark)).keys() == {(i, i) for i, _ in items}
+
+
+def test_rows_and_items_without_an_id(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"v{rng.randrange(10**4)}" for _ in range(n))
+    known, other = prose(30), prose(20)
+    docs = [(None, "a " + known), (None, prose(60)), (None, None), (5, known + " b"), (5, prose(40)), (6, other), (7, prose(50))]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(None, known), (1, other)], "item_id bigint, text string")
+    assert set(got(decontaminate.hits(table, benchmark))) == {(None, None), (5, None), (6, 1)}
+    kept = decontaminate.without_leaks(table, benchmark)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([docs[1], docs[2], docs[4], docs[6]], key=str)
