@@ -199,7 +199,7 @@ def _compare(similarity: float):
 
     def run(tile: pa.Table) -> pa.Table:
         tile = tile.sort_by([("label", "ascending"), ("node", "ascending")])
-        columns = {c: tile.column(c).to_numpy() for c in ("node", "label", "copies", "side")}
+        columns = {c: tile.column(c).to_numpy() for c in ("node", "label", "copies", "side", "other")}
         raw = tile.column("grams").to_pylist()
         fresh = np.ones(len(raw), bool)
         fresh[1:] = columns["node"][1:] != columns["node"][:-1]
@@ -208,9 +208,11 @@ def _compare(similarity: float):
         out_a, out_b, out_n = [], [], []
         cuts = np.flatnonzero(np.diff(columns["label"])) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(sets)]):
-            node, copies, side = (columns[c][lo:hi] for c in ("node", "copies", "side"))
+            node, copies, side, other = (columns[c][lo:hi] for c in ("node", "copies", "side", "other"))
             group = sets[lo:hi]
-            if side.min() >= 0 and side.min() != side.max():  # two blocks of one component
+            if side[0] != other[0]:  # two blocks of one component
+                if side.min() == side.max():
+                    continue  # one of them is empty; the other has a tile of its own
                 left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
             else:
                 left = right = np.arange(len(group))
@@ -255,9 +257,12 @@ def near_groups(
     given = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     given = given.withColumn("t", F.xxhash64("text"))
     signed = written(spark, signatures(given.select("id", "t", "text"), bands, rows, n), "signatures")
+    # One row of each class stands for it; NULL ids come last.
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t"))
     classes = signed.groupBy("k1", "k2").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("t", F.struct("id", "t")).alias("t"),
+        least.alias("least"), F.count(F.lit(1)).alias("copies"),
         F.max("n_words").alias("n_words"), F.first("bands").alias("bands"))
+    classes = classes.select("k1", "k2", F.col("least.id").alias("rep"), "copies", F.col("least.t").alias("t"), "n_words", "bands")
     classes = written(spark, classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     met = classes.where(F.col("n_words") > 0).select("node", F.posexplode("bands").alias("band", "hash"))
@@ -277,15 +282,17 @@ def near_groups(
     side = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).otherwise(-1)
     placed = placed.withColumn("side", side)
     pair = lambda j: F.struct(
-        F.xxhash64("label", F.least("side", j), F.greatest("side", j)).alias("tile"), F.col("side").alias("side"))
+        F.xxhash64("label", F.least("side", j), F.greatest("side", j)).alias("tile"),
+        F.col("side").alias("side"), j.cast("int").alias("other"))
     tiles = F.when(F.col("side") >= 0, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).otherwise(
-        F.array(F.struct(F.pmod(F.xxhash64("label"), F.lit(bins)).alias("tile"), F.col("side").alias("side"))))
+        F.array(F.struct(F.pmod(F.xxhash64("label"), F.lit(bins)).alias("tile"), F.col("side").alias("side"),
+                             F.col("side").alias("other"))))
     placed = written(spark, placed.select("node", "label", "k1", "k2", "t", "rep", "copies", tiles.alias("tiles")), "placed")
 
     chosen = F.broadcast(placed) if fits_broadcast(placed.drop("tiles"), 2) else placed
     again = given.join(chosen, (given["t"] == chosen["t"]) & given["id"].eqNullSafe(chosen["rep"])).select(
         "node", "label", "k1", "k2", "copies", "tiles", "text")
-    kind = "node bigint, label bigint, copies bigint, tiles array<struct<tile:bigint,side:int>>, grams binary"
+    kind = "node bigint, label bigint, copies bigint, tiles array<struct<tile:bigint,side:int,other:int>>, grams binary"
     sets = again.mapInArrow(_sets(n), kind)
     sets = sets.select("node", "label", "copies", "grams", F.inline("tiles"))
     found = written(spark, sets.groupBy("tile").applyInArrow(_compare(similarity), "a bigint, b bigint, n bigint"), "links")

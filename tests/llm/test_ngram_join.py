@@ -79,3 +79,22 @@ def test_one_of_each(odd_docs, odd_rows):
 def test_banding():
     bands, rows = ngram_join.banding(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= ngram_join.MOST_HASHES
+
+
+def test_more_blocks_than_members(spark, monkeypatch):
+    """Long texts make many blocks of few members; each pair is counted once."""
+    text = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*text[:200], f"e{i}", *text[201:]])) for i in range(3)]
+    monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", 100)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(ngram_join.near_groups(docs)) == brute(rows)
+
+
+def test_class_with_and_without_an_id(spark):
+    """Equal words in different white space, one row without an id: still near others."""
+    text = [f"w{i}" for i in range(60)]
+    near = [*text[:59], "changed"]
+    for gap in ("  ", "\n", "\t", " \n "):
+        rows = [(None, gap.join(text)), (4, " ".join(text)), (7, " ".join(near))]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        assert got(ngram_join.near_groups(docs)) == brute(rows)
