@@ -3,7 +3,8 @@
 A byte-pair vocabulary takes few tokens for the kind of text it was made from,
 and many for random strings. A run of key-like characters with few characters
 per token is reported as ``random``, unless it is a digest of a usual length, a
-UUID or reads like an identifier or a path.
+UUID or reads like an identifier or a path: its parts are letters, perhaps with up to
+eight digits behind, and the letters by themselves take few tokens.
 
 Defined cases: a NULL text is an empty one and has no spans. Rows are scanned one
 by one; repeated rows and further columns stay as they are. Positions count code
@@ -47,7 +48,9 @@ _HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
 _DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _JOINT = re.compile(r"[+/_=-]+")
-_NAME_PART = re.compile(r"[A-Za-z]*[0-9]{0,8}")
+_NAME_PART = re.compile(r"([A-Za-z]*)[0-9]{0,8}")
+# Parts of a name that are this short need not tokenize well by themselves.
+_SHORT_PART = 4
 
 
 @lru_cache(maxsize=2)
@@ -60,11 +63,24 @@ def _encoding(path: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_known_form(run: str) -> bool:
-    """Digests, UUIDs, and names or paths: letters, perhaps with a number behind."""
+def _is_name(run: str, encoding, most_chars_per_token: float) -> bool:
+    """Names, paths and dates: parts of letters, perhaps with a number behind. The
+    letters of all parts, and of each that is not short, take few tokens."""
+    parts = [_NAME_PART.fullmatch(part) for part in _JOINT.split(run)]
+    if not all(parts):
+        return False
+    letters = [m[1] for m in parts if m[1]]
+    tokens = [len(encoding.encode_ordinary(x)) for x in letters]
+    if any(len(x) > _SHORT_PART and len(x) <= most_chars_per_token * n for x, n in zip(letters, tokens)):
+        return False
+    return not letters or sum(map(len, letters)) > most_chars_per_token * sum(tokens)
+
+
+def is_known_form(run: str, encoding, most_chars_per_token: float = MOST_CHARS_PER_TOKEN) -> bool:
+    """Digests, UUIDs, and what reads like a name."""
     if len(run) in _DIGEST_LENGTHS and _HEX_ONLY.fullmatch(run):
         return True
-    return bool(_UUID.fullmatch(run)) or all(_NAME_PART.fullmatch(part) for part in _JOINT.split(run))
+    return bool(_UUID.fullmatch(run)) or _is_name(run, encoding, most_chars_per_token)
 
 
 def base_spans(text: str) -> list[Span]:
@@ -82,9 +98,10 @@ def find(text: str, encoding, most_chars_per_token: float) -> list[Span]:
     spans = base_spans(text)
     for m in _RUN.finditer(text):
         run = m[0]
-        if is_known_form(run) or any(s < m.end() and m.start() < e for _, s, e in spans):
+        if any(s < m.end() and m.start() < e for _, s, e in spans):
             continue
-        if len(run) <= most_chars_per_token * len(encoding.encode_ordinary(run)):
+        few = len(run) <= most_chars_per_token * len(encoding.encode_ordinary(run))
+        if few and not is_known_form(run, encoding, most_chars_per_token):
             spans.append(("random", *m.span()))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -60,3 +60,19 @@ def test_query(spark, texts):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x[0] for x in base) for k in PATTERNS]
         text = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_keys_of_letters():
+    """Random letters are found, as one run or joined; names and dates are not."""
+    rng = random.Random(6)
+    encoding = secret_scan._encoding(secret_scan.public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    find = lambda text: secret_scan.find(text, encoding, secret_scan.MOST_CHARS_PER_TOKEN)
+    for alphabet in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + string.digits):
+        for n in (20, 24, 40):
+            keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(400)]
+            joined = ["-_/+="[i % 5].join(k[j : j + n // 4] for j in range(0, n, n // 4)) for i, k in enumerate(keys)]
+            for some in (keys, joined):
+                assert sum(find(f"key {k} end") == [("random", 4, 4 + len(k))] for k in some) >= 0.98 * len(some), (alphabet, n)
+    names = ["a_long_identifier_with_parts2", "/usr/local/share/applications/menu", "getUserAccountDetailsByIdentifier",
+             "src/btree/rbtree_impl", "2021-03-04-12-30-45-000", "kubernetes-ingress-nginx-ctrl-mgr", "shipment_reference_20240101"]
+    assert [x for x in names if find(x)] == []
