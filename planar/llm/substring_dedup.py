@@ -3,11 +3,11 @@
 A suffix starts at every word. Suffixes are split by prefixes of variable length:
 by the first word, and where one word starts too many, by the second as well, and so
 on, until every group fits in memory; whole passes over the texts count them. The
-tree of a group is kept as its leaves in the order of what matters of it: the nodes
-``window`` words deep. Leaves under one such node are a repeat, and a chain of them
-through consecutive words is a maximal one.
+only nodes of a group's tree that matter are those ``window`` words deep, and no others
+are made: hashes of all windows, sorted, stand for them. Leaves under one such node are
+a repeat, and a chain of them through consecutive words is a maximal one.
 
-Documents are cut into buckets by a hash of their id. A bucket sends each group the
+Documents are cut into buckets by a hash of their id and text. A bucket sends each group the
 distinct depth-``window`` nodes it has there, once, with the smallest id under
 them, and gets back a bit for each: whether another bucket has a smaller id. So a
 passage that every document holds costs a group one leaf per bucket. Nodes are known by
@@ -31,7 +31,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planar.llm.joins import attach
@@ -254,6 +254,12 @@ def _cleaned(plan: Plan, window: int):
     return run
 
 
+def bucket_of(n: int) -> Column:
+    """Of ``n`` buckets; with the hash of the text, rows without an id, or with the
+    same, spread over all of them."""
+    return F.pmod(F.xxhash64("doc_id", "t"), F.lit(n)).cast("int")
+
+
 def dedup(
     docs: DataFrame, window: int = WINDOW, text: str = "text", id: str = "doc_id",  # noqa: A002
     bucket_bytes: int = BUCKET_BYTES, group_leaves: int = GROUP_LEAVES,
@@ -264,7 +270,7 @@ def dedup(
     plan, size = plan_groups(given, window, group_leaves)
     given = given.withColumn("t", F.xxhash64("text"))
     n = max(1, -(-size // bucket_bytes))
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+    bucket = bucket_of(n)
 
     narrow = given.where(F.col("doc_id").isNotNull()).select("doc_id", "t", F.md5("text").alias("digest"))
     narrow = written(docs.sparkSession, narrow, "digests")

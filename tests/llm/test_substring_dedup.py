@@ -1,5 +1,6 @@
 import pytest
 from conftest import words
+from pyspark.sql import functions as F
 
 from planar.llm import substring_dedup
 
@@ -43,3 +44,15 @@ def test_odd(odd_docs, odd_rows, no_docs):
 def test_groups_stay_small(documents):
     plan, size = substring_dedup.plan_groups(documents.select("text"), 13, 1_000)
     assert len(plan.levels) > 1 and size > 0
+
+
+def test_equal_and_missing_ids_spread(spark):
+    """Over buckets, with the same results."""
+    vocabulary = [f"w{i}" for i in range(500)]
+    text = lambda i: " ".join(vocabulary[(i * 7 + j * (i % 3 + 1)) % 500] for j in range(60))
+    rows = [(None, text(i)) for i in range(60)] + [(5, text(i)) for i in range(60)] + [(9, text(i)) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    buckets = docs.select("doc_id", F.xxhash64("text").alias("t")).select("doc_id", substring_dedup.bucket_of(8).alias("b"))
+    assert [r.n for r in buckets.where("doc_id is null or doc_id = 5").groupBy("doc_id").agg(
+        F.count_distinct("b").alias("n")).collect()] == [8, 8]
+    assert got(substring_dedup.dedup(docs, bucket_bytes=3_000, group_leaves=500)) == brute(rows)
