@@ -5,15 +5,16 @@
 2. Band hashes are shuffled. A band that several classes share links them to the
    smallest of them, never to each other; the components of these links hold all
    candidate pairs.
-3. The n-gram sets of those classes are made in a second pass and compared within
-   their component. Components are cut into blocks of bounded size and compared
-   block by block, so no task holds a component, and a task gives back counts and
-   a spanning forest of the links it found, not the links.
+3. The n-gram sets of those classes are made in a second pass and compared, a component
+   at a time, or, if that needs fewer copies of the sets, a band's bucket at a time;
+   there, a pair counts in the first bucket that it shares. What is too large is cut into
+   blocks of bounded size and compared block by block, so no task holds a component,
+   and a task gives back counts and a spanning forest of the links it found, not the links.
 4. The components of these forests are the groups of near-duplicates.
 
 With the similarity and recall given, rows and bands follow: the most rows per band
-for which the bands fit ``MOST_HASHES``. Within a candidate component every pair is
-compared, which only adds to that recall.
+for which the bands fit ``MOST_HASHES``. Where a component is compared as a whole, every
+pair in it is, which only adds to that recall.
 
 Defined cases: a text of one to four words has one n-gram, all of them. Texts
 without words (NULL, empty) are equal to each other. A NULL id is never a class id
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planar.llm.graph import components
@@ -41,10 +42,10 @@ NGRAM = 5
 SIMILARITY = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
-# A block of a component: at most about so many classes and n-grams.
-BLOCK_CLASSES, BLOCK_NGRAMS = 512, 400_000
-# Classes of small components that share a task.
-BIN_CLASSES = 1_000
+# A block of a component or bucket: at most about so many classes and n-grams.
+BLOCK_CLASSES, BLOCK_NGRAMS = 1_024, 400_000
+# Classes and n-grams of small components or buckets that share a task.
+BIN_CLASSES, BIN_NGRAMS = 1_000, 400_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LANES = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -147,9 +148,8 @@ def _sets(n: int):
                 grams, begin, end = _ngrams(words, n)
                 sets = [np.unique(grams[begin[i] : end[i]]).tobytes() for i in np.flatnonzero(right)]
                 kept = part.filter(pa.array(right))
-                yield pa.RecordBatch.from_arrays(
-                    [kept.column("node"), kept.column("label"), kept.column("copies"), kept.column("tiles"), pa.array(sets, pa.binary())],
-                    names=["node", "label", "copies", "tiles", "grams"])
+                names = ["node", "copies", "bands", "tiles"]
+                yield pa.RecordBatch.from_arrays([*map(kept.column, names), pa.array(sets, pa.binary())], names=[*names, "grams"])
 
     return scan
 
@@ -198,19 +198,23 @@ def _compare(similarity: float):
     """Within a tile: links of every class, weighed by copies, and a forest."""
 
     def run(tile: pa.Table) -> pa.Table:
-        tile = tile.sort_by([("label", "ascending"), ("node", "ascending")])
-        columns = {c: tile.column(c).to_numpy() for c in ("node", "label", "copies", "side", "other")}
+        tile = tile.sort_by([("unit", "ascending"), ("node", "ascending")])
+        columns = {c: tile.column(c).to_numpy() for c in ("node", "unit", "copies", "side", "other", "band")}
         raw = tile.column("grams").to_pylist()
+        # Rows that repeat a class's id and text give its set more than once.
         fresh = np.ones(len(raw), bool)
-        fresh[1:] = columns["node"][1:] != columns["node"][:-1]
+        fresh[1:] = (columns["node"][1:] != columns["node"][:-1]) | (columns["unit"][1:] != columns["unit"][:-1])
         columns = {c: v[fresh] for c, v in columns.items()}
         sets = [np.frombuffer(r, np.uint64) for r, f in zip(raw, fresh) if f]
+        if columns["band"].max() >= 0:
+            bands = tile.column("bands").combine_chunks()
+            bands = bands.flatten().to_numpy().reshape(len(raw), -1)[fresh]
         out_a, out_b, out_n = [], [], []
-        cuts = np.flatnonzero(np.diff(columns["label"])) + 1
+        cuts = np.flatnonzero(np.diff(columns["unit"])) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(sets)]):
             node, copies, side, other = (columns[c][lo:hi] for c in ("node", "copies", "side", "other"))
             group = sets[lo:hi]
-            if side[0] != other[0]:  # two blocks of one component
+            if side[0] != other[0]:  # two blocks
                 if side.min() == side.max():
                     continue  # one of them is empty; the other has a tile of its own
                 left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
@@ -226,6 +230,13 @@ def _compare(similarity: float):
             i, j = left[i[exact]], right[j[exact]]
             apart = i != j
             i, j = i[apart], j[apart]
+            band = columns["band"][lo]
+            if band >= 0:
+                # Pairs that share an earlier band have been counted there.
+                own, here = bands[lo:hi], np.ones(len(i), bool)
+                for earlier in range(band):
+                    here &= own[i, earlier] != own[j, earlier]
+                i, j = i[here], j[here]
             links = np.zeros(len(group), np.int64)
             np.add.at(links, i, copies[j])
             if left is not right:
@@ -243,6 +254,61 @@ def _compare(similarity: float):
     return run
 
 
+_TILES = "array<struct<tile:bigint,unit:bigint,side:int,other:int,band:int>>"
+
+
+def _blocks(classes: Column, grams: Column) -> Column:
+    return F.greatest(F.ceil(F.greatest(classes / BLOCK_CLASSES, grams / BLOCK_NGRAMS)), F.lit(1)).cast("int")
+
+
+def _tiles(unit: str, blocks: str, band: Column, bins: int, first: int = 0) -> Column:
+    """The tiles that a class of a unit (component or bucket) goes to: one for each other
+    block of the unit, or one that small units share, numbered from ``first``."""
+    side = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+
+    def tile(number: Column, side: Column, other: Column) -> Column:
+        return F.struct(
+            number.alias("tile"), F.col(unit).alias("unit"), side.alias("side"), other.cast("int").alias("other"), band.alias("band"))
+
+    def pair(j: Column) -> Column:
+        return tile(F.xxhash64(unit, F.least(side, j), F.greatest(side, j)), side, j)
+
+    small = tile(F.pmod(F.xxhash64(unit), F.lit(bins)) + first, F.lit(-1), F.lit(-1))
+    return F.when(F.col(blocks) > 1, F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), pair)).otherwise(F.array(small)).cast(_TILES)
+
+
+def _placed(loose: DataFrame, classes: DataFrame, met: DataFrame, shared: DataFrame) -> DataFrame:
+    """Of all classes of candidate components the ``tiles`` they are compared in."""
+    spark = loose.sparkSession
+    sizes = loose.join(classes.select("node", "n_words"), "node").groupBy("label").agg(
+        F.count(F.lit(1)).alias("m"), F.sum("n_words").alias("grams"))
+    sizes = written(spark, sizes.withColumn("blocks", _blocks(F.col("m"), F.col("grams"))), "components")
+    # Sets to be copied: each to all blocks of its component, or of its buckets.
+    large = sizes.where("blocks > 1").select("label", (F.col("m") * F.col("blocks")).alias("whole"))
+    owner = attach(loose, large, "label", "inner").select(F.col("node").alias("low"), "label", "whole")
+    buckets = shared.withColumn("blocks", _blocks(F.col("m"), F.col("grams"))).join(owner, "low")
+    parts = buckets.groupBy("label", "whole").agg(F.sum(F.col("m") * F.col("blocks")).alias("parts"))
+    by_band = written(spark, parts.where("parts < whole").select("label"), "by-band").withColumn("by_band", F.lit(True))
+    total = sizes.where("blocks = 1").agg(F.sum("m").alias("m"), F.sum("grams").alias("grams")).first()
+
+    def bins(m: int | None, grams: int | None) -> int:
+        return max(1, (m or 0) // BIN_CLASSES, (grams or 0) // BIN_NGRAMS)
+
+    whole = attach(loose, sizes.join(by_band, "label", "left").where("by_band IS NULL").select("label", "blocks"), "label", "inner")
+    tiles = _tiles("label", "blocks", F.lit(-1), bins(total.m, total.grams))
+    out = whole.select("node", tiles.alias("tiles"))
+    if not by_band.isEmpty():
+        chosen = buckets.join(by_band, "label").select("bucket", "blocks", "m", "grams")
+        chosen = written(spark, chosen, "buckets")
+        total = chosen.where("blocks = 1").agg(F.sum("m").alias("m"), F.sum("grams").alias("grams")).first()
+        rows = attach(met, chosen.select("bucket", "blocks"), "bucket", "inner")
+        tiles = _tiles("bucket", "blocks", F.col("band"), bins(total.m, total.grams), 1 << 40)
+        rows = rows.select("node", tiles.alias("tiles")).groupBy("node").agg(F.flatten(F.collect_list("tiles")).alias("tiles"))
+        out = out.unionByName(rows)
+    keys = classes.select("node", "k1", "k2", "t", "rep", "copies", "bands")
+    return written(spark, out.join(keys, "node"), "placed")
+
+
 def near_groups(
     docs: DataFrame, similarity: float = SIMILARITY, n: int = NGRAM, recall: float = RECALL,
     text: str = "text", id: str = "doc_id",  # noqa: A002
@@ -265,54 +331,41 @@ def near_groups(
     classes = classes.select("k1", "k2", F.col("least.id").alias("rep"), "copies", F.col("least.t").alias("t"), "n_words", "bands")
     classes = written(spark, classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    met = classes.where(F.col("n_words") > 0).select("node", F.posexplode("bands").alias("band", "hash"))
-    met = met.select("node", F.xxhash64("band", "hash").alias("bucket"))
-    shared = met.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    stars = met.join(shared.select("bucket", "low"), "bucket").where(F.col("node") != F.col("low"))
+    met = classes.where(F.col("n_words") > 0).select("node", "n_words", F.posexplode("bands").alias("band", "hash"))
+    met = met.select("node", "n_words", "band", F.xxhash64("band", "hash").alias("bucket"))
+    shared = met.groupBy("bucket").agg(
+        F.min("node").alias("low"), F.count(F.lit(1)).alias("m"), F.sum("n_words").alias("grams")).where("m > 1")
+    shared = written(spark, shared, "shared-bands")
+    stars = attach(met, shared.select("bucket", "low"), "bucket", "inner").where(F.col("node") != F.col("low"))
     loose = written(spark, components(stars.select(F.col("node").alias("a"), F.col("low").alias("b"))), "loose")
+    placed = _placed(loose, classes, met.select("node", "band", "bucket"), shared)
 
-    # Blocks of large components; every pair of blocks is a tile.
-    sizes = loose.join(classes.select("node", "n_words"), "node").groupBy("label").agg(
-        F.count(F.lit(1)).alias("m"), F.sum("n_words").alias("grams"))
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_CLASSES, F.col("grams") / BLOCK_NGRAMS)).cast("int")
-    sizes = sizes.select("label", F.greatest(blocks, F.lit(1)).alias("blocks"))
-    placed = loose.join(sizes, "label").join(classes.select("node", "k1", "k2", "t", "rep", "copies"), "node")
-    total = placed.count()
-    bins = max(1, total // BIN_CLASSES)
-    side = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).otherwise(-1)
-    placed = placed.withColumn("side", side)
-    pair = lambda j: F.struct(
-        F.xxhash64("label", F.least("side", j), F.greatest("side", j)).alias("tile"),
-        F.col("side").alias("side"), j.cast("int").alias("other"))
-    tiles = F.when(F.col("side") >= 0, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).otherwise(
-        F.array(F.struct(F.pmod(F.xxhash64("label"), F.lit(bins)).alias("tile"), F.col("side").alias("side"),
-                             F.col("side").alias("other"))))
-    placed = written(spark, placed.select("node", "label", "k1", "k2", "t", "rep", "copies", tiles.alias("tiles")), "placed")
-
-    chosen = F.broadcast(placed) if fits_broadcast(placed.drop("tiles"), 2) else placed
+    chosen = F.broadcast(placed) if fits_broadcast(placed, 2) else placed
     again = given.join(chosen, (given["t"] == chosen["t"]) & given["id"].eqNullSafe(chosen["rep"])).select(
-        "node", "label", "k1", "k2", "copies", "tiles", "text")
-    kind = "node bigint, label bigint, copies bigint, tiles array<struct<tile:bigint,side:int,other:int>>, grams binary"
-    sets = again.mapInArrow(_sets(n), kind)
-    sets = sets.select("node", "label", "copies", "grams", F.inline("tiles"))
+        "node", "k1", "k2", "copies", "bands", "tiles", "text")
+    sets = again.mapInArrow(_sets(n), f"node bigint, copies bigint, bands array<bigint>, tiles {_TILES}, grams binary")
+    # Only buckets need the bands.
+    bands_of = F.when(F.col("tile.band") >= 0, F.col("bands"))
+    sets = sets.select("node", "copies", "bands", "grams", F.explode("tiles").alias("tile")).select(
+        "node", "copies", "grams", bands_of.alias("bands"), "tile.*")
     found = written(spark, sets.groupBy("tile").applyInArrow(_compare(similarity), "a bigint, b bigint, n bigint"), "links")
 
     links = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     groups = components(found.where(F.col("b").isNotNull()).select("a", "b"))
-    known = classes.select("node", "k1", "k2", "rep", "copies").join(groups, "node", "left").join(links, "node", "left")
+    known = classes.select("node", "k1", "k2", "rep", "t", "copies").join(groups, "node", "left").join(links, "node", "left")
     known = known.where((F.col("copies") > 1) | F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "node"))
-    heads = known.groupBy("label").agg(
-        F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull(), "rep", "node"))["node"].alias("head"))
+    # The row that stays: the one with the smallest id, NULL last, then by its text.
+    heads = known.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "t")).alias("head"))
     known = written(spark, known.join(heads, "label").select(
-        "k1", "k2", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"),
-        (F.col("node") == F.col("head")).alias("is_head")), "near-classes")
+        "k1", "k2", "copies", F.coalesce("links", F.lit(0)).alias("links"),
+        F.col("head.rep").alias("class_id"), F.col("head.t").alias("head_t")), "near-classes")
     out = attach(signed.select("id", "t", "k1", "k2"), known, ["k1", "k2"])
     other = F.coalesce(F.col("copies") - 1, F.lit(0))
     return out.select(
         F.col("id").alias("doc_id"), "t", F.coalesce("class_id", "id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + other).cast("bigint").alias("n_links"), other.cast("bigint").alias("n_copies"),
-        (F.coalesce("is_head", F.lit(True)) & F.coalesce("id", F.lit(0)).eqNullSafe(
-            F.coalesce("class_id", "id", F.lit(0)))).alias("first"))
+        F.when(F.col("head_t").isNull(), True).otherwise(
+            (F.col("t") == F.col("head_t")) & F.col("id").eqNullSafe(F.col("class_id"))).alias("first"))
 
 
 def one_of_each(
