@@ -30,6 +30,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,7 +178,7 @@ def _bucket(docs: pa.Table, copies: set[tuple[int, int]], plan: Plan, window: in
 
 
 def _copies_of(side: pa.Table) -> set[tuple[int, int]]:
-    rows = side.filter(pa.compute.equal(side.column("grp"), -1))
+    rows = side.filter(pc.equal(side.column("grp"), -1))
     return set(zip(rows.column("doc_id").to_pylist(), rows.column("t").to_pylist()))
 
 
