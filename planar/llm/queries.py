@@ -34,8 +34,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), carry=["doc_id"])
-    taken = (F.col("size") * F.col("copies")).alias("taken")
-    return mixed.select("doc.doc_id", "size", "source_size", "target", taken)
+    taken = (F.col("size") * F.size("positions").cast("bigint")).alias("taken")
+    # Of documents that are not taken, -1.
+    places = {"first_position": F.get("positions", F.lit(0)), "last_position": F.get("positions", F.size("positions") - 1)}
+    places = [F.coalesce(place, F.lit(-1.0)).alias(name) for name, place in places.items()]
+    return mixed.select("doc.doc_id", "size", "source_size", "target", taken, *places)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from planar.llm import mixing as ramps
 from planar.llm import quality
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -56,6 +57,12 @@ FROM counts"""
 
 
 def mixing() -> str:
+    starts, ends = (", ".join(str(ramp[side]) for ramp in ramps.RAMPS) for side in (0, 1))
+
+    def place(epoch: str) -> str:
+        u = f"(least(CAST({epoch} * source_size + before AS DOUBLE) / target, 1.0) * (s + e) / 2)"
+        return f"2 * {u} / (s + sqrt(greatest(s * s + 2 * (e - s) * {u}, 0.0)))"
+
     return f"""
 WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
            CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
@@ -67,12 +74,16 @@ l AS (SELECT *, (CAST(total AS DOUBLE) - CAST(sum(cap) OVER (ORDER BY cap / w, r
       / CAST(sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level FROM w),
 t AS (SELECT *, least(CAST(cap AS DOUBLE), w * (SELECT first(level ORDER BY cap / w, r) FROM l WHERE level * w <= cap)) AS target
       FROM l),
-b AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+b AS (SELECT d.doc_id, d.size, t.r, t.source_size, t.target,
       coalesce(sum(d.size) OVER (PARTITION BY t.r ORDER BY h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN
-  CAST(size * least(greatest(floor((target - before - size / 2) / source_size) + 1, 0), 3) AS BIGINT) ELSE 0 END AS taken
-FROM b"""
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CASE WHEN size > 0 THEN
+  CAST(least(greatest(floor((target - before - size / 2) / source_size) + 1, 0), 3) AS BIGINT) ELSE 0 END AS copies,
+  CAST(list_value({starts})[(r - 1) % 3 + 1] AS DOUBLE) AS s, CAST(list_value({ends})[(r - 1) % 3 + 1] AS DOUBLE) AS e FROM b)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken,
+  CASE WHEN copies > 0 THEN {place('0')} ELSE -1.0 END AS first_position,
+  CASE WHEN copies > 0 THEN {place('(copies - 1)')} ELSE -1.0 END AS last_position
+FROM c"""
 
 
 def warc() -> str:

@@ -1,0 +1,60 @@
+from __future__ import annotations
+
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from planar.llm.ranks import ranked, running
+from planar.plans import lookup
+
+
+def test_positions_of_a_hot_group(spark):
+    rows = [(0 if i % 3 else i % 7, i * 7919 % 1000 if i % 5 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "grp int, v bigint").repartition(9)
+    groups = defaultdict(list)
+    for r in ranked(df, "grp", ["v"], "test").collect():
+        groups[r.grp].append((r.pos, r.v))
+    assert Counter(rows) == Counter((g, v) for g, members in groups.items() for _, v in members)
+    for members in groups.values():
+        members.sort()
+        assert [p for p, _ in members] == list(range(len(members)))
+        values = [(v is not None, v or 0) for _, v in members]
+        assert values == sorted(values)
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_hot_keys_in_parts(spark, monkeypatch, how):
+    monkeypatch.setattr(lookup, "fits_broadcast", lambda *a, **k: False)
+    rows = spark.createDataFrame([(1 if i % 3 == 0 else i, "same") for i in range(300)], "k bigint, c string").repartition(4)
+    small = spark.range(150).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    out = lookup.attach(rows, small, "k", how, hot_rows=10)
+    assert out.columns == ["k", "c", "v"]
+    want = Counter((1 if i % 3 == 0 else i) for i in range(300))
+    got = Counter()
+    for r in out.collect():
+        assert r.v == (2 * r.k if r.k < 150 else None)
+        got[r.k] += 1
+    assert got == (want if how == "left" else Counter({k: n for k, n in want.items() if k < 150}))
+
+
+def test_running_sums_of_a_hot_group(spark):
+    rows = [("" if i % 3 else f"g{i % 7}", i * 7919 % 100 if i % 5 else None, i % 11, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "grp string, o bigint, v bigint, i bigint").repartition(9)
+    df = df.sparkSession.createDataFrame(df.collect(), df.schema)
+    out = running(df, "grp", ["o", "v"], {"before": "v", "twice": "v"}, "test")
+    assert out.columns == ["grp", "o", "v", "i", "before", "twice"]
+    groups = defaultdict(list)
+    for r in out.collect():
+        groups[r.grp].append(r)
+    assert sum(map(len, groups.values())) == 2000
+    for members in groups.values():
+        members.sort(key=lambda r: (r.o is not None, r.o or 0, r.v, r.before))
+        total = 0
+        for r in members:
+            assert r.before == r.twice
+        # Rows that agree in the order may come in any order, at the same sums.
+        for r in sorted(members, key=lambda r: (r.before, r.o is not None, r.o or 0, r.v)):
+            assert r.before == total
+            total += r.v
+    assert running(df.where("false"), "grp", ["o"], {"before": "v"}, "test").count() == 0
