@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planar.llm.spans import SPANS, Span, span_array
+from planar.llm.spans import SPANS, Span, apart, span_array
 from planar.llm.words import Words, hash_runs, split_words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -333,7 +333,7 @@ def personal_spans(text: str | Column, crf: Crf) -> Column:
             more = _added(part, texts.slice(begin, len(part)), crf)
             for t, extra in zip(part, more):
                 base = candidates(t)[0]
-                extra = [x for x in extra if not any(x[1] < e and s < x[2] for _, s, e in base)]
+                extra = list(apart(sorted(extra, key=lambda s: s[1]), base))
                 base_spans.append(ordered(base))
                 all_spans.append(ordered(base + extra))
         return pa.StructArray.from_arrays([span_array(base_spans), span_array(all_spans)], names=["base", "spans"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from planar.llm.spans import SPANS, Span, span_array
+from planar.llm.spans import SPANS, Span, apart, span_array
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "random")
@@ -96,13 +96,12 @@ def base_spans(text: str) -> list[Span]:
 def find(text: str, encoding, most_chars_per_token: float) -> list[Span]:
     """All spans of a text by start, then kind. ``random`` ones touch no other."""
     spans = base_spans(text)
-    for m in _RUN.finditer(text):
-        run = m[0]
-        if any(s < m.end() and m.start() < e for _, s, e in spans):
-            continue
+    runs = [("random", *m.span()) for m in _RUN.finditer(text)]
+    for span in list(apart(runs, spans)):
+        run = text[span[1] : span[2]]
         few = len(run) <= most_chars_per_token * len(encoding.encode_ordinary(run))
         if few and not is_known_form(run, encoding, most_chars_per_token):
-            spans.append(("random", *m.span()))
+            spans.append(span)
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -24,6 +24,22 @@ def span_array(found: list[list[Span]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+def apart(spans: list[Span], taken: list[Span]) -> Iterator[Span]:
+    """Those of ``spans`` (by start) that overlap none of ``taken``; goes once through both."""
+    cover: list[list[int]] = []
+    for _, start, end in sorted(taken, key=lambda s: s[1]):
+        if cover and start <= cover[-1][1]:
+            cover[-1][1] = max(cover[-1][1], end)
+        else:
+            cover.append([start, end])
+    at = 0
+    for span in spans:
+        while at < len(cover) and cover[at][1] <= span[1]:
+            at += 1
+        if at == len(cover) or span[2] <= cover[at][0]:
+            yield span
+
+
 def of_kinds(spans: str, kinds: Sequence[str]) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(list(kinds)))
 
