@@ -4,15 +4,16 @@ The model predicts each byte bit by bit. For the bits so far of a byte there is
 tree of contexts, the last 0 to ``DEPTH`` bytes; every node has a Krichevsky-
 Trofimov estimate from the counts of its bits, and its weighted probability is
 half its own estimate and half the product of its children's. Mixing over all
-depths is then a matter of one weight per node, and the log probability of a byte
-follows from its context alone, so it is worked out once per distinct byte string
-of ``DEPTH + 1`` bytes.
+depths is then a matter of one weight per node. ``DEPTH`` is as much as a 64-bit key holds
+beside the byte itself; a node that training never reached predicts 1/2 at all depths.
 
-How it is spread out. Counts of byte strings and of words are summed by key, after
-tasks have summed their own. Trees are split by their first two context bytes; the
-two levels above them have at most 65,535 nodes, which every task gets. Documents are
-cut into buckets by a hash; a bucket asks each group of trees for the distinct strings
-that it holds, and the groups answer. The texts are shuffled once for both.
+How it is spread out. Documents are cut into buckets by a hash. A bucket sends its
+distinct strings of ``DEPTH + 1`` bytes, with their counts in training texts, to the groups
+of trees they belong to: a message is both a contribution and a question. Groups are made of
+trees below a context of two bytes; where that is too much, of three or more. A first
+pass over the messages works out what the trees below the cuts add up to, from which the
+few nodes above follow; a second one answers every message with log probabilities. Trees for
+different bits of a byte do not touch, so a group handles one bit after the other.
 
 Texts are lower-cased (A-Z) and end with a NUL byte, which counts; contexts before
 the start are NUL. Defined cases: a NULL text is an empty one; a NULL id is hashed as
@@ -36,11 +37,13 @@ from pyspark.sql import functions as F
 from planar.llm.scratch import written
 from planar.llm.words import hash_runs, mix, slices, split_words, text_bytes
 
-DEPTH = 4
-BUCKET_BYTES = 3 << 20
-GROUP_KEYS = 150_000
-# Buckets whose questions one call of a group answers.
-_BUCKETS_PER_CALL = 64
+DEPTH = 7
+BUCKET_BYTES = 8 << 20
+# Bytes of text whose contexts a group has, and words a group of words has, at most.
+GROUP_BYTES, GROUP_WORDS = 16 << 20, 1_500_000
+# Context bytes that all groups are cut by; deeper cuts follow.
+_FIRST_CUT = 2
+_SLICE = 1 << 20
 _FLUSH_KEYS = 1_500_000
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -52,25 +55,25 @@ _HALF = float(np.log(0.5))
 # --- contents of texts ---------------------------------------------------------
 
 
-def strings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The ``DEPTH + 1`` bytes up to every byte, as integers, and how many each text
+def strings(texts: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The ``depth + 1`` bytes up to every byte, as integers, and how many each text
     has; a text's NUL end is one of its bytes."""
     data, at = text_bytes(texts)
     n = len(at) - 1
     length = np.diff(at) + 1
     begin = np.cumsum(length) - length
-    # DEPTH NULs before every text keep contexts apart.
-    room = length + DEPTH
-    start = np.cumsum(room) - room + DEPTH
+    # depth NULs before every text keep contexts apart.
+    room = length + depth
+    start = np.cumsum(room) - room + depth
     line = np.zeros(int(room.sum()), np.uint8)
     place = np.arange(len(data)) + np.repeat(start - at[:-1], np.diff(at))
     line[place] = _LOWER[data]
     where = np.arange(int(length.sum())) + np.repeat(start - begin, length)
-    ends = np.zeros(max(0, len(line) - DEPTH), np.uint64)
-    for back in range(DEPTH, -1, -1):
+    ends = np.zeros(max(0, len(line) - depth), np.uint64)
+    for back in range(depth, -1, -1):
         ends <<= np.uint64(8)
-        ends |= line[DEPTH - back : len(line) - back]
-    return ends[where - DEPTH], length if n else np.zeros(0, np.int64)
+        ends |= line[depth - back : len(line) - back]
+    return ends[where - depth], length if n else np.zeros(0, np.int64)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,13 +90,40 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, counts + 1
 
 
-def _string_group(keys: np.ndarray, groups: int) -> np.ndarray:
-    """By the first two context bytes."""
-    return (mix((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(groups)).astype(np.int32)
+def _word_group(keys: np.ndarray, groups: int) -> np.ndarray:
+    """Negative, unlike the groups of trees."""
+    return -1 - (keys % np.uint64(groups)).astype(np.int64)
 
 
-def _word_group(keys: np.ndarray, groups: int) -> np.ndarray:
-    return (keys % np.uint64(groups)).astype(np.int32)
+def _context(keys: np.ndarray, length: int) -> np.ndarray:
+    """The last so many bytes before the byte that a key ends with."""
+    return (keys >> np.uint64(8)) & np.uint64((1 << (8 * length)) - 1)
+
+
+@dataclass
+class Cuts:
+    """Which trees go together: those below the contexts of ``_FIRST_CUT`` bytes, dealt to
+    ``groups``, but for contexts in ``open`` (by length, sorted), which are cut by one more
+    byte and dealt to sixteen groups each."""
+
+    groups: int
+    open: dict[int, np.ndarray]
+
+    def place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The group of each string, and the length of the context it is cut at."""
+        cut = np.full(len(keys), _FIRST_CUT, np.int64)
+        group = (mix(_context(keys, _FIRST_CUT)) % np.uint64(self.groups)).astype(np.int64)
+        still = np.arange(len(keys))
+        for length in sorted(self.open):
+            context, known = _context(keys[still], length), self.open[length]
+            at = np.minimum(np.searchsorted(known, context), len(known) - 1)
+            hit = known[at] == context
+            still, context = still[hit], context[hit]
+            nibble = (keys[still] >> np.uint64(8 * length + 12)) & np.uint64(15)
+            own = mix((context << np.uint64(4) | nibble) + np.uint64(length) * END)
+            group[still] = ((own >> np.uint64(2)) | np.uint64(1 << 61)).astype(np.int64)
+            cut[still] = length + 1
+        return group, cut
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,25 +142,53 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's training texts: strings (is_word false) and words."""
-    sums = {False: (np.zeros(0, np.uint64), np.zeros(0, np.int64)), True: (np.zeros(0, np.uint64), np.zeros(0, np.int64))}
-
-    def flush(kind: bool) -> pa.RecordBatch:
-        keys, n = sums[kind]
-        sums[kind] = (keys[:0], n[:0])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(keys), kind)), pa.array(keys.view(np.int64)), pa.array(n)], names=["is_word", "key", "n"])
-
+    """Bytes by their context of ``_FIRST_CUT`` bytes, of all of a task's texts."""
+    total = np.zeros(1 << (8 * _FIRST_CUT), np.int64)
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
-            for kind, keys in ((False, strings(part.column("text"))[0]), (True, tokens(part.column("text"))[0])):
-                known, which = distinct(keys)
-                n = np.bincount(which, minlength=len(known))
-                sums[kind] = _summed(np.concatenate([sums[kind][0], known]), np.concatenate([sums[kind][1], n]))
-                if len(sums[kind][0]) > _FLUSH_KEYS:
-                    yield flush(kind)
-    yield flush(False)
-    yield flush(True)
+            keys, _ = strings(part.column("text"), _FIRST_CUT)
+            total += np.bincount(_context(keys, _FIRST_CUT).astype(np.int64), minlength=len(total))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["context", "n"])
+
+
+def _count_below(open_: np.ndarray, length: int):
+    """Bytes by contexts that are one byte longer than an open one."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                keys, _ = strings(part.column("text"), length + 1)
+                at = np.minimum(np.searchsorted(open_, _context(keys, length)), len(open_) - 1)
+                keys = _context(keys[open_[at] == _context(keys, length)], length + 1)
+                known, n = _summed(np.concatenate([known, keys]), np.concatenate([n, np.ones(len(keys), np.int64)]))
+                if len(known) > _FLUSH_KEYS:
+                    yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(n)], names=["context", "n"])
+                    known, n = known[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(n)], names=["context", "n"])
+
+    return scan
+
+
+def plan_cuts(docs: DataFrame, group_bytes: int) -> tuple[Cuts, int]:
+    """Cuts such that no group has the contexts of more than about ``group_bytes`` of text,
+    as far as ``DEPTH`` goes, and the bytes of all texts. Only contexts with more than
+    that come to the driver, one per ``group_bytes`` of text at most."""
+    kind = "context bigint, n bigint"
+    counts = docs.select("text").mapInArrow(_count, kind).groupBy("context").agg(F.sum("n").alias("n"))
+    counts = written(docs.sparkSession, counts, "contexts")
+    size = counts.agg(F.sum("n")).first()[0] or 0
+    cuts = Cuts(max(1, -(-2 * size // group_bytes)), {})
+    for length in range(_FIRST_CUT, DEPTH):
+        crowd = np.array([r.context for r in counts.where(F.col("n") > group_bytes).collect()], np.int64)
+        if not len(crowd):
+            break
+        cuts.open[length] = np.sort(crowd.view(np.uint64))
+        if length + 1 < DEPTH:
+            below = docs.select("text").mapInArrow(_count_below(cuts.open[length], length), kind)
+            counts = written(docs.sparkSession, below.groupBy("context").agg(F.sum("n").alias("n")), "contexts")
+    return cuts, size
 
 
 # --- trees ---------------------------------------------------------------------
@@ -142,11 +200,12 @@ _LOG_HALF = np.log(np.pi) / 2 + np.concatenate([[0.0], np.cumsum(np.log(np.arang
 
 def _log_gamma(n: np.ndarray, half: bool) -> np.ndarray:
     """log Gamma of n + 1/2 or n + 1, for whole numbers n."""
-    n = n.astype(np.float64)
-    x = n + (0.5 if half else 1.0)
-    small = (_LOG_HALF if half else _LOG_INT)[np.minimum(n, _TABLE - 1).astype(np.int64)]
-    large = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
-    return np.where(n < _TABLE, small, large)
+    out = (_LOG_HALF if half else _LOG_INT)[np.minimum(n, _TABLE - 1)]
+    large = np.flatnonzero(n >= _TABLE)
+    if len(large):
+        x = n[large] + (0.5 if half else 1.0)
+        out[large] = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+    return out
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -154,80 +213,86 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros, True) + _log_gamma(ones, True) - _log_gamma(zeros + ones, False) - np.log(np.pi)
 
 
-@dataclass
-class Level:
-    """Nodes of one depth, by context and bits so far: the odds of a 1 by the node's
-    own counts, and the weight of its own estimate against those below it."""
-
-    node: np.ndarray
-    one: np.ndarray
-    own: np.ndarray
-    zeros: np.ndarray
-    ones: np.ndarray
-    log_weighted: np.ndarray
+def _at_depth(node: np.ndarray, depth: int) -> np.ndarray:
+    """A node is its context before the bits so far, which have a 1 in front."""
+    return node & np.uint64((1 << (8 * depth + 8)) - 1)
 
 
-def level_of(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> Level:
-    kt = log_kt(zeros, ones)
-    weighted = kt if below is None else np.logaddexp(_HALF + kt, _HALF + below)
-    own = np.exp(np.minimum(0.0, (kt if below is None else _HALF + kt) - weighted))
-    return Level(node, (ones + 0.5) / (zeros + ones + 1), own, zeros, ones, weighted)
+def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of nodes, with the log of their children's product: the weight of their own
+    estimate, its probability of a 1, and the log of the mixture."""
+    kt = _HALF + log_kt(zeros, ones)
+    mixed = np.logaddexp(kt, _HALF + below)
+    return np.exp(np.minimum(0.0, kt - mixed)), (ones + 0.5) / (zeros + ones + 1), mixed
 
 
-def bit_nodes(strings: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The deepest node for this bit of each string's last byte, and the bit."""
-    byte = strings & np.uint64(0xFF)
-    so_far = (np.uint64(1) << np.uint64(bit)) | (byte >> np.uint64(8 - bit))
-    return (strings & ~np.uint64(0xFF)) | so_far, ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+@dataclass
+class Level:
+    """Nodes of a depth: weight of the own estimate, its probability of a 1; and which of
+    them each node of the next depth lies under."""
 
+    own: np.ndarray
+    one: np.ndarray
+    under: np.ndarray
 
-def _at_depth(node: np.ndarray, depth: int) -> np.ndarray:
-    return node & np.uint64((1 << (8 * depth + 8)) - 1)
 
+@dataclass
+class Roots:
+    """The nodes that trees were cut at, and what is below them."""
 
-def _merged(node: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    known, which = np.unique(node, return_inverse=True)
-    return (known, *(np.bincount(which, weights=v, minlength=len(known)) for v in values))
-
-
-def grow(keys: np.ndarray, n: np.ndarray, top: int) -> dict[int, Level]:
-    """Levels ``DEPTH`` to ``top`` of the trees over these counted strings."""
-    nodes, ones = zip(*(bit_nodes(keys, b) for b in range(8)))
-    node, bit, n = np.concatenate(nodes), np.concatenate(ones), np.tile(n, 8)
-    node, zero, one = _merged(node, n * ~bit, n * bit)
-    levels = {DEPTH: level_of(node, zero, one, None)}
-    for depth in range(DEPTH - 1, top - 1, -1):
-        low = levels[depth + 1]
-        node, zero, one, below = _merged(_at_depth(low.node, depth), low.zeros, low.ones, low.log_weighted)
-        levels[depth] = level_of(node, zero, one, below)
-    return levels
-
-
-def log10_probability(keys: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
-    """Of the last byte of each string, all depths mixed."""
-    total = np.zeros(len(keys))
-    for b in range(8):
-        node, bit = bit_nodes(keys, b)
-        p = np.full(len(keys), 0.5)
-        for depth in range(DEPTH, -1, -1):
-            level = levels[depth]
-            if not len(level.node):
-                continue
-            at = _at_depth(node, depth)
-            i = np.minimum(np.searchsorted(level.node, at), len(level.node) - 1)
-            seen = level.node[i] == at
-            here = np.where(bit, level.one[i], 1 - level.one[i])
-            p = np.where(seen, level.own[i] * here + (1 - level.own[i]) * p, p)
-        total += np.log10(p)
-    return total
-
-
-def _roots(group: pa.Table) -> pa.Table:
-    """Per first context byte and bits so far, what depth 2 adds up to for depth 1."""
-    keys, n = group.column("key").to_numpy().view(np.uint64), group.column("n").to_numpy()
-    level = grow(keys, n, 2)[2]
-    node, zero, one, below = _merged(_at_depth(level.node, 1), level.zeros, level.ones, level.log_weighted)
-    return pa.table({"node": node.view(np.int64), "zeros": zero, "ones": one, "below": below})
+    node: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    mixed: np.ndarray
+
+
+def _merged(parent: np.ndarray, zeros: np.ndarray, ones: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, Roots]:
+    under, known = pd.factorize(parent)
+    sums = (np.bincount(under, weights=v, minlength=len(known)) for v in (zeros, ones, mixed))
+    zeros, ones, mixed = sums
+    return under, Roots(known, zeros.astype(np.int64), ones.astype(np.int64), mixed)
+
+
+class BitTrees:
+    """The trees for one bit of a byte over sorted strings with training counts, some of
+    which may be 0, down from the depth of the cut."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, bit: int, cut: int):
+        byte = keys & np.uint64(0xFF)
+        self.bit = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+        node = (keys & ~np.uint64(0xFF)) | (np.uint64(1) << np.uint64(bit)) | (byte >> np.uint64(8 - bit))
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = node[1:] != node[:-1]
+        self.leaf = np.cumsum(fresh) - 1
+        node = node[fresh]
+        zeros, ones = (np.bincount(self.leaf, weights=n * side, minlength=len(node)).astype(np.int64) for side in (~self.bit, self.bit))
+        self.leaf_one = (ones + 0.5) / (zeros + ones + 1)
+        self.levels: list[Level] = []
+        at = Roots(node, zeros, ones, log_kt(zeros, ones))
+        for depth in range(DEPTH - 1, cut - 1, -1):
+            under, at = _merged(_at_depth(at.node, depth), at.zeros, at.ones, at.mixed)
+            own, one, at.mixed = weigh(at.zeros, at.ones, at.mixed)
+            self.levels.append(Level(own, one, under))
+        self.roots = at
+
+    def log10(self, above: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], cut: int) -> np.ndarray:
+        """Of each string's bit, all depths mixed. ``above`` has, by depth, the sorted
+        nodes over the cut with ``own`` and ``one``."""
+        done, left = np.zeros(len(self.roots.node)), np.ones(len(self.roots.node))
+        for depth in range(cut):
+            own, one = np.full(len(done), 0.5), np.full(len(done), 0.5)
+            known, known_own, known_one = above.get(depth, (np.zeros(0, np.uint64),) * 3)
+            if len(known):
+                node = _at_depth(self.roots.node, depth)
+                at = np.minimum(np.searchsorted(known, node), len(known) - 1)
+                seen = known[at] == node
+                own[seen], one[seen] = known_own[at[seen]], known_one[at[seen]]
+            done, left = done + left * own * one, left * (1 - own)
+        for level in reversed(self.levels):
+            done, left = done + left * level.own * level.one, left * (1 - level.own)
+            done, left = done[level.under], left[level.under]
+        p = (done + left * self.leaf_one)[self.leaf]
+        return np.log10(np.where(self.bit, p, 1 - p))
 
 
 # --- questions and answers -----------------------------------------------------
@@ -243,85 +308,171 @@ def _unpacked(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _by_group(known: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _by_group(group: np.ndarray) -> Iterator[np.ndarray]:
     order = np.argsort(group, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
-        yield int(group[part[0]]), part
+    return iter(np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else [])
 
 
 def _in_order(docs: pa.Table) -> pa.Table:
     return docs.sort_by([("doc_id", "ascending"), ("t", "ascending")]).combine_chunks()
 
 
-def _questions(string_groups: int, word_groups: int):
-    """Distinct strings and words of a bucket by group; words have groups from
-    ``string_groups`` on."""
+def _contents(docs: pa.Table) -> Iterator[tuple[pa.RecordBatch, dict[str, tuple[np.ndarray, np.ndarray]]]]:
+    """A bucket in slices, with its strings and words and how many each text has."""
+    for batch in docs.to_batches():
+        for part in slices(batch, "text", _SLICE):
+            text = part.column("text")
+            yield part, {"strings": strings(text), "words": tokens(text)}
+
+
+def _distinct_in(docs: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct strings and words of a bucket, with their training counts."""
+    found: dict[str, list] = {"strings": [], "words": []}
+    for part, contents in _contents(docs):
+        train = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        for name, (keys, length) in contents.items():
+            known, which = distinct(keys)
+            found[name].append((known, np.bincount(which, weights=np.repeat(train, length), minlength=len(known))))
+    return {name: _summed(*(np.concatenate(c) for c in zip(*parts))) for name, parts in found.items()}
+
+
+_MESSAGE = "bucket int, grp bigint, cut int, parent bigint, data binary, n binary"
+
+
+def _messages(cuts: Cuts, word_groups: int):
+    """A row per group that a bucket has strings or words of: keys and training counts."""
 
     def run(docs: pa.Table) -> pa.Table:
-        text = docs.column("text").combine_chunks()
+        rows = []
         number = docs.column("bucket")[0].as_py()
-        rows = {"bucket": [], "grp": [], "salt": [], "data": []}
-        for keys, group_of, groups, base in (
-            (strings(text)[0], _string_group, string_groups, 0), (tokens(text)[0], _word_group, word_groups, string_groups)):
-            known = np.sort(pd.unique(keys))
-            for group, part in _by_group(known, group_of(known, groups)):
-                rows["bucket"].append(number)
-                rows["grp"].append(base + group)
-                rows["salt"].append(0 if base else number // _BUCKETS_PER_CALL)
-                rows["data"].append(_packed(np.diff(known[part], prepend=np.uint64(0))))
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        return pa.table({c: pa.array(v, k) for (c, v), k in zip(rows.items(), types)})
+        for name, (keys, n) in _distinct_in(_in_order(docs)).items():
+            group, cut = cuts.place(keys) if name == "strings" else (_word_group(keys, word_groups), np.zeros(len(keys), np.int64))
+            for part in _by_group(group):
+                first = part[0]
+                parent = int(_context(keys[first : first + 1], int(cut[first]) - 1)[0]) if cut[first] > _FIRST_CUT else 0
+                rows.append({
+                    "bucket": number, "grp": int(group[first]), "cut": int(cut[first]), "parent": parent,
+                    "data": _packed(np.diff(keys[part], prepend=np.uint64(0))), "n": _packed(n[part].astype(np.uint32))})
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.Table.from_pylist(rows, pa.schema(list(zip(("bucket", "grp", "cut", "parent", "data", "n"), kinds))))
 
     return run
 
 
-def _answers(string_groups: int, top: dict[int, Level]):
-    """The log probability of every string asked for, or the count of every word."""
-
-    def run(asked: pa.Table, counts: pa.Table) -> pa.Table:
+def _received(messages: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys of all messages and their counts; which key each entry
+    of the messages is, and where messages end."""
+    parts = [np.cumsum(_unpacked(d, np.uint64)) for d in messages.column("data").to_pylist()]
+    n = np.concatenate([_unpacked(d, np.uint32) for d in messages.column("n").to_pylist()])
+    ends = np.cumsum([len(p) for p in parts])
+    keys, which = distinct(np.concatenate(parts))
+    return keys, np.bincount(which, weights=n, minlength=len(keys)).astype(np.int64), which, ends
+
+
+_ROOTS = "depth int, node bigint, zeros bigint, ones bigint, below double"
+
+
+def _roots(messages: pa.Table) -> pa.Table:
+    """What the trees of a group add up to in the nodes above their cut; of words (depth
+    -1), the distinct ones in training texts and all."""
+    keys, n, _, _ = _received(messages)
+    cut = messages.column("cut")[0].as_py()
+    if not cut:
+        found = [Roots(np.zeros(1, np.uint64), np.array([(n > 0).sum()]), np.array([n.sum()]), np.zeros(1))]
+    else:
+        found = []
+        for bit in range(8):
+            at = BitTrees(keys, n, bit, cut).roots
+            found.append(_merged(_at_depth(at.node, cut - 1), at.zeros, at.ones, at.mixed)[1])
+    node, zeros, ones, below = (np.concatenate([getattr(r, c) for r in found]) for c in ("node", "zeros", "ones", "mixed"))
+    return pa.table({
+        "depth": pa.array(np.full(len(node), cut - 1), pa.int32()), "node": node.view(np.int64),
+        "zeros": zeros.astype(np.int64), "ones": ones.astype(np.int64), "below": below})
+
+
+def _upper(roots: DataFrame, cuts: Cuts) -> dict[int, DataFrame]:
+    """By depth, ``node, own, one`` of the nodes above the cuts, each depth from what the
+    one below adds up to."""
+
+    @F.arrow_udf("struct<own:double,one:double,mixed:double>")
+    def level(zeros: pa.Array, ones: pa.Array, below: pa.Array) -> pa.Array:
+        found = weigh(zeros.to_numpy(), ones.to_numpy(), below.to_numpy())
+        return pa.StructArray.from_arrays([pa.array(v) for v in found], names=["own", "one", "mixed"])
+
+    out, lifted = {}, None
+    for depth in range(max([_FIRST_CUT - 1, *cuts.open]), -1, -1):
+        rows = roots.where(F.col("depth") == depth).select("node", "zeros", "ones", "below")
+        rows = rows if lifted is None else rows.unionByName(lifted)
+        rows = rows.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+        rows = written(roots.sparkSession, rows.withColumn("w", level("zeros", "ones", "below")), "upper")
+        out[depth] = rows.select("node", "w.own", "w.one")
+        mask = F.lit((1 << (8 * depth)) - 1).cast("bigint")
+        lifted = rows.select(F.col("node").bitwiseAND(mask).alias("node"), "zeros", "ones", F.col("w.mixed").alias("below"))
+    return out
+
+
+def _nodes(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    node = np.array([r.node for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(node)
+    return node[order], np.array([r.own for r in rows])[order], np.array([r.one for r in rows])[order]
+
+
+def _answers(top: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """The log probability of every string of a message, or the count of every word."""
+
+    def run(messages: pa.Table, upper: pa.Table) -> pa.Table:
         data = []
-        if asked.num_rows:
-            parts = [np.cumsum(_unpacked(d, np.uint64)) for d in asked.column("data").to_pylist()]
-            known, which = np.unique(np.concatenate(parts), return_inverse=True)
-            keys, n = counts.column("key").to_numpy().view(np.uint64), counts.column("n").to_numpy()
-            if asked.column("grp")[0].as_py() < string_groups:
-                value = log10_probability(known, grow(keys, n, 2) | top)
-            else:
-                value = np.zeros(len(known), np.int64)
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                met = known[at] == keys
-                value[at[met]] = n[met]
-            ends = np.cumsum([len(p) for p in parts])[:-1]
-            data = [_packed(v) for v in np.split(value[which], ends)]
-        return pa.table({
-            "bucket": asked.column("bucket"), "grp": asked.column("grp"), "data": pa.array(data, pa.binary())})
+        if messages.num_rows:
+            keys, n, which, ends = _received(messages)
+            cut = messages.column("cut")[0].as_py()
+            value = n.astype(np.uint32)
+            if cut:
+                above = dict(top)
+                depth, node = (upper.column(c).to_numpy() for c in ("depth", "node"))
+                for d in range(_FIRST_CUT, cut):
+                    some = np.flatnonzero(depth == d)
+                    some = some[np.argsort(node[some].view(np.uint64))]
+                    above[d] = tuple(upper.column(c).to_numpy()[some] for c in ("node", "own", "one"))
+                    above[d] = (above[d][0].view(np.uint64), *above[d][1:])
+                value = sum(BitTrees(keys, n, bit, cut).log10(above, cut) for bit in range(8)).astype(np.float32)
+            data = [_packed(part) for part in np.split(value[which], ends[:-1])]
+        return pa.table({"bucket": messages.column("bucket"), "grp": messages.column("grp"), "data": pa.array(data, pa.binary())})
 
     return run
 
 
-def _scores(string_groups: int, word_groups: int, n_train: int, n_words: int):
+def _scores(cuts: Cuts, word_groups: int, n_train: int, n_words: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        kinds = {c: pa.float64() for c in ("base_score", "score")} | {c: pa.int64() for c in ("doc_id", "n_tokens", "n_known")}
+        names = ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
+        schema = pa.schema([(c, kinds.get(c, pa.bool_())) for c in names])
+        if not docs.num_rows:
+            return schema.empty_table()
         docs = _in_order(docs)
-        text = docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string())
         given = dict(zip(answers.column("grp").to_pylist(), answers.column("data").to_pylist()))
-        out = {}
-        for name, (keys, length), group_of, groups, base, kind in (
-            ("strings", strings(text), _string_group, string_groups, 0, np.float64),
-            ("words", tokens(text), _word_group, word_groups, string_groups, np.int64)):
-            known, which = distinct(keys)
-            value = np.zeros(len(known), kind)
-            for group, part in _by_group(known, group_of(known, groups)):
-                value[part] = _unpacked(given[base + group], kind)
-            out[name] = value[which], np.repeat(np.arange(len(length)), length), length
-        m = docs.num_rows
-        value, owner, _ = out["strings"]
-        score = np.bincount(owner, weights=value, minlength=m)
-        count, owner, length = out["words"]
-        base = np.bincount(owner, weights=np.log10((count + 0.5) / (n_train + 0.5 * (n_words + 1))), minlength=m)
-        return pa.table({
-            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(length, pa.int64()),
-            "n_known": np.bincount(owner, weights=count > 0, minlength=m).astype(np.int64),
-            "base_score": base, "score": score})
+        lookup = {}
+        for name, (keys, _) in _distinct_in(docs).items():
+            group = cuts.place(keys)[0] if name == "strings" else _word_group(keys, word_groups)
+            value = np.zeros(len(keys))
+            for part in _by_group(group):
+                value[part] = _unpacked(given[int(group[part[0]])], np.float32 if name == "strings" else np.uint32)
+            lookup[name] = pd.Index(keys), value
+        out = []
+        for part, contents in _contents(docs):
+            found = {}
+            for name, (keys, length) in contents.items():
+                index, value = lookup[name]
+                found[name] = value[index.get_indexer(keys)], np.repeat(np.arange(len(length)), length), length
+            m = part.num_rows
+            value, owner, _ = found["strings"]
+            score = np.bincount(owner, weights=value, minlength=m)
+            count, owner, length = found["words"]
+            base = np.bincount(owner, weights=np.log10((count + 0.5) / (n_train + 0.5 * (n_words + 1))), minlength=m)
+            known = np.bincount(owner, weights=count > 0, minlength=m).astype(np.int64)
+            out.append(pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("held_out"), *map(pa.array, (length.astype(np.int64), known, base, score))],
+                schema=schema))
+        return pa.Table.from_batches(out, schema)
 
     return run
 
@@ -333,7 +484,7 @@ def held_out(id: str) -> Column:  # noqa: A002
 
 def score(
     docs: DataFrame, text: str = "text", id: str = "doc_id",  # noqa: A002
-    bucket_bytes: int = BUCKET_BYTES, group_keys: int = GROUP_KEYS,
+    bucket_bytes: int = BUCKET_BYTES, group_bytes: int = GROUP_BYTES, group_words: int = GROUP_WORDS,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for
     every document, from a model of those that are not held out."""
@@ -341,39 +492,37 @@ def score(
     given = docs.select(
         F.col(f"`{id}`").cast("bigint").alias("doc_id"), held_out(id).alias("held_out"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    counted = given.where(~F.col("held_out")).select("text").mapInArrow(_count, "is_word boolean, key bigint, n bigint")
-    counts = written(spark, counted.groupBy("is_word", "key").agg(F.sum("n").alias("n")), "counts")
-    sizes = {r.is_word: (r.v, r.n) for r in counts.groupBy("is_word").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}
-    n_words, n_train = sizes.get(True, (0, 0))
-    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cuts, size = plan_cuts(given, group_bytes)
     n_buckets = max(1, -(-size // bucket_bytes))
-    string_groups = max(1, -(-sizes.get(False, (0, 0))[0] // group_keys))
-    # A bucket has some tens of thousands of distinct words.
-    word_groups = max(1, -(-max(n_words, n_buckets * 30_000) // (8 * group_keys)))
-
-    @F.arrow_udf("int")
-    def group(is_word: pa.Array, key: pa.Array) -> pa.Array:
-        keys, word = key.to_numpy().view(np.uint64), is_word.to_numpy(zero_copy_only=False).astype(bool)
-        return pa.array(np.where(word, string_groups + _word_group(keys, word_groups), _string_group(keys, string_groups)), pa.int32())
-
-    counts = counts.withColumn("grp", group("is_word", "key"))
-    roots = counts.where(~F.col("is_word")).groupBy("grp").applyInArrow(
-        _roots, "node bigint, zeros double, ones double, below double")
-    rows = roots.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).orderBy("node").collect()
-    first = [np.array([r[c] for r in rows]) for c in ("zeros", "ones", "below")]
-    top = {1: level_of(np.array([r.node for r in rows], np.int64).view(np.uint64), *first)}
-    top[0] = level_of(*_merged(_at_depth(top[1].node, 0), top[1].zeros, top[1].ones, top[1].log_weighted))
+    # A word takes some five bytes, and some of a bucket's are repeated.
+    word_groups = max(1, size // 5 // (2 * group_words))
 
     t = F.xxhash64("text")
     bucket = F.pmod(F.xxhash64("doc_id", t), F.lit(n_buckets)).cast("int")
     by_bucket = given.select(bucket.alias("bucket"), "doc_id", "held_out", t.alias("t"), "text").groupBy("bucket")
-    asked = by_bucket.applyInArrow(_questions(string_groups, word_groups), "bucket int, grp int, salt int, data binary")
-    salts = F.when(F.col("is_word"), 0).otherwise((n_buckets - 1) // _BUCKETS_PER_CALL)
-    model = counts.select("grp", F.explode(F.sequence(F.lit(0), salts)).alias("salt"), "key", "n")
-    answers = asked.groupBy("grp", "salt").cogroup(model.groupBy("grp", "salt")).applyInArrow(
-        _answers(string_groups, top), "bucket int, grp int, data binary")
+    messages = written(spark, by_bucket.applyInArrow(_messages(cuts, word_groups), _MESSAGE), "messages")
+    roots = written(spark, messages.groupBy("grp").applyInArrow(_roots, _ROOTS), "roots")
+    words = roots.where("depth = -1").agg(F.sum("zeros").alias("v"), F.sum("ones").alias("n")).first()
+    n_words, n_train = words.v or 0, words.n or 0
+    upper = _upper(roots, cuts)
+    # At most 65,535 nodes for the two uppermost depths; deeper ones go to where they are asked for.
+    top = {depth: _nodes(upper[depth].collect()) for depth in range(_FIRST_CUT)}
+    below = messages.where(F.col("cut") > _FIRST_CUT).select("grp", "cut", "parent").distinct()
+    below = below.withColumn("depth", F.explode(F.sequence(F.lit(_FIRST_CUT), F.col("cut") - 1)))
+    below = below.withColumn("context", F.expr("parent & (shiftleft(1L, 8 * depth) - 1L)")).select("grp", "depth", "context")
+    nodes = None
+    for depth in sorted(cuts.open):
+        rows = upper[depth].select(
+            F.lit(depth).alias("depth"), F.expr("shiftrightunsigned(node, 8)").alias("context"), "node", "own", "one")
+        nodes = rows if nodes is None else nodes.unionByName(rows)
+    if nodes is None:
+        nodes = spark.createDataFrame([], "depth int, context bigint, node bigint, own double, one double")
+    needed = below.join(nodes, ["depth", "context"]).select("grp", "depth", "node", "own", "one")
+    needed = written(spark, needed, "needed-nodes")
+    answers = messages.groupBy("grp").cogroup(needed.groupBy("grp")).applyInArrow(
+        _answers(top), "bucket int, grp bigint, data binary")
     scored = by_bucket.cogroup(answers.groupBy("bucket")).applyInArrow(
-        _scores(string_groups, word_groups, n_train, n_words),
+        _scores(cuts, word_groups, n_train, n_words),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score")
