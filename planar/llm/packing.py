@@ -21,53 +21,117 @@ columns are ignored, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planar.llm.alignment import byte_of_symbol
 from planar.llm.ranks import ranked
 from planar.llm.scratch import written
-from planar.llm.words import slices
+from planar.llm.words import slices, split_words
 
 CAPACITY = 4096
 END_ID = 1
-_MOST_WORDS, _WORD_BYTES = 200_000, 64
+# What a worker remembers.
+_MOST_WORDS, _MOST_PARTS = 1_000_000, 300_000
 _ID_BYTES = 4
 
 
 # --- encoding ------------------------------------------------------------------
 
 
+# The parts of a lower-cased word of ASCII and Latin-1 letters, digits and signs, as the
+# vocabulary's own pattern has them.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# What a vocabulary must do before its model for these to hold.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Vocabulary:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers.
+
+    Words are known by a 64-bit hash. Most are of plain characters; their parts are given
+    to the tokenizer's model directly, as its preparation takes most of the time, and
+    kept. Other words, and all words of a vocabulary that prepares texts otherwise, are
+    encoded by the tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of whole texts. White space is dropped and splits words, so their words are
-        encoded instead (bytes.split knows exactly the ASCII white space)."""
-        words = [t.encode().split() for t in texts]
-        distinct = set().union(*words)
-        new = [w for w in distinct if w not in self.known]
-        found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False) if new else []
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found)}
-        if len(self.known) + len(fresh) > _MOST_WORDS:
-            fresh |= {w: self.known[w] for w in distinct if w not in fresh}
-            self.known = {}
-        self.known.update((w, x) for w, x in fresh.items() if len(w) <= _WORD_BYTES)
-        known = self.known if len(fresh) == 0 else self.known | fresh
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        self._forget()
+        self.parts: dict[str, list[int]] = {}
+        settings = json.loads(self.tokenizer.to_str())
+        split, level = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
+        self.special = [t["content"] for t in settings["added_tokens"]]
+        self.plain = (
+            (settings["normalizer"] or {}).get("normalizers") == _NORMALIZER
+            and split.get("pattern") == {"Regex": _PATTERN} and split.get("invert") and split.get("behavior") == "Removed"
+            and level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and not level.get("use_regex"))
+        self.symbol = {b: c for c, b in byte_of_symbol().items()}
+
+    def _forget(self) -> None:
+        self.number: dict[int, int] = {}
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _part(self, part: str) -> list[int]:
+        symbols = part.encode().decode("latin-1").translate(self.symbol)
+        ids = [t.id for t in self.tokenizer.model.tokenize(symbols)]
+        if len(self.parts) >= _MOST_PARTS:
+            self.parts = {}
+        self.parts[part] = ids
+        return ids
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = []
+        for text in words:
+            if self.plain and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+                ids: list[int] = []
+                for part in _PARTS.findall(text.lower()):
+                    ids += self.parts.get(part) or self._part(part)
+                out.append(ids)
+            else:
+                out.append(None)
+        rest = [w for w, ids in zip(words, out) if ids is None]
+        found = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [])
+        return [next(found).ids if ids is None else ids for ids in out]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, and where each text's end. White space is dropped and
+        splits words, so their words are encoded instead."""
+        words = split_words(texts)
+        which, hashes = pd.factorize(words.hashes())
+        if len(self.number) + len(hashes) > _MOST_WORDS:
+            self._forget()
+        hashes = hashes.tolist()
+        row = np.array([self.number.get(h, -1) for h in hashes], np.int64)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            at = np.empty(len(hashes), np.int64)
+            at[which[::-1]] = np.arange(len(which))[::-1]
+            text, starts, ends = words.data.tobytes(), words.start[at[new]].tolist(), words.end[at[new]].tolist()
+            found = self._words([text[a:b].decode() for a, b in zip(starts, ends)])
+            row[new] = len(self.number) + np.arange(len(new))
+            self.number.update(zip([hashes[i] for i in new.tolist()], row[new].tolist()))
+            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), "<u4")])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(ids) for ids in found])])
+        row = row[which]
+        begin, count = self.ends[row], self.ends[row + 1] - self.ends[row]
+        upto = np.append(0, np.cumsum(count))
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], count)]
+        return ids, upto[words.first[1:]]
 
 
 @lru_cache(maxsize=2)
@@ -85,11 +149,13 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 out: list[tuple] = []
-                encoded = vocabulary.encode(part.column("text").to_pylist())
-                for i, ids in zip(part.column("doc_id").to_pylist(), encoded):
-                    ids += end
-                    for n, at in enumerate(range(0, len(ids), capacity * _ID_BYTES)):
-                        cut = ids[at : at + capacity * _ID_BYTES]
+                ids, ends = vocabulary.encode(part.column("text"))
+                begin = 0
+                for i, stop in zip(part.column("doc_id").to_pylist(), ends.tolist()):
+                    own = ids[begin:stop].tobytes() + end
+                    begin = stop
+                    for n, at in enumerate(range(0, len(own), capacity * _ID_BYTES)):
+                        cut = own[at : at + capacity * _ID_BYTES]
                         out.append((i, n, n * capacity, len(cut) // _ID_BYTES, zlib.crc32(cut)))
                 columns = zip(*out) if out else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)

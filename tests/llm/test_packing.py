@@ -1,0 +1,130 @@
+from __future__ import annotations
+
+import random
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from conftest import SF
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from planar.llm import packing, queries
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
+def cut(tokenizer, rows, capacity=4096, end=1):
+    out = Counter()
+    for i, text in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
+        for n, at in enumerate(range(0, len(ids), capacity)):
+            part = ids[at : at + capacity]
+            out[i, n, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    return out
+
+
+def check(df, expected, capacity=4096):
+    rows = df.collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == expected
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(bins), -(-sum(r.length for r in rows) // capacity)
+
+
+def test_query(spark, documents, tokenizer):
+    out = queries.op13_packing(spark, SF)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    bins, least = check(out, cut(tokenizer, [(r.doc_id, r.text) for r in documents.collect()]))
+    assert bins == least
+
+
+def test_odd_rows(odd_docs, odd_rows, tokenizer):
+    for capacity in (64, 4096):
+        bins, least = check(
+            packing.pack(odd_docs, capacity=capacity), cut(tokenizer, [(r[0], r[1]) for r in odd_rows], capacity), capacity)
+        assert bins <= least + 1
+
+
+def test_empty(no_docs):
+    assert packing.pack(no_docs).count() == 0
+
+
+def test_a_hot_length(spark, tokenizer):
+    """A third of the rows alike, over many tasks."""
+    rows = [(i, "the same words") if i % 3 == 0 else (i, "w " * (i % 50)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(16)
+    bins, least = check(packing.pack(docs, capacity=128), cut(tokenizer, rows, 128), 128)
+    assert bins == least
+
+
+def encoded(vocabulary, texts):
+    ids, ends = vocabulary.encode(pa.array(texts, pa.string()))
+    return [part.tolist() for part in np.split(ids, ends[:-1])]
+
+
+def test_special_tokens_and_spaces(tokenizer):
+    vocabulary = packing.Vocabulary(PATH)
+    assert vocabulary.plain
+    texts = [
+        "a <|endoftext|>b", "<|startoftext|>", "x y z \x1c w", "e ́ ΣΣ Σ", "It's I'LL '' x'stop ’s", "ª º µ ÷× ßẞ İ ﬁ ½ ² ３", ""]
+    assert encoded(vocabulary, texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    vocabulary.plain = False
+    vocabulary._forget()
+    assert encoded(vocabulary, texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \t\n'aA1. ́Σ<>|É")), max_size=60))
+def test_words_encode_like_texts(text):
+    vocabulary = packing.load(PATH)
+    assert encoded(vocabulary, [text]) == [vocabulary.tokenizer.encode(text, add_special_tokens=False).ids]
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "_MOST_WORDS", 5)
+    vocabulary = packing.Vocabulary(PATH)
+    for texts in (["a b", "c d e f"], ["a c x", ""], ["f f"]):
+        whole = [vocabulary.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert encoded(vocabulary, texts) == whole
+        assert len(vocabulary.number) <= 6
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=9), st.integers(0, 60))
+def test_fullest(lengths, room):
+    chosen = packing.fullest(dict(Counter(lengths)), room)
+    best = max(s for n in range(len(lengths) + 1) for c in combinations(lengths, n) if (s := sum(c)) <= room)
+    assert sum(x * n for x, n in chosen) == best
+    assert all(Counter(lengths)[x] >= n > 0 for x, n in chosen)
+
+
+def test_plan_takes_every_piece_once():
+    rng = random.Random(3)
+    counts = Counter(min(100, int(rng.expovariate(1 / 20)) + 1) for _ in range(5000))
+    plan, bins = packing.plan_sequences(counts, 100)
+    used = defaultdict(int)
+    for length, n in counts.items():
+        sequence, offset = plan.place(np.full(n, length), np.arange(n))
+        assert len(set(zip(sequence.tolist(), offset.tolist()))) == n
+        for s in sequence.tolist():
+            used[s] += length
+    assert len(used) == bins and max(used.values()) <= 100
+    assert bins == -(-sum(k * n for k, n in counts.items()) // 100)
