@@ -12,12 +12,10 @@ import planar
 from planar import fixtures
 from planar.plans.scratch import scratch_path
 
-try:  # the corpus operators are optional; nothing else here may be missing
+try:  # the corpus operators are optional, and so are the packages that they need
     import corpus_pipeline
     from planar.llm import queries as corpus
-except ModuleNotFoundError as missing:
-    if not (missing.name or "").startswith(("planar.llm", "corpus_pipeline")):
-        raise
+except ImportError:
     corpus_pipeline = corpus = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +128,51 @@ def _land_bag(s: SparkSession, d: str) -> DataFrame:
     return planar.land_points(copies, scratch_path(s, "landed"))
 
 
+def _bucketed(s: SparkSession, d: str, name: str, recipe: str = "fine") -> DataFrame:
+    path = scratch_path(s, f"bucketed-{name}")
+    table = "bucketed_" + path.rpartition("-")[2]
+    return planar.land_bucketed(fixtures.points(s, d, name, recipe), table, 16.0, buckets=8, path=path)
+
+
+def _join_bucketed(recipe="fine", **options) -> Query:
+    return lambda s, d: planar.bucketed_join(
+        _bucketed(s, d, "events", recipe), _bucketed(s, d, "supplier", recipe), 10.0, **options)
+
+
+def _knn_zones(order: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        path = scratch_path(s, "zones")
+        planar.land_points(fixtures.points(s, d), path, files=16)
+        planar.write_zones(s, path)
+        return planar.knn_landed(s, path, 0, 0, 100, order)
+
+    return run
+
+
+def _some_ids(points: DataFrame) -> DataFrame:
+    """The points of one half of the plane without their ids."""
+    return points.withColumn("id", F.when(F.col("x") > 0, F.col("id")))
+
+
+def _join_null_ids_hot(s: SparkSession, d: str) -> DataFrame:
+    left, right = (_some_ids(fixtures.points(s, d, name, "snap")) for name in ("events", "supplier"))
+    return planar.distance_join(left, right, 1.0, strategy="shuffle", block_rows=20)
+
+
+def _join_self(s: SparkSession, d: str) -> DataFrame:
+    points = fixtures.points(s, d)
+    return planar.distance_join(points, points, 2.0)
+
+
+def _batch_box_ranges(recipe="fine", **options) -> Query:
+    return lambda s, d: planar.batch_box_ranges(
+        fixtures.points(s, d, recipe=recipe), _mixed_boxes(s, d), **options).select("q", "id")
+
+
+def _batch_box_count_summed(boxes: Callable[[SparkSession, str], DataFrame], **options) -> Query:
+    return lambda s, d: planar.batch_box_count_summed(fixtures.points(s, d), boxes(s, d), **options)
+
+
 def _sink_view_box(s: SparkSession, d: str) -> DataFrame:
     planar.publish(planar.box_query(fixtures.points(s, d), *BOXES["box_fixed"]), "box_result")
     return s.sql("SELECT * FROM box_result")
@@ -240,6 +283,7 @@ def _bag_queries() -> dict[str, Query]:
         "batch_box_bag": _bag(lambda s, d, p: planar.batch_box(p, fixtures.boxes(s, d), strategy="shuffle", block_rows=500)),
         "batch_box_count_bag": _bag(lambda s, d, p: planar.batch_box_count(p, fixtures.boxes(s, d), strategy="shuffle")),
         "batch_knn_bag": _bag(lambda s, d, p: planar.batch_knn(p, fixtures.centres(s, d, "snap"), 10)),
+        "batch_kfar_bag": _bag(lambda s, d, p: planar.batch_knn(p, fixtures.centres(s, d, "snap"), 10, order="farthest")),
     }
 
 
@@ -301,13 +345,20 @@ def core_queries() -> dict[str, Query]:
     out["join_10_broadcast"] = _join(10.0, strategy="broadcast")
     out["join_10_shuffle"] = _join(10.0, strategy="shuffle")
     out["join_snap_blocks"] = _join(1.0, "snap", strategy="shuffle", block_rows=20)
-    out["join_self_2"] = _join(2.0, right="events")
+    out["join_self_2"] = _join_self
+    # The 25 points of a small table: most cells of the larger one are met by none.
+    out["join_sparse"] = _join(1.0, right="nation", strategy="shuffle")
+    out["join_null_ids_hot"] = _join_null_ids_hot
+    out["join_10_bucketed"] = _join_bucketed()
+    out["join_bucketed_hot"] = _join_bucketed("snap", block_rows=50)
     out |= {
         "src_csv_points": _src_csv_points,
         "src_table_points": _src_table_points,
         "land_points": _land_points,
         "land_points_bag": _land_bag,
         "land_tiles_circle": _land_tiles_circle,
+        "knn_100_zones": _knn_zones("nearest"),
+        "kfar_100_zones": _knn_zones("farthest"),
         "sink_view_box": _sink_view_box,
         "sink_global_view_join": _sink_global_view_join,
         "fn_point": _fn_point,
@@ -324,10 +375,16 @@ def core_queries() -> dict[str, Query]:
         "batch_box": _batch_box(),
         "batch_box_shuffle": _batch_box(strategy="shuffle", block_rows=500),
         "batch_box_count": _batch_box_count,
+        "batch_box_ranges": _batch_box_ranges(),
+        "batch_box_ranges_parts": _batch_box_ranges("snap", part_rows=500),
+        "batch_box_count_summed": _batch_box_count_summed(fixtures.boxes),
+        "batch_box_count_summed_mixed": _batch_box_count_summed(_mixed_boxes, strategy="shuffle"),
         "batch_circle": _batch_circle,
         "batch_knn": _batch_knn(),
         "batch_knn_snap": _batch_knn("snap"),
-        "batch_knn_shuffle": _batch_knn(strategy="shuffle", base=64, fan=8),
+        "batch_knn_shuffle": _batch_knn(strategy="shuffle"),
+        "batch_kfar": _batch_knn(order="farthest"),
+        "batch_kfar_shuffle": _batch_knn(order="farthest", strategy="shuffle"),
     }
     return out | _bag_queries() | _far_queries()
 
@@ -442,6 +499,15 @@ def core_sql() -> dict[str, str]:
     out["join_10_broadcast"] = out["join_10_shuffle"] = out["join_10"]
     out["join_snap_blocks"] = _sql_join(1.0, "snap")
     out["join_self_2"] = _sql_join(2.0, right="events")
+    out["join_sparse"] = _sql_join(1.0, right="nation")
+    some = "(SELECT CASE WHEN x > 0 THEN id END AS id, x, y FROM {0} t)"
+    out["join_null_ids_hot"] = (
+        "SELECT a.id AS a_id, a.x AS a_x, a.y AS a_y, b.id AS b_id, b.x AS b_x, b.y AS b_y "
+        f"FROM {some.format(fixtures.points_sql('events', 'snap'))} a JOIN {some.format(fixtures.points_sql('supplier', 'snap'))} b "
+        f"ON {_dist('a.x', 'a.y', 'b.x', 'b.y')} < {_d(1.0)}")
+    out["join_10_bucketed"] = out["join_10"]
+    out["join_bucketed_hot"] = _sql_join(10.0, "snap")
+    out["knn_100_zones"], out["kfar_100_zones"] = out["knn_100"], out["kfar_100"]
     every_point = f"SELECT id, x, y FROM {points} p"
     for name in ("src_csv_points", "src_table_points", "land_points", "fn_point"):
         out[name] = every_point
@@ -462,16 +528,17 @@ def core_sql() -> dict[str, str]:
     out["workload"] = _sql_workload()
     out["workload_box_count"] = _sql_batch_count(f"({_sql_workload()})")
     out["batch_box"] = out["batch_box_shuffle"] = _sql_batch_box(fixtures.boxes_sql())
-    out["batch_box_count"] = _sql_batch_count(fixtures.boxes_sql())
+    out["batch_box_count"] = out["batch_box_count_summed"] = _sql_batch_count(fixtures.boxes_sql())
     out["batch_circle"] = f"SELECT q, id, distance FROM ({_sql_pairs()}) pairs WHERE distance < {_d(10)}"
     out["batch_knn"] = out["batch_knn_shuffle"] = _sql_batch_knn()
     out["batch_knn_snap"] = _sql_batch_knn("snap")
+    out["batch_kfar"] = out["batch_kfar_shuffle"] = _sql_ranked(_sql_pairs(), 10, order="DESC")
     return out | _sql_bag() | _sql_far()
 
 
-def _sql_ranked(pairs: str, k: int, ties: str = "id") -> str:
+def _sql_ranked(pairs: str, k: int, ties: str = "id", order: str = "ASC") -> str:
     return (
-        f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, {ties}) AS rk "
+        f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance {order}, {ties}) AS rk "
         f"FROM ({pairs}) pairs) r WHERE rk <= {k}"
     )
 
@@ -490,6 +557,7 @@ def _sql_bag() -> dict[str, str]:
         "batch_box_bag": f"SELECT q, x, y FROM {fixtures.boxes_sql()} b JOIN {points} p ON {inside}",
         "batch_box_count_bag": f"SELECT b.q AS q, count(p.x) AS n FROM {fixtures.boxes_sql()} b LEFT JOIN {points} p ON {inside} GROUP BY b.q",
         "batch_knn_bag": _sql_ranked(pairs, 10, "x, y"),
+        "batch_kfar_bag": _sql_ranked(pairs, 10, "x, y", "DESC"),
     }
 
 
@@ -501,10 +569,10 @@ def _sql_far() -> dict[str, str]:
         kept = "id, " if table != boxes else "q, "
         return f"(SELECT {kept}" + ", ".join(f"{c} * {far} AS {c}" for c in columns) + f" FROM {table} t)"
 
-    def pairs(a: str, b: str, only: str = "true") -> str:
+    def pairs(a: str, b: str) -> str:
         return (
             f"SELECT b.id AS q, a.id AS id, {_dist('a.x', 'a.y', 'b.x', 'b.y')} AS distance "
-            f"FROM {a} a CROSS JOIN {b} b WHERE {only}"
+            f"FROM {a} a CROSS JOIN {b} b"
         )
 
     corners = ", ".join(f"{c} * {far} {'+' if c in ('x1', 'y1') else '-'} {half} AS {c}" for c in ("x0", "y0", "x1", "y1"))
@@ -516,7 +584,7 @@ def _sql_far() -> dict[str, str]:
         "batch_box_wide": f"SELECT q, id FROM (SELECT q, {corners} FROM {boxes} t) b JOIN {wide(points, 'x', 'y')} p ON {inside}",
         "batch_knn_wide": _sql_ranked(pairs(wide(points, "x", "y"), wide(other, "x", "y")), 10),
         "batch_knn_remote": _sql_ranked(pairs(points, f"(SELECT id, x + {_d(5000)} AS x, y FROM {other} t)"), 10),
-        "batch_knn_1001": _sql_ranked(pairs(points, other, "b.id % 10 = 0"), 1_001),
+        "batch_knn_1001": _sql_ranked(pairs(points, other), 1_001),
         "knn_1001": _sql_knn(0, 0, 1_001, "nearest"),
         "batch_box_mixed": f"SELECT q, id FROM {mixed} b JOIN {points} p ON {inside}",
         "join_many_hot": _sql_join(2.0, right="events"),
@@ -524,6 +592,9 @@ def _sql_far() -> dict[str, str]:
         "sql_raw_join": f"SELECT a.id AS a_id, b.id AS b_id FROM {known(points)} a JOIN {known(other)} b ON {near}",
     }
     out["batch_box_mixed_shuffle"] = out["batch_box_mixed"]
+    out["batch_box_ranges"] = out["batch_box_mixed"]
+    out["batch_box_ranges_parts"] = f"SELECT q, id FROM {mixed} b JOIN {fixtures.points_sql(recipe='snap')} p ON {inside}"
+    out["batch_box_count_summed_mixed"] = _sql_batch_count(mixed)
     return out
 
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from planar.functions.exprs import distance, inside, is_finite, is_located
 from planar.operators.join import distance_join
-from planar.plans.grid import CUT_PARTS, box_copies, with_box_cells, with_level_cells
-from planar.plans.scratch import scratch_path
+from planar.plans.grid import CELL, CUT_PARTS, LEVEL, box_copies, level_index, pack_sql, with_box_cells, with_level_cells
+from planar.plans.pyramid import build, farthest_cells, nearest_bounds
+from planar.plans.scratch import stored
 from planar.plans.sizing import BROADCAST_BYTES, broadcast_copies, fits_broadcast, spread
 from planar.plans.skew import BLOCK_ROWS, cell_join
 from planar.sources.landing import without_tiles
@@ -102,8 +101,6 @@ def batch_box(
         cells,
         inside("x", "y", *(F.col(c) for c in ("_xmin", "_ymin", "_xmax", "_ymax"))),
         broadcast=broadcast,
-        big_key="id" if "id" in output else None,
-        small_key="q",
         block_rows=block_rows,
     )
     return hits.select("q", *(F.col(f"`{c}`") for c in output))
@@ -138,27 +135,6 @@ def batch_circle(points: DataFrame, centres: DataFrame, radius: float, **options
     )
 
 
-_HASH_RANGE = 1 << 31
-_START_POINTS = 1_024
-_FAN_MIN, _FAN_MAX = 64, 4_096
-
-
-def _subset(points: DataFrame, size: int, total: int) -> DataFrame:
-    """About ``size`` rows, chosen by the hash of the id: larger sizes contain
-    smaller ones, and every run chooses the same rows."""
-    if size >= total:
-        return points
-    place = F.pmod(F.xxhash64("id"), F.lit(_HASH_RANGE).cast("bigint"))
-    return points.where(place < F.lit(max(1, _HASH_RANGE * size // total)).cast("bigint"))
-
-
-def _sizes(base: int, fan: int, total: int) -> Iterator[int]:
-    size = base * fan
-    while size < total:
-        yield size
-        size *= fan
-
-
 def _best(df: DataFrame, group: list[str], order: list[Column | str], k: int, name: str) -> DataFrame:
     """The first ``k`` rows per group with their rank. Spark cuts before its shuffle
     for up to a thousand; beyond that, parts of the groups are cut first, so no task
@@ -176,10 +152,10 @@ _WINDOW_CUT = 1_000
 _PLACES = 1 << 20
 
 
-def _without_surplus_copies(points: DataFrame, total: int, k: int, stored: Callable) -> DataFrame:
+def _without_surplus_copies(points: DataFrame, total: int, k: int) -> DataFrame:
     """Of the copies of a hot point only the k smallest ids can be among the k
-    nearest of anything. Hot places are found by counts per hash value, of which
-    at most an eighth can be over the limit; that table is always small. The cut
+    nearest or farthest of anything. Hot places are found by counts per hash value, of
+    which at most an eighth can be over the limit; that table is always small. The cut
     happens before the shuffle on each task."""
     place = F.pmod(F.xxhash64("x", "y"), F.lit(_PLACES).cast("bigint"))
     counts = points.groupBy(place.alias("_place")).agg(F.count(F.lit(1)).alias("n"))
@@ -192,108 +168,122 @@ def _without_surplus_copies(points: DataFrame, total: int, k: int, stored: Calla
     return marked.where("_hot IS NULL").drop("_hot").unionByName(best)
 
 
+def _extent(points: DataFrame):
+    """Ends and number ``n`` of the finite points, and the number ``m`` of the others."""
+    finite = is_finite()
+    ends = [f(F.when(finite, F.col(c))).alias(f"{n}{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))]
+    return points.agg(*ends, F.count(F.when(finite, 1)).alias("n"), F.count(F.when(~finite, 1)).alias("m")).first()
+
+
 def batch_knn(
     points: DataFrame,
     centres: DataFrame,
     k: int,
     *,
+    order: str = "nearest",
     strategy: str = "auto",
-    base: int | None = None,
-    fan: int | None = None,
     block_rows: int = BLOCK_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """The ``k`` nearest points of every centre: ``q``, the point, ``distance``
-    and rank ``rk``. Ties go to the smaller ``id``; points without one are written
-    to the scratch folder with a number each, and ties go to the smaller ``x, y``.
+    """The ``k`` nearest (or farthest) points of every centre: ``q``, the point,
+    ``distance`` and rank ``rk``. Ties go to the smaller ``id``; points without one are
+    written to the scratch folder with a number each, and ties go to the smaller ``x, y``.
     ``centres`` have a unique ``q`` and ``x, y``.
 
-    Comparing every centre with every point is avoided by bounding each
-    centre's k-th distance first. The k-th neighbour within any subset of the
-    points is never nearer than the true one, so it is a safe bound: the search
-    starts from ``base`` points and goes on to subsets ``fan`` times as large,
-    up to all points. Each step joins circles with points on grid cells and
-    ranks about ``k * fan`` candidates per centre, wherever the points are dense
-    or sparse. The result is exact: the last step reads every point.
-
-    A step costs about one scan of ``id, x, y``, so ``fan`` defaults to what
-    keeps the candidates of a step below the number of points. Both inputs are
-    counted when the function is called, and the bounds (one row per centre)
-    are stored in the scratch folder between steps.
+    Comparing every centre with every point is avoided by bounding each centre's k-th
+    distance from a pyramid of counts. The nearest are then found by a join of circles
+    with points on grid cells, the farthest by a join of the cells that reach beyond the
+    bound with the points in them, and ranked. The result is exact: all points are
+    looked at, and every one that is as good as the bound is ranked.
+
+    The points are read three times whatever their number: for their extent, for the
+    counts, and for the answer (and once more before a shuffled join, for its hot
+    cells). Only where thousands lie in one cell of the finest level are those read
+    again, to split it. Counts and bounds are stored in the scratch folder.
     """
     if k < 1:
         raise ValueError("k must be positive")
+    if order not in ("nearest", "farthest"):
+        raise ValueError(f"unknown order {order!r}")
+    nearest = order == "nearest"
     points = without_tiles(points).where(is_located())
     output = _checked(points)
-    spark = points.sparkSession
-
-    def stored(df: DataFrame, label: str) -> DataFrame:
-        path = scratch_path(spark, label)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     ties = ["id"] if "id" in output else ["x", "y", "id"]
     if "id" not in output:
         points = stored(points.withColumn("id", F.monotonically_increasing_id()), "knn-points")
-    extent = points.where(is_finite()).agg(
-        *[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))], F.count(F.lit(1)).alias("n")
-    ).first()
-    total = extent.n
-    points = spread(_without_surplus_copies(points, total, k, stored), "id")
-    base = max(_START_POINTS, 4 * k) if base is None else base
+    extent = _extent(points)
+    points = spread(points, "id")
 
     queries = centres.select(
         "q", F.col("x").cast("double").alias("_qx"), F.col("y").cast("double").alias("_qy")
     ).where(is_located("_qx", "_qy"))
-    queries = spread(queries, "q")
-    if fan is None:
-        fan = min(max(total // max(1, queries.count() * k), _FAN_MIN), _FAN_MAX)
+    pyramid = None
+    if extent.n >= k:
+        finite = points.where(is_finite())
+        pyramid, finite = build(finite, extent, k, lambda p: _without_surplus_copies(p, extent.n, k))
+        # Centres may come from a shuffle; lookups in a large pyramid need a scan.
+        queries = queries if pyramid.small else stored(queries, "knn-centres")
+        points = finite.unionByName(points.where(~is_finite())) if extent.m else finite
+    by = ["distance" if nearest else F.desc("distance"), *ties]
+    find = _within_bounds if nearest else _beyond_bounds
+    found = find(points, queries, pyramid, extent, k, strategy, block_rows, broadcast_bytes)
+    best = _best(found.withColumn("distance", distance("x", "y", "_qx", "_qy")), ["q"], by, k, "rk")
+    return best.select("q", *(F.col(f"`{c}`") for c in output), "distance", F.col("rk").cast("bigint").alias("rk"))
+
+
+def _within_bounds(points, queries, pyramid, extent, k, strategy, block_rows, broadcast_bytes) -> DataFrame:
+    """Pairs of a centre and a point in the circle that holds its ``k`` nearest."""
+    if pyramid:
+        circles = nearest_bounds(queries, pyramid, k)
+    else:
+        circles = queries.withColumn("_r", F.lit(None).cast("double"))
+    circles = spread(circles, "q")
     # Twice the bytes, because the bounds come on top of the counted columns.
     broadcast, parts = _cell_choice(queries, 2, strategy, broadcast_bytes)
-
-    def search(subset: DataFrame, circles: DataFrame) -> DataFrame:
-        reach = F.coalesce("_r", F.lit(float("inf"))) * F.lit(1.0 + 1e-9) + F.lit(1e-150)
-        qx, qy = F.col("_qx"), F.col("_qy")
-        # A circle need not be looked up beyond the data. One that reaches in from
-        # far outside is cut to what may be a thin slice, and gets finer cells.
-        finite = reach < F.lit(float("inf"))
-        low = [F.greatest(v - reach, F.when(finite, F.lit(extent[f"low{c}"]))) for v, c in ((qx, "x"), (qy, "y"))]
-        high = [F.least(v + reach, F.when(finite, F.lit(extent[f"high{c}"]))) for v, c in ((qx, "x"), (qy, "y"))]
-        cut = F.greatest(high[0] - low[0], high[1] - low[1]) < reach
-        share = F.when(cut, F.lit(float(CUT_PARTS))).otherwise(F.lit(float(parts)))
-        ends = [F.greatest(h, l) for l, h in zip(low, high)]
-        cells = with_box_cells(circles, *low, *ends, share, ("_qx", "_qy", reach))
-        d, r = distance("x", "y", qx, qy), F.col("_r")
-        tie = (F.col("id") <= F.col("_rid")) if ties == ["id"] else F.lit(True)
-        found = cell_join(
-            with_level_cells(subset, "x", "y", cells),
-            cells,
-            r.isNull() | (d < r) | ((d == r) & tie),
-            broadcast=broadcast and fits_broadcast(cells, 1, broadcast_bytes),
-            big_key="id",
-            small_key="q",
-            block_rows=block_rows,
-        ).withColumn("distance", d)
-        return _best(found, ["q"], ["distance", *ties], k, "rk")
-
-    # The starting points as one array of bounded length, next to every centre.
-    start = _subset(points.select("id", "x", "y"), base, total)
-    start = start.orderBy(F.xxhash64("id"), "id").limit(2 * base)
-    start = start.agg(F.collect_list(F.struct("x", "y", "id")).alias("start"))
-
-    def reached(p: Column) -> Column:
-        return F.struct(distance(p["x"], p["y"], F.col("_qx"), F.col("_qy")).alias("d"), p["id"].alias("id"))
-
-    bounds = stored(
-        queries.withColumn("_start", start.scalar())
-        .withColumn("_kth", F.get(F.sort_array(F.transform("_start", reached)), F.lit(k - 1)))
-        .select("q", "_qx", "_qy", F.col("_kth.d").alias("_r"), F.col("_kth.id").alias("_rid")),
-        "knn-bounds",
-    )
-    for size in _sizes(base, fan, total):
-        kth = search(_subset(points.select("id", "x", "y"), size, total), bounds).where(F.col("rk") == k)
-        kth = kth.select("q", F.col("distance").alias("_r"), F.col("id").alias("_rid"))
-        bounds = stored(queries.join(kth, "q", "left"), "knn-bounds")
-    return search(points, bounds).select(
-        "q", *(F.col(f"`{c}`") for c in output), "distance", F.col("rk").cast("bigint").alias("rk")
+    reach = F.coalesce("_r", F.lit(float("inf"))) * F.lit(1.0 + 1e-9) + F.lit(1e-150)
+    # A circle need not be looked up beyond the data. One that reaches in from
+    # far outside is cut to what may be a thin slice, and gets finer cells.
+    finite = reach < F.lit(float("inf"))
+    low = [F.greatest(F.col(f"_q{c}") - reach, F.when(finite, F.lit(extent[f"low{c}"]))) for c in "xy"]
+    high = [F.least(F.col(f"_q{c}") + reach, F.when(finite, F.lit(extent[f"high{c}"]))) for c in "xy"]
+    cut = F.greatest(high[0] - low[0], high[1] - low[1]) < reach
+    share = F.when(cut, F.lit(float(CUT_PARTS))).otherwise(F.lit(float(parts)))
+    ends = [F.greatest(h, l) for l, h in zip(low, high)]
+    cells = with_box_cells(circles, *low, *ends, share, ("_qx", "_qy", reach))
+    r = F.col("_r")
+    return cell_join(
+        with_level_cells(points, "x", "y", cells),
+        cells,
+        r.isNull() | (distance("x", "y", "_qx", "_qy") <= r),
+        broadcast=broadcast and fits_broadcast(cells, 1, broadcast_bytes),
+        block_rows=block_rows,
     )
+
+
+def _beyond_bounds(points, queries, pyramid, extent, k, strategy, block_rows, broadcast_bytes) -> DataFrame:
+    """Pairs of a centre and a point outside the circle that leaves ``k`` outside."""
+    if strategy not in ("auto", "broadcast", "shuffle"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    if not pyramid:
+        return _within_bounds(points, queries, None, extent, k, strategy, block_rows, broadcast_bytes)
+    cells = farthest_cells(queries, pyramid, k).select("q", "_qx", "_qy", "_r", F.inline("_cells")).drop("_n")
+    cells = cells.withColumnsRenamed({"_lv": LEVEL}).withColumn(CELL, F.expr(pack_sql("_ix", "_iy")))
+    cells = spread(stored(cells, "far-cells"), "q")
+    r = F.col("_r")
+    # Packed keys may alias; a centre has cells far from each other.
+    own = (level_index("x") == F.col("_ix")) & (level_index("y") == F.col("_iy"))
+    pairs = cell_join(
+        with_level_cells(points.where(is_finite()), "x", "y", cells),
+        cells,
+        own & (r.isNull() | (distance("x", "y", "_qx", "_qy") >= r)),
+        broadcast=strategy != "shuffle" and fits_broadcast(cells, 1, broadcast_bytes),
+        block_rows=block_rows,
+    ).drop("_ix", "_iy")
+    if not extent.m:
+        return pairs
+    # Points at infinity are the farthest of all; the first k are enough for any centre.
+    ties = [c for c in ("x", "y") if "id" not in points.columns] + ["id"]
+    first = points.where(~is_finite()).orderBy(*ties).limit(k)
+    first = first.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in points.columns])).alias("_first"))
+    beyond = queries.withColumn("_r", F.lit(None).cast("double")).withColumn("_first", first.scalar())
+    return pairs.unionByName(beyond.select("q", "_qx", "_qy", "_r", F.inline("_first")))

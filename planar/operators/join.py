@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planar.functions.exprs import distance, is_finite
-from planar.plans.grid import cell_width, with_cell, with_neighbour_cells
+from planar.plans.grid import (
+    HALF_STEPS, cell_width, occupied, only_occupied, with_cell, with_half_neighbour_cells, with_neighbour_cells,
+)
+from planar.plans.scratch import stored
 from planar.plans.sizing import BROADCAST_BYTES, estimated_bytes, fits_broadcast, spread
-from planar.plans.skew import BLOCK_ROWS, cell_join
+from planar.plans.skew import BLOCK_ROWS, cell_join, scanned
 from planar.sources.landing import without_tiles
 
 _COPIES = 9
@@ -20,6 +23,66 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select([F.col(f"`{c}`").alias(prefix + c) for c in df.columns])
 
 
+def _met(cells: DataFrame, copies: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``cells`` that ``copies`` has a row in the cell of, if that can be told
+    by a broadcast of bounded size; else all rows."""
+    words = stored(occupied(copies), "occupied-cells")
+    return only_occupied(cells, F.broadcast(words)) if fits_broadcast(words, 1, limit) else cells
+
+
+def self_join(
+    points: DataFrame,
+    radius: float,
+    *,
+    strategy: str = "auto",
+    prefixes: tuple[str, str] = ("a_", "b_"),
+    with_distance: bool = False,
+    block_rows: int = BLOCK_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """``distance_join`` of a table with itself, at half the comparisons.
+
+    A point meets those in its own cell with a larger number in the scan, and all in
+    four of the eight cells around; every pair found is given in both orders, and every
+    point with itself once. A table that comes out of a shuffle is written to the
+    scratch folder first, for its rows to keep their numbers.
+    """
+    if strategy not in ("auto", "broadcast", "shuffle"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    pa, pb = prefixes
+    if pa == pb:
+        raise ValueError("the two prefixes must differ")
+    radius = float(radius)
+    if not math.isfinite(radius):
+        raise ValueError("the radius must be finite")
+    points = scanned(without_tiles(points))
+    columns = points.columns
+    points = points.withColumn("_n", F.monotonically_increasing_id()).where(is_finite())
+    if not radius > 0.0:
+        points = points.limit(0)
+    a, b = _prefixed(points, pa), _prefixed(points, pb)
+    broadcast = strategy != "shuffle" and fits_broadcast(b, 1 + len(HALF_STEPS), broadcast_bytes)
+    if broadcast:
+        a = spread(a, pa + "_n")
+    largest = points.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0.0
+    width = cell_width(radius, largest)
+    d = distance(pa + "x", pa + "y", pb + "x", pb + "y")
+    half = cell_join(
+        with_cell(a, pa + "x", pa + "y", width),
+        with_half_neighbour_cells(b, pb + "x", pb + "y", width, "_apart"),
+        (F.col("_apart") | (F.col(f"{pa}_n") < F.col(f"{pb}_n"))) & (d < F.lit(radius)),
+        broadcast=broadcast,
+        block_rows=max(1, block_rows),
+    )
+
+    def pair(first: str, second: str) -> Column:
+        return F.struct(*[F.col(f"`{p}{c}`").alias(q + c) for p, q in ((first, pa), (second, pb)) for c in columns])
+
+    pairs = half.select(F.inline(F.array(pair(pa, pb), pair(pb, pa))))
+    out = pairs.unionByName(a.select(*[F.col(f"`{pa}{c}`").alias(q + c) for q in (pa, pb) for c in columns]))
+    return out.withColumn("distance", d) if with_distance else out
+
+
 def distance_join(
     left: DataFrame,
     right: DataFrame,
@@ -46,9 +109,15 @@ def distance_join(
       blocks of about ``block_rows`` rows.
 
     ``auto`` and ``broadcast`` both fall back to ``shuffle`` for a side that
-    does not fit. Joining a table with itself keeps identity pairs and both
-    orders.
+    does not fit. Before a shuffle, rows of the larger side whose cell has no copy of
+    the smaller one are dropped at the scan, if a bitmap of those cells was measured to
+    fit a broadcast. Joining a table with itself keeps identity pairs and both
+    orders; the same DataFrame on both sides is joined by ``self_join``.
     """
+    if left is right:
+        return self_join(
+            left, radius, strategy=strategy, prefixes=prefixes, with_distance=with_distance,
+            block_rows=block_rows, broadcast_bytes=broadcast_bytes)
     if strategy not in ("auto", "broadcast", "shuffle"):
         raise ValueError(f"unknown strategy {strategy!r}")
     pa, pb = prefixes
@@ -78,14 +147,9 @@ def distance_join(
     largest = small.agg(F.max(F.greatest(F.abs(psmall + "x"), F.abs(psmall + "y")))).first()[0] or 0.0
     width = cell_width(radius, largest)
     apart = distance(pa + "x", pa + "y", pb + "x", pb + "y")
-    pairs = cell_join(
-        with_cell(big, pbig + "x", pbig + "y", width),
-        with_neighbour_cells(small, psmall + "x", psmall + "y", width),
-        apart < F.lit(radius),
-        broadcast=broadcast,
-        big_key=pbig + "id" if pbig + "id" in big.columns else None,
-        small_key=psmall + "id" if psmall + "id" in small.columns else None,
-        block_rows=max(1, block_rows),
-    )
+    cells, copies = with_cell(big, pbig + "x", pbig + "y", width), with_neighbour_cells(small, psmall + "x", psmall + "y", width)
+    if not broadcast:
+        cells = _met(cells, copies, broadcast_bytes)
+    pairs = cell_join(cells, copies, apart < F.lit(radius), broadcast=broadcast, block_rows=max(1, block_rows))
     columns = [F.col(f"`{c}`") for c in output]
     return pairs.select(*columns, apart.alias("distance")) if with_distance else pairs.select(*columns)

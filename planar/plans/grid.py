@@ -70,6 +70,39 @@ def neighbour_cells_sql(x: str, y: str, width: str) -> str:
     return f"array({', '.join(cells)})"
 
 
+# The cells around which a self join looks: of two neighbours one lies in these of the other.
+HALF_STEPS = ((1, -1), (1, 0), (1, 1), (0, 1))
+
+
+def with_half_neighbour_cells(df: DataFrame, x: str, y: str, width: float, apart: str) -> DataFrame:
+    """Five copies per row: its own cell, with ``apart`` false, and half the cells around."""
+    index = [_whole_sql(f"`{c}` / {width!r}D") for c in (x, y)]
+    cells = [f"struct({pack_sql(*index)} AS {CELL}, false AS {apart})"]
+    cells += [
+        f"struct({pack_sql(f'({index[0]} + {dx}L)', f'({index[1]} + {dy}L)')} AS {CELL}, true AS {apart})"
+        for dx, dy in HALF_STEPS
+    ]
+    return df.select("*", F.expr(f"inline(array({', '.join(cells)}))"))
+
+
+def occupied(df: DataFrame) -> DataFrame:
+    """``_square, _bits``: the cells of ``df``, 8 x 8 of them in a 64-bit word."""
+    return df.groupBy(_square().alias("_square")).agg(F.bit_or(F.expr(f"shiftleft(1L, {_BIT})")).alias("_bits"))
+
+
+def only_occupied(df: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows whose cell is one of ``occupied``."""
+    return df.join(words, (_square() == words["_square"]) & F.expr(f"(shiftright(_bits, {_BIT}) & 1L) = 1L"), "left_semi")
+
+
+# Of a packed cell: its place in its square, and the square.
+_BIT = f"CAST((shiftright({CELL}, 32) & 7L) * 8L + ({CELL} & 7L) AS INT)"
+
+
+def _square() -> Column:
+    return F.col(CELL).bitwiseAND(F.lit(~((7 << 32) | 7)))
+
+
 def with_cell(df: DataFrame, x: str, y: str, width: float) -> DataFrame:
     """One cell per row."""
     return df.withColumn(CELL, F.expr(cell_sql(f"`{x}`", f"`{y}`", f"{width!r}D")))
@@ -95,6 +128,11 @@ def _index_sql(v: str) -> str:
     return _whole_sql(f"{finite} / pow(2D, {LEVEL})")
 
 
+def level_index(column: str) -> Column:
+    """The index on one axis of the cell that a row with a ``LEVEL`` lies in."""
+    return F.expr(_index_sql(f"`{column}`"))
+
+
 def box_copies(parts: int) -> int:
     """Most copies that ``with_box_cells`` makes of one row."""
     return (parts + 1) ** 2

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planar.plans.grid import CELL, LEVEL
-from planar.plans.scratch import scratch_path
+from planar.plans.scratch import stored
 from planar.plans.sizing import fits_broadcast
 
 BLOCK_ROWS = 50_000
@@ -36,19 +36,23 @@ def hot_cells(big: DataFrame, small: DataFrame, keys: Sequence[str], block_rows:
     return both.select(*keys, F.coalesce("_na", one).alias("_na"), F.coalesce("_nb", one).alias("_nb"))
 
 
-def row_number_key(df: DataFrame) -> Column:
-    """Tells the rows of a table without an id apart: their number in the scan. A
-    retried task gives the rows of a file the same numbers; a table that comes out
-    of a shuffle should have an id, or be written first."""
-    return F.monotonically_increasing_id()
+def scanned(df: DataFrame) -> DataFrame:
+    """``df`` such that a retried task numbers its rows as before: itself if it comes
+    straight from a scan, else written to the scratch folder first, because the rows of
+    a shuffled table may arrive in another order."""
+    plan = getattr(df, "_jdf", None)
+    if plan is not None and "Exchange" not in plan.queryExecution().executedPlan().toString():
+        return df
+    return stored(df, "numbered")
 
 
 def _to_blocks(
-    df: DataFrame, hot: DataFrame, keys: Sequence[str], salt: Column, block: str, rows_first: bool
+    df: DataFrame, hot: DataFrame, keys: Sequence[str], block: str, rows_first: bool
 ) -> DataFrame:
-    """Draw the own block of a row in a hot cell from ``salt`` and copy the row to
-    all blocks of the other side. ``block`` gets both numbers in one BIGINT, 0
-    outside hot cells."""
+    """Draw the own block of a row in a hot cell from its number in the scan, so that
+    rows without an id or with the same one spread as well, and copy the row to all
+    blocks of the other side. ``block`` gets both numbers in one BIGINT, 0 outside hot
+    cells."""
     own_n, other_n = ("_na", "_nb") if rows_first else ("_nb", "_na")
     named = hot.withColumnsRenamed({k: f"_hot{k}" for k in keys})
     on = F.lit(True)
@@ -61,7 +65,7 @@ def _to_blocks(
     first, second = (own, F.col("_other")) if rows_first else (F.col("_other"), own)
     both = F.shiftleft(first, 32).bitwiseOR(second)
     return (
-        df.withColumn("_pick", salt)
+        df.withColumn("_pick", F.monotonically_increasing_id())
         .join(named, on, "left")
         .withColumn("_other", F.explode(others))
         .withColumn(block, F.coalesce(both, zero))
@@ -75,15 +79,11 @@ def cell_join(
     residual: Column,
     *,
     broadcast: bool,
-    big_key: str | None,
-    small_key: str | None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Inner equi-join on the cell (and level) with ``residual`` as exact test.
 
-    Both inputs carry ``CELL``, all other column names differ. ``big_key`` and
-    ``small_key`` name columns that tell the rows of a side apart; the block of
-    a row is drawn from them, or from its number in the scan where there is none.
+    Both inputs carry ``CELL``, all other column names differ.
 
     With ``broadcast`` the caller has checked the size of ``small``; ``big`` is
     then not shuffled at all, so its hot cells stay spread over the scan tasks.
@@ -96,15 +96,12 @@ def cell_join(
 
     if not broadcast:
         hot = hot_cells(big, small, keys, block_rows)
-        path = scratch_path(big.sparkSession, "hot-cells")
-        hot.write.parquet(path)
-        hot = big.sparkSession.read.schema(hot.schema).parquet(path)
+        hot = stored(hot, "hot-cells")
         if not hot.isEmpty():
             # Beyond the broadcast limit AQE splits what the cells have in common.
             hot = F.broadcast(hot) if fits_broadcast(hot) else hot
-            salts = [F.col(f"`{k}`") if k else row_number_key(df) for k, df in ((big_key, big), (small_key, small))]
-            big = _to_blocks(big, hot, keys, salts[0], "_block", True)
-            small = _to_blocks(small, hot, keys, salts[1], "_s_block", False)
+            big = _to_blocks(scanned(big), hot, keys, "_block", True)
+            small = _to_blocks(scanned(small), hot, keys, "_s_block", False)
             agree += [("_block", "_s_block")]
     small = small.withColumnsRenamed({CELL: s_cell, LEVEL: s_level})
 

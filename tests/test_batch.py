@@ -65,9 +65,7 @@ def test_circles(spark, table, options):
     assert sorted((r.q, r.id) for r in got.collect()) == want
 
 
-KNN = [
-    {}, {"strategy": "shuffle"}, {"base": 16, "fan": 4}, {"base": 3, "fan": 2, "strategy": "shuffle", "block_rows": 9},
-]
+KNN = [{}, {"strategy": "shuffle"}, {"strategy": "shuffle", "block_rows": 9}]
 
 
 @pytest.mark.parametrize("options", KNN)
@@ -86,7 +84,7 @@ def test_knn_join(spark, table, options, k):
     assert have == want
 
 
-@pytest.mark.parametrize("options", [{}, {"strategy": "shuffle", "block_rows": 500}, {"base": 32, "fan": 8}])
+@pytest.mark.parametrize("options", [{}, {"strategy": "shuffle", "block_rows": 500}])
 def test_knn_join_with_a_hot_point(spark, table, options):
     """A third of all points are copies of one, enough to be cut to k beforehand."""
     points = brute.scattered(6_000, 6, hot_share=0.34)
@@ -133,7 +131,7 @@ def test_single_and_batch_agree_far_out(spark, table, options, scale):
 def test_knn_without_an_id(spark, table):
     rows = brute.scattered(400, 7, hot_share=0.3)
     df, centres = table(rows).drop("id"), table(brute.scattered(20, 9)).withColumnRenamed("id", "q")
-    got = planar.batch_knn(df, centres, 8, strategy="shuffle", base=16, fan=4)
+    got = planar.batch_knn(df, centres, 8, strategy="shuffle")
     assert got.columns == ["q", "x", "y", "distance", "rk"]
     want = planar.batch_knn(table(rows), centres, 8)
     key = lambda d: sorted((r.q, r.rk, r.distance) for r in d.collect())
