@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from planar.functions.exprs import distance, inside, is_finite, is_located
 from planar.operators.join import distance_join
 from planar.plans.grid import CELL, CUT_PARTS, LEVEL, box_copies, level_index, pack_sql, with_box_cells, with_level_cells
-from planar.plans.pyramid import build, farthest_cells, nearest_bounds
+from planar.plans.pyramid import best_cells, build, nearest_bounds
 from planar.plans.scratch import stored
 from planar.plans.sizing import BROADCAST_BYTES, broadcast_copies, fits_broadcast, spread
 from planar.plans.skew import BLOCK_ROWS, cell_join
@@ -266,7 +266,7 @@ def _beyond_bounds(points, queries, pyramid, extent, k, strategy, block_rows, br
         raise ValueError(f"unknown strategy {strategy!r}")
     if not pyramid:
         return _within_bounds(points, queries, None, extent, k, strategy, block_rows, broadcast_bytes)
-    cells = farthest_cells(queries, pyramid, k).select("q", "_qx", "_qy", "_r", F.inline("_cells")).drop("_n")
+    cells = best_cells(queries, pyramid, k, False).select("q", "_qx", "_qy", "_r", F.inline("_cells")).drop("_n")
     cells = cells.withColumnsRenamed({"_lv": LEVEL}).withColumn(CELL, F.expr(pack_sql("_ix", "_iy")))
     cells = spread(stored(cells, "far-cells"), "q")
     r = F.col("_r")

@@ -170,11 +170,14 @@ def nearest_bounds(queries: DataFrame, pyramid: Pyramid, k: int) -> DataFrame:
 
     The finest level on which the 3x3 cells around a centre have ``k`` points is found
     from the counts; the next finer cells of those give the bound. A centre outside
-    the extent takes the nearest place in it. In a pyramid too large for a broadcast, a
-    cell that several centres ask for is looked up once."""
+    the extent sees an edge of it rather, and takes the bound of ``best_cells``. In a
+    pyramid too large for a broadcast, a cell that several centres ask for is looked up
+    once."""
     ends, own_keys = pyramid.extent, [f"_c{c}" for c in KEYS]
-    at = {c: F.least(F.greatest(F.col(f"_q{c}"), F.lit(ends[f"low{c}"])), F.lit(ends[f"high{c}"])) for c in "xy"}
-    own = queries.select("q", *at.values()).toDF("q", "_x", "_y").withColumn("_c_lv", F.explode(F.array(*map(F.lit, pyramid.levels))))
+    within = [F.col(f"_q{c}").between(ends[f"low{c}"], ends[f"high{c}"]) for c in "xy"]
+    remote, queries = queries.where(~(within[0] & within[1])), queries.where(within[0] & within[1])
+    own = queries.select("q", F.col("_qx").alias("_x"), F.col("_qy").alias("_y"))
+    own = own.withColumn("_c_lv", F.explode(F.array(*map(F.lit, pyramid.levels))))
     own = own.select("q", "_c_lv", *[_index(F.col(f"_{c}"), F.col("_c_lv")).alias(f"_c_i{c}") for c in "xy"])
     step = F.array(*[F.lit(v).cast("bigint") for v in (-1, 0, 1)])
 
@@ -193,8 +196,10 @@ def nearest_bounds(queries: DataFrame, pyramid: Pyramid, k: int) -> DataFrame:
     chosen = chosen if pyramid.small else stored(chosen, "chosen-cells")
     near = around(chosen, "_kids", F.flatten(F.collect_list("_kids")).alias("_near")).select("q", "_near")
     r = F.when(F.col("_near").isNotNull(), _kth(F.col("_near"), lambda c: _farthest(c, ends), k, True))
-    bounds = queries.join(near, "q", "left").withColumn("_r", r)
-    return stored(bounds.select("q", "_qx", "_qy", F.when(F.col("_r") < F.lit(float("inf")), F.col("_r")).alias("_r")), "knn-bounds")
+    bounds = queries.join(near, "q", "left").withColumn("_r", r).select("q", "_qx", "_qy", "_r")
+    if not remote.isEmpty():
+        bounds = bounds.unionByName(best_cells(remote, pyramid, k, True).drop("_cells"))
+    return stored(bounds.withColumn("_r", F.when(F.col("_r") < F.lit(float("inf")), F.col("_r"))), "knn-bounds")
 
 
 # Cells of the first level per axis; a centre is done when its cells have few points for
@@ -202,9 +207,10 @@ def nearest_bounds(queries: DataFrame, pyramid: Pyramid, k: int) -> DataFrame:
 _START_CELLS, _ENOUGH_TIMES, _MOST_CELLS = 16, 16, 1_024
 
 
-def farthest_cells(queries: DataFrame, pyramid: Pyramid, k: int) -> DataFrame:
-    """``q, _qx, _qy`` (from a scan) with ``_r``, such that the ``k`` farthest points are not
-    nearer, and ``_cells``: all cells that reach beyond it.
+def best_cells(queries: DataFrame, pyramid: Pyramid, k: int, nearest: bool) -> DataFrame:
+    """``q, _qx, _qy`` (from a scan) with ``_r``, such that the ``k`` nearest points are not
+    farther, or the ``k`` farthest ones not nearer; and ``_cells``: all cells that reach up to
+    that, or beyond.
 
     Starts from a level of at most 17 x 17 cells beside every centre, then looks into
     the cells that are left, level by level."""
@@ -215,9 +221,10 @@ def farthest_cells(queries: DataFrame, pyramid: Pyramid, k: int) -> DataFrame:
         F.collect_list(F.struct(*KEYS, "_n").cast(_CELL)).alias("_cells"))
 
     def pruned(df: DataFrame) -> DataFrame:
-        df = df.withColumn("_r", _kth(F.col("_cells"), lambda c: _nearest(c, ends), k, False))
-        left = F.filter("_cells", lambda c: F.col("_r").isNull() | (_farthest(c, ends) >= F.col("_r")))
-        df = df.withColumn("_cells", left)
+        sure, best = (_farthest, _nearest) if nearest else (_nearest, _farthest)
+        df = df.withColumn("_r", _kth(F.col("_cells"), lambda c: sure(c, ends), k, nearest))
+        good = lambda d: d <= F.col("_r") if nearest else d >= F.col("_r")
+        df = df.withColumn("_cells", F.filter("_cells", lambda c: F.col("_r").isNull() | good(best(c, ends))))
         points = F.aggregate("_cells", F.lit(0).cast("bigint"), lambda n, c: n + c["_n"])
         few = points <= max(_ENOUGH_TIMES * k, _ENOUGH_TIMES * LEAF_POINTS)
         return df.withColumn("_done", few | (F.size("_cells") > _MOST_CELLS))
