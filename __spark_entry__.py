@@ -156,7 +156,8 @@ def _some_ids(points: DataFrame) -> DataFrame:
 
 def _join_null_ids_hot(s: SparkSession, d: str) -> DataFrame:
     left, right = (_some_ids(fixtures.points(s, d, name, "snap")) for name in ("events", "supplier"))
-    return planar.distance_join(left, right, 1.0, strategy="shuffle", block_rows=20)
+    pairs = planar.distance_join(left, right, 1.0, strategy="shuffle", block_rows=20)
+    return pairs.withColumns({c: F.coalesce(c, F.lit(-1).cast("bigint")) for c in ("a_id", "b_id")})
 
 
 def _join_self(s: SparkSession, d: str) -> DataFrame:
@@ -502,7 +503,7 @@ def core_sql() -> dict[str, str]:
     out["join_sparse"] = _sql_join(1.0, right="nation")
     some = "(SELECT CASE WHEN x > 0 THEN id END AS id, x, y FROM {0} t)"
     out["join_null_ids_hot"] = (
-        "SELECT a.id AS a_id, a.x AS a_x, a.y AS a_y, b.id AS b_id, b.x AS b_x, b.y AS b_y "
+        "SELECT coalesce(a.id, -1) AS a_id, a.x AS a_x, a.y AS a_y, coalesce(b.id, -1) AS b_id, b.x AS b_x, b.y AS b_y "
         f"FROM {some.format(fixtures.points_sql('events', 'snap'))} a JOIN {some.format(fixtures.points_sql('supplier', 'snap'))} b "
         f"ON {_dist('a.x', 'a.y', 'b.x', 'b.y')} < {_d(1.0)}")
     out["join_10_bucketed"] = out["join_10"]
