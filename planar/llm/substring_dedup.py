@@ -37,12 +37,13 @@ from pyspark.sql import functions as F
 
 from planar.llm.joins import attach
 from planar.llm.scratch import written
-from planar.llm.words import Words, hash_windows, slices, split_words, window_starts
+from planar.llm.words import Words, hash_windows, mix, slices, split_words, window_starts
 
 WINDOW = 13
 BUCKET_BYTES = 6 << 20
 GROUP_LEAVES = 2_000_000
-_FIRST_BITS, _NEXT_BITS = 12, 8
+_FIRST_BITS, _NEXT_BITS = 16, 8
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 # --- prefixes ------------------------------------------------------------------
@@ -50,19 +51,29 @@ _FIRST_BITS, _NEXT_BITS = 12, 8
 
 @dataclass
 class Plan:
-    """Where suffixes go. ``levels[d]`` has, for the hash slots of word ``d`` behind
-    each open prefix, a group or, as -1 - i, the i-th open prefix of the next level."""
-
-    levels: list[np.ndarray]
+    """Where suffixes go. A prefix is known by a hash of some bits of its words; ``open``
+    has, by depth, the sorted ones that are split by one more word. What is not open is
+    dealt to ``groups``."""
+
+    groups: int
+    open: list[np.ndarray]
+
+    def _walk(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The prefix that each suffix ends up at, which suffixes are below all open
+        ones, and their prefixes."""
+        prefix = mix((h[starts] >> np.uint64(64 - _FIRST_BITS)) + np.uint64(1))
+        still = np.arange(len(starts))
+        for depth, known in enumerate(self.open, 1):
+            here = prefix[still]
+            hit = known[np.minimum(np.searchsorted(known, here), len(known) - 1)] == here
+            still = still[hit]
+            bits = h[starts[still] + depth] >> np.uint64(64 - _NEXT_BITS)
+            prefix[still] = mix(prefix[still] * _ODD + bits + np.uint64(1))
+        return prefix, still, prefix[still]
 
     def place(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The entry that each suffix ends up at: a group, or still negative."""
-        out = self.levels[0][(h[starts] >> np.uint64(64 - _FIRST_BITS)).astype(np.int64)]
-        for d, level in enumerate(self.levels[1:], 1):
-            still = np.flatnonzero(out < 0)
-            slot = (h[starts[still] + d] >> np.uint64(64 - _NEXT_BITS)).astype(np.int64)
-            out[still] = level[((-1 - out[still]).astype(np.int64) << _NEXT_BITS) + slot]
-        return out
+        """The group of each suffix."""
+        return (self._walk(h, starts)[0] % np.uint64(self.groups)).astype(np.int64)
 
 
 def _suffixes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,57 +81,39 @@ def _suffixes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return words.hashes(), window_starts(words.first, window)
 
 
-def _count(docs: DataFrame, plan: Plan | None, window: int) -> dict[int, int]:
-    """Suffixes by slot of the next level; under -1 the bytes of all texts. The
-    result has at most a level's slots, whatever the size of the table."""
+def _count(docs: DataFrame, plan: Plan, window: int) -> DataFrame:
+    """``prefix, n``: the suffixes below all open prefixes; a task has 65,536 prefixes at
+    most at first, and 256 per open one later."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, size = np.zeros(0, np.int64), 0
+        known, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                words = split_words(part.column("text"))
-                h, starts = _suffixes(words, window)
-                size += len(words.data)
-                if plan is None:
-                    slot = (h[starts] >> np.uint64(64 - _FIRST_BITS)).astype(np.int64)
-                else:
-                    at = plan.place(h, starts)
-                    open_, d = at < 0, len(plan.levels)
-                    slot = (h[starts[open_] + d] >> np.uint64(64 - _NEXT_BITS)).astype(np.int64)
-                    slot += (-1 - at[open_]).astype(np.int64) << _NEXT_BITS
-                counts = np.bincount(slot, minlength=len(total))
-                counts[: len(total)] += total
-                total = counts
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(some, -1)), pa.array(np.append(total[some], size))], names=["slot", "n"])
-
-    rows = docs.select("text").mapInArrow(scan, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    return {r.slot: r.n for r in rows.collect()}
+                h, starts = _suffixes(split_words(part.column("text")), window)
+                here, times = np.unique(plan._walk(h, starts)[2], return_counts=True)
+                known, which = np.unique(np.concatenate([known, here]), return_inverse=True)
+                n = np.bincount(which, weights=np.concatenate([n, times]), minlength=len(known)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(n)], names=["prefix", "n"])
+
+    rows = docs.select("text").mapInArrow(scan, "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n"))
+    return written(docs.sparkSession, rows, "prefixes")
 
 
 def plan_groups(docs: DataFrame, window: int, leaves: int) -> tuple[Plan, int]:
-    """Prefixes such that no group has more than ``leaves`` suffixes, unless they
-    agree in a whole window; and the bytes of all texts."""
-    counts = _count(docs, None, window)
-    size = counts.pop(-1, 0)
-    levels, group, room, slots = [], 0, leaves, 1 << _FIRST_BITS
-    while True:
-        level, opened = np.zeros(slots, np.int32), 0
-        for slot in range(slots):
-            n = counts.get(slot, 0)
-            if n > leaves and len(levels) < window - 1:
-                level[slot] = -1 - opened
-                opened += 1
-                continue
-            if n > room:
-                group, room = group + 1, leaves
-            level[slot], room = group, room - n
-        levels.append(level)
-        if not opened:
-            return Plan(levels), size
-        counts = _count(docs, Plan(levels), window)
-        slots = opened << _NEXT_BITS
+    """Prefixes such that none has more than ``leaves`` suffixes, unless they agree in a
+    whole window; and the bytes of all texts. The counts stay in Spark; only the prefixes
+    to be split, one per ``leaves`` suffixes at most, come to the driver."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    plan = Plan(1, [])
+    counts = _count(docs, plan, window)
+    plan.groups = max(1, -(-2 * (counts.agg(F.sum("n")).first()[0] or 0) // leaves))
+    while len(plan.open) < window - 1:
+        crowd = [r.prefix for r in counts.where(F.col("n") > leaves).collect()]
+        if not crowd:
+            break
+        plan.open.append(np.sort(np.array(crowd, np.int64).view(np.uint64)))
+        counts = _count(docs, plan, window)
+    return plan, size
 
 
 # --- leaves of a bucket --------------------------------------------------------
