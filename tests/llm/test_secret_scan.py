@@ -76,3 +76,17 @@ def test_keys_of_letters():
     names = ["a_long_identifier_with_parts2", "/usr/local/share/applications/menu", "getUserAccountDetailsByIdentifier",
              "src/btree/rbtree_impl", "2021-03-04-12-30-45-000", "kubernetes-ingress-nginx-ctrl-mgr", "shipment_reference_20240101"]
     assert [x for x in names if find(x)] == []
+
+
+def test_texts_with_very_many_spans():
+    """Digests without end take time in proportion."""
+    import time
+
+    encoding = secret_scan._encoding(secret_scan.public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng, seconds = random.Random(1), []
+    for n in (2_000, 16_000):
+        text = "\n".join(f"{rng.getrandbits(128):032x}  file{i}" for i in range(n))
+        start = time.process_time()
+        assert len(secret_scan.find(text, encoding, secret_scan.MOST_CHARS_PER_TOKEN)) == n
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 24 * seconds[0]
