@@ -4,8 +4,9 @@ The model predicts each byte bit by bit. For the bits so far of a byte there is
 tree of contexts, the last 0 to ``DEPTH`` bytes; every node has a Krichevsky-
 Trofimov estimate from the counts of its bits, and its weighted probability is
 half its own estimate and half the product of its children's. Mixing over all
-depths is then a matter of one weight per node. ``DEPTH`` is as much as a 64-bit key holds
-beside the byte itself; a node that training never reached predicts 1/2 at all depths.
+depths is then a matter of one weight per node. A node that training never reached
+predicts 1/2 at all depths. ``DEPTH`` may be up to 7, what a 64-bit key holds beside the
+byte itself.
 
 How it is spread out. Documents are cut into buckets by a hash. A bucket sends its
 distinct strings of ``DEPTH + 1`` bytes, with their counts in training texts, to the groups
@@ -37,10 +38,10 @@ from pyspark.sql import functions as F
 from planar.llm.scratch import written
 from planar.llm.words import hash_runs, mix, slices, split_words, text_bytes
 
-DEPTH = 7
-BUCKET_BYTES = 8 << 20
+DEPTH = 6
+BUCKET_BYTES = 6 << 20
 # Bytes of text whose contexts a group has, and words a group of words has, at most.
-GROUP_BYTES, GROUP_WORDS = 16 << 20, 1_500_000
+GROUP_BYTES, GROUP_WORDS = 8 << 20, 1_000_000
 # Context bytes that all groups are cut by; deeper cuts follow.
 _FIRST_CUT = 2
 _SLICE = 1 << 20
@@ -317,18 +318,20 @@ def _in_order(docs: pa.Table) -> pa.Table:
     return docs.sort_by([("doc_id", "ascending"), ("t", "ascending")]).combine_chunks()
 
 
-def _contents(docs: pa.Table) -> Iterator[tuple[pa.RecordBatch, dict[str, tuple[np.ndarray, np.ndarray]]]]:
+Contents = list[tuple[pa.RecordBatch, dict[str, tuple[np.ndarray, np.ndarray]]]]
+
+
+def _contents(docs: pa.Table) -> Contents:
     """A bucket in slices, with its strings and words and how many each text has."""
-    for batch in docs.to_batches():
-        for part in slices(batch, "text", _SLICE):
-            text = part.column("text")
-            yield part, {"strings": strings(text), "words": tokens(text)}
+    return [
+        (part, {"strings": strings(part.column("text")), "words": tokens(part.column("text"))})
+        for batch in docs.to_batches() for part in slices(batch, "text", _SLICE)]
 
 
-def _distinct_in(docs: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def _distinct_in(bucket: Contents) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """The sorted distinct strings and words of a bucket, with their training counts."""
     found: dict[str, list] = {"strings": [], "words": []}
-    for part, contents in _contents(docs):
+    for part, contents in bucket:
         train = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         for name, (keys, length) in contents.items():
             known, which = distinct(keys)
@@ -345,7 +348,7 @@ def _messages(cuts: Cuts, word_groups: int):
     def run(docs: pa.Table) -> pa.Table:
         rows = []
         number = docs.column("bucket")[0].as_py()
-        for name, (keys, n) in _distinct_in(_in_order(docs)).items():
+        for name, (keys, n) in _distinct_in(_contents(_in_order(docs))).items():
             group, cut = cuts.place(keys) if name == "strings" else (_word_group(keys, word_groups), np.zeros(len(keys), np.int64))
             for part in _by_group(group):
                 first = part[0]
@@ -448,17 +451,17 @@ def _scores(cuts: Cuts, word_groups: int, n_train: int, n_words: int):
         schema = pa.schema([(c, kinds.get(c, pa.bool_())) for c in names])
         if not docs.num_rows:
             return schema.empty_table()
-        docs = _in_order(docs)
+        bucket = _contents(_in_order(docs))
         given = dict(zip(answers.column("grp").to_pylist(), answers.column("data").to_pylist()))
         lookup = {}
-        for name, (keys, _) in _distinct_in(docs).items():
+        for name, (keys, _) in _distinct_in(bucket).items():
             group = cuts.place(keys)[0] if name == "strings" else _word_group(keys, word_groups)
             value = np.zeros(len(keys))
             for part in _by_group(group):
                 value[part] = _unpacked(given[int(group[part[0]])], np.float32 if name == "strings" else np.uint32)
             lookup[name] = pd.Index(keys), value
         out = []
-        for part, contents in _contents(docs):
+        for part, contents in bucket:
             found = {}
             for name, (keys, length) in contents.items():
                 index, value = lookup[name]
