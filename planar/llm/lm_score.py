@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 from planar.llm.scratch import written
 from planar.llm.words import hash_runs, mix, slices, split_words, text_bytes
 
-DEPTH = 6
-BUCKET_BYTES = 6 << 20
+DEPTH = 5
+BUCKET_BYTES = 8 << 20
 # Bytes of text whose contexts a group has, and words a group of words has, at most.
-GROUP_BYTES, GROUP_WORDS = 8 << 20, 1_000_000
+GROUP_BYTES, GROUP_WORDS = 32 << 20, 1_000_000
 # Context bytes that all groups are cut by; deeper cuts follow.
 _FIRST_CUT = 2
 _SLICE = 1 << 20
