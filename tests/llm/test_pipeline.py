@@ -51,7 +51,7 @@ def test_stages(spark, documents):
 def test_stages_on_odd_rows(spark, odd_docs):
     """Ids that are 0, NULL or repeated, clashing names, and no rows at all."""
     good = " ".join(f"the word{i} of a text" for i in range(12))
-    rows = [(0, good, "a"), (None, good, "a"), (None, good.replace(" ", "\n"), "b"), (0, good, "a"), (7, good + " tail", None)]
+    rows = [(0, good, "a"), (None, good, "a"), (None, good.replace(" ", "  "), "b"), (0, good, "a"), (7, good + " tail", None)]
     more = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     docs = odd_docs.unionByName(more, allowMissingColumns=True).withColumn("n_chars", F.length("text").cast("bigint"))
     left = {}
