@@ -146,3 +146,15 @@ def test_registered_farthest(spark):
 def test_unknown_order(table):
     with pytest.raises(ValueError, match="order"):
         planar.batch_knn(table([]), table([]).withColumnRenamed("id", "q"), 1, order="best")
+
+
+@pytest.mark.parametrize("nearest", [True, False])
+def test_bounds_are_not_worked_out_again_per_cell(table, nearest):
+    """The cells come from storage, not from nested expressions on the counts."""
+    points = table(brute.scattered(200, 4))
+    extent = batch._extent(points)
+    counts, _ = pyramid.build(points, extent, 3, lambda p: p)
+    queries = table([(1, 500.0, 500.0), (2, 0.0, 0.0)]).selectExpr("id AS q", "x AS _qx", "y AS _qy")
+    got = pyramid.best_cells(queries, counts, 3, nearest).select("q", F.inline("_cells"))
+    assert sorted({r.q for r in got.collect()}) == [1, 2]
+    assert "sort_array" not in got._jdf.queryExecution().optimizedPlan().toString()
