@@ -190,3 +190,19 @@ def test_registered_knn_1001_asks_every_centre(spark):
     for c in centres:
         nearest = np.lexsort((ids, np.sqrt((x - c.x) ** 2 + (y - c.y) ** 2)))[:1_001]
         assert [i for _, i in sorted(got[c.q])] == ids[nearest].tolist()
+
+
+def test_counts_of_many_points_by_sums(table, monkeypatch):
+    """The same counts; the hits are not made one by one."""
+    points = table(brute.scattered(300, 1, hot_share=0.34) + [(900, None, 3.0), (901, 5.0, 2.0), (902, float("inf"), 1.0)])
+    nan = float("nan")
+    boxes = table([*BOXES, (70, nan, 0.0, -50.0, 500.0), (71, -1e300, -1e300, 1e300, 1e300), (72, 0.0, 0.0, 0.0, 5.0), (1, 0.0, 0.0, 9.0, 9.0)],
+                  "q BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE")
+    want = sorted((r.q, r.n) for r in planar.batch_box_count(points, boxes, summed_rows=1 << 40).collect())
+    assert sorted((r.q, r.n) for r in planar.batch_box_count(points, boxes, summed_rows=0).collect()) == want
+    many = boxes.where("q <> 70")
+    monkeypatch.setattr("planar.operators.batch.batch_box", None)
+    assert planar.batch_box_count(points, many, summed_rows=0).count() == many.count()
+    far = table([(1, 1e15, 1.0), (2, 1e15 + 1, 2.0)])
+    with pytest.raises(TypeError):
+        planar.batch_box_count(far, many, summed_rows=0)
