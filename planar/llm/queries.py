@@ -11,6 +11,7 @@ from planar.llm import (
     alignment, decontaminate, lm_score, merkle, mixing, ngram_join, packing, pii, quality, secret_scan, sql,
     substring_dedup, url_rules, warc,
 )
+from planar.llm.scratch import written
 from planar.llm.ship import ship_code
 from planar.llm.spans import n_spans, of_kinds, spans_text
 
@@ -34,11 +35,18 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), carry=["doc_id"])
-    taken = (F.col("size") * F.size("positions").cast("bigint")).alias("taken")
+    mixed = written(spark, mixed.withColumn("at", F.monotonically_increasing_id()), "mixed")
+    # The documents in training order, one row per time that one is taken. Stored, because
+    # Spark leaves out a sort below sums.
+    kept = mixed.withColumn("doc", F.struct("at", "size"))
+    ordered = written(spark, mixing.in_order(kept), "training-order")
+    found = ordered.groupBy("at").agg(
+        F.sum("size").alias("taken"), F.min("position").alias("first_position"), F.max("position").alias("last_position"))
     # Of documents that are not taken, -1.
-    places = {"first_position": F.get("positions", F.lit(0)), "last_position": F.get("positions", F.size("positions") - 1)}
-    places = [F.coalesce(place, F.lit(-1.0)).alias(name) for name, place in places.items()]
-    return mixed.select("doc.doc_id", "size", "source_size", "target", taken, *places)
+    places = [F.coalesce(name, F.lit(-1.0)).alias(name) for name in ("first_position", "last_position")]
+    docs = mixed.select("at", "doc.doc_id", "size", "source_size", "target").join(found, "at", "left")
+    taken = F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken")
+    return docs.select("doc_id", "size", "source_size", "target", taken, *places)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

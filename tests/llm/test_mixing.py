@@ -65,3 +65,17 @@ def test_order_follows_demand(documents):
     first = [r for r in rows if r.source == "src0" and r.epoch == 0]
     keys = [hashlib.md5(str(r.doc_id).encode()).hexdigest() for r in first]
     assert keys == sorted(keys)
+
+
+def test_the_query_sorts_the_mix(spark, tmp_path, monkeypatch):
+    """A row per document, repeated and NULL ids too, from the rows in training order."""
+    from planar.llm import queries
+    docs = [(1, "a b c d", "s"), (1, "a b c d", "s"), (None, "e f", "t"), (4, None, "t"), (5, "g " * 40, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, in_order = [], mixing.in_order
+    monkeypatch.setattr(mixing, "in_order", lambda m: seen.append(1) or in_order(m))
+    rows = queries.op3_mixing(spark, str(tmp_path)).collect()
+    assert seen and len(rows) == 5
+    mixed = mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    want = sorted((repr(r.doc.doc_id), r.size * len(r.positions), *((r.positions[0], r.positions[-1]) if r.positions else (-1.0, -1.0))) for r in mixed)
+    assert sorted((repr(r.doc_id), r.taken, r.first_position, r.last_position) for r in rows) == want
