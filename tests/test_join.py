@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 import brute
 import planar
+from planar.plans import skew
 from planar.plans.grid import CELL
 from planar.plans.sizing import fits_broadcast
-from planar.plans.skew import hot_cells
+from planar.plans.skew import hot_cells, no_more_blocks_than_help
 
 STRATEGIES = [{"strategy": "broadcast"}, {"strategy": "shuffle"}, {"strategy": "shuffle", "block_rows": 7}]
 
@@ -150,3 +151,31 @@ def test_calm_join_without_id_shuffles_once(spark, table):
     df = table(brute.scattered(60, 8)).drop("id")
     plan = planar.distance_join(df, df, 1, strategy="shuffle")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_blocks_of_many_hot_cells_stay_few(spark):
+    """Small blocks of large cells would copy each row to hundreds of them."""
+    cells = spark.range(200_000).select((F.col("id") % 20).alias(CELL))
+    hot = hot_cells(cells, cells, [CELL], 2)
+    assert {(r._na, r._nb) for r in hot.collect()} == {(5_000, 5_000)}
+    fewer = no_more_blocks_than_help(hot).collect()
+    assert len(fewer) == 20 and 2_000 < sum(r._na * r._nb for r in fewer) < 8_192
+    some = hot_cells(cells, cells, [CELL], 1_000)
+    assert {(r._na, r._nb) for r in no_more_blocks_than_help(some).collect()} == {(10, 10)}
+
+
+def test_a_hot_join_shuffles_no_copies_by_the_hundred(spark, table, monkeypatch):
+    """The rows of both sides after they were dealt to blocks."""
+    dealt = []
+    plain = skew._to_blocks
+
+    def counting(df, *args):
+        out = plain(df, *args)
+        dealt.append((df.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(skew, "_to_blocks", counting)
+    left, right = ([(i, 0.1 * (i % 3), 0.0) for i in range(n)] for n in (2_000, 1_000))
+    got = planar.distance_join(table(left), table(right), 0.05, strategy="shuffle", block_rows=2)
+    assert got.count() == sum(1 for a in left for b in right if a[1] == b[1])
+    assert len(dealt) == 2 and all(after < 100 * before for before, after in dealt)
