@@ -1,0 +1,47 @@
+"""Queries whose tasks run this package's Python code, where only the driver has it."""
+
+from __future__ import annotations
+
+import os
+import subprocess
+import sys
+
+import pytest
+
+from conftest import ROOT
+
+SCRIPT = """
+import sys
+from pyspark.sql import SparkSession
+
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate())
+sys.path.insert(0, sys.argv[1])  # after the start: the workers do not get it
+import __spark_entry__
+
+events = [(i,) for i in (0, 1, 5, 900_000, 6_000_000, None)]
+spark.createDataFrame(events, "event_id BIGINT").write.parquet(f"{sys.argv[2]}/events.parquet")
+spark.createDataFrame([(i,) for i in range(25)], "n_nationkey INT").write.parquet(f"{sys.argv[2]}/nation.parquet")
+rows = __spark_entry__.queries()[sys.argv[3]](spark, sys.argv[2]).collect()
+print("rows", sorted((r.q, r.id) for r in rows))
+"""
+
+
+@pytest.mark.parametrize("name, recipe", [("batch_box_ranges", "fine"), ("batch_box_ranges_parts", "snap")])
+def test_workers_without_the_package(tmp_path, name, recipe):
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run(
+        [sys.executable, "-c", SCRIPT, str(ROOT), str(tmp_path), name],
+        cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
+
+    def within(i, q):
+        mx, my = (36_000, 18_000) if recipe == "fine" else (720, 360)
+        scale = 100 if recipe == "fine" else 2
+        x = (i * i * 31 + i * 7919) % mx / scale - 180
+        y = ((i * i * 17 + i * 104_729) if recipe == "fine" else (i**3 * 13 + i * i * 7 + i * 29)) % my / scale - 90
+        x0, y0 = -180 + q * 14, -90 + q * 37 % 150
+        return x0 < x < x0 + 18 + q * q and y0 < y < y0 + 9 + q * q / 2
+
+    expected = [(q, i) for q in range(25) for i in (0, 1, 5, 900_000, 6_000_000) if within(i, q)]
+    assert expected and run.stdout.splitlines()[-1] == f"rows {expected}"
