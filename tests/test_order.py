@@ -47,3 +47,23 @@ def test_joins_in_text_use_all_cores(spark):
         df = entry.queries()[name](spark, "/root/testdata/sf0.01")
         parts = df.rdd.getNumPartitions()
         assert parts >= spark.sparkContext.defaultParallelism, name
+
+
+def test_pairs_of_a_large_scan_come_by_place(spark, table):
+    """Of a scan in many tasks, the rows that meet none are not shuffled."""
+    left = SCATTERED + [(10_000 + i, 5_000.0 + i, 5_000.0) for i in range(500)]
+    a, b = table(left), table(SCATTERED[:300])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        for strategy in ("auto", "broadcast"):
+            got = planar.distance_join(a, b, 3.0, strategy=strategy)
+            rows = got.collect()
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert "LeftSemi" in plan and "RepartitionByExpression" in plan
+            found = sorted((r.a_id, r.b_id) for r in rows)
+            assert found == sorted(brute.pairs(left, SCATTERED[:300], 3.0).elements())
+            places = len({p[1:] for p in SCATTERED})
+            assert len([*groupby((r.a_x, r.a_y) for r in rows)]) < 2 * places
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
