@@ -67,3 +67,26 @@ def test_pairs_of_a_large_scan_come_by_place(spark, table):
             assert len([*groupby((r.a_x, r.a_y) for r in rows)]) < 2 * places
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def crowded_table(table, cores, offset):
+    """A place per cell of some hundred points, together little to shuffle."""
+    many = int((44_000 * cores) ** 0.5)
+    return table([(c * many + i, 10.0 * c + offset, offset) for c in range(100) for i in range(many)])
+
+
+def test_a_join_of_many_pairs_gets_tasks_for_them(spark, table):
+    """However few its bytes are."""
+    cores = spark.sparkContext.defaultParallelism
+    left, right = (crowded_table(table, cores, offset) for offset in (0.1, 0.9))
+    for radius, pairs in ((1.0, 0), (1.2, left.count() * right.count() // 100)):
+        got = planar.distance_join(left, right, radius, strategy="shuffle")
+        assert got.rdd.getNumPartitions() >= 4 * cores
+        assert got.count() == pairs
+
+
+def test_a_join_of_few_pairs_keeps_spark_s_tasks(spark, table):
+    left, right = table(SCATTERED), table(SCATTERED[:300])
+    got = planar.distance_join(left, right, 3.0, strategy="shuffle")
+    assert got.rdd.getNumPartitions() < 4 * spark.sparkContext.defaultParallelism
+    assert got.count() == sum(brute.pairs(SCATTERED, SCATTERED[:300], 3.0).values())
