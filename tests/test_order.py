@@ -90,3 +90,19 @@ def test_a_join_of_few_pairs_keeps_spark_s_tasks(spark, table):
     got = planar.distance_join(left, right, 3.0, strategy="shuffle")
     assert got.rdd.getNumPartitions() < 4 * spark.sparkContext.defaultParallelism
     assert got.count() == sum(brute.pairs(SCATTERED, SCATTERED[:300], 3.0).values())
+
+
+def test_hot_cells_of_a_bucketed_join_get_tasks_and_come_by_place(spark, table):
+    cores = spark.sparkContext.defaultParallelism
+    left, right = (crowded_table(table, cores, offset) for offset in (0.1, 0.9))
+    a, b = (planar.land_bucketed(t, f"pairs_{n}", 2.0, buckets=2, mode="overwrite") for n, t in (("a", left), ("b", right)))
+    got = planar.bucketed_join(a, b, 1.0, block_rows=300)
+    assert got.rdd.getNumPartitions() >= 4 * cores
+    assert got.count() == 0
+    a, b = (planar.land_bucketed(table(rows), f"place_{n}", 16.0, buckets=2, mode="overwrite")
+            for n, rows in (("a", SCATTERED), ("b", SCATTERED[:300])))
+    got = planar.bucketed_join(a, b, 3.0, block_rows=100)
+    rows = got.collect()
+    assert sorted((r.a_id, r.b_id) for r in rows) == sorted(brute.pairs(SCATTERED, SCATTERED[:300], 3.0).elements())
+    turns = sum(1 for p, n in zip(rows, rows[1:]) if (p.a_x, p.a_y) > (n.a_x, n.a_y))
+    assert turns < 0.1 * len(rows)
