@@ -49,7 +49,7 @@ def test_joins_in_text_use_all_cores(spark):
         assert parts >= spark.sparkContext.defaultParallelism, name
 
 
-def test_pairs_of_a_large_scan_come_by_place(spark, table):
+def test_pairs_of_a_large_scan_come_by_place(spark, table, tmp_path):
     """Of a scan in many tasks, the rows that meet none are not shuffled."""
     left = SCATTERED + [(10_000 + i, 5_000.0 + i, 5_000.0) for i in range(500)]
     a, b = table(left), table(SCATTERED[:300])
@@ -92,14 +92,15 @@ def test_a_join_of_few_pairs_keeps_spark_s_tasks(spark, table):
     assert got.count() == sum(brute.pairs(SCATTERED, SCATTERED[:300], 3.0).values())
 
 
-def test_hot_cells_of_a_bucketed_join_get_tasks_and_come_by_place(spark, table):
+def test_hot_cells_of_a_bucketed_join_get_tasks_and_come_by_place(spark, table, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     left, right = (crowded_table(table, cores, offset) for offset in (0.1, 0.9))
-    a, b = (planar.land_bucketed(t, f"pairs_{n}", 2.0, buckets=2, mode="overwrite") for n, t in (("a", left), ("b", right)))
+    a, b = (planar.land_bucketed(t, f"pairs_{n}", 2.0, buckets=2, path=str(tmp_path / f"pairs_{n}"))
+            for n, t in (("a", left), ("b", right)))
     got = planar.bucketed_join(a, b, 1.0, block_rows=300)
     assert got.rdd.getNumPartitions() >= 4 * cores
     assert got.count() == 0
-    a, b = (planar.land_bucketed(table(rows), f"place_{n}", 16.0, buckets=2, mode="overwrite")
+    a, b = (planar.land_bucketed(table(rows), f"place_{n}", 16.0, buckets=2, path=str(tmp_path / f"place_{n}"))
             for n, rows in (("a", SCATTERED), ("b", SCATTERED[:300])))
     got = planar.bucketed_join(a, b, 3.0, block_rows=100)
     rows = got.collect()
